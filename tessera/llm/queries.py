@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontaminate, exact_dedup, sentencepiece_codec
+from tessera.llm import decontaminate, exact_dedup, language_id, sentencepiece_codec
 from tessera.llm.common import table
 
 
@@ -14,6 +14,11 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode(table(spark, sf_dir, "documents"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_id.identify(docs, language_id.fit(docs))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.copies(table(spark, sf_dir, "documents"))
     return found.selectExpr("id AS doc_id", "keep_id", "n_copies", "is_kept")
@@ -25,6 +30,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op3_language_id": op3_language_id,
     "op6_exact_dedup": op6_exact_dedup,
     "op10_decontaminate": op10_decontaminate,
 }
