@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontaminate, exact_dedup, language_id, sentencepiece_codec
+from tessera.llm import decontaminate, exact_dedup, language_id, sentencepiece_codec, wavelet
 from tessera.llm.common import table
 
 
@@ -24,6 +24,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.selectExpr("id AS doc_id", "keep_id", "n_copies", "is_kept")
 
 
+def op9_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wavelet.write_shards(table(spark, sf_dir, "documents"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -32,6 +36,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op3_language_id": op3_language_id,
     "op6_exact_dedup": op6_exact_dedup,
+    "op9_wavelet": op9_wavelet,
     "op10_decontaminate": op10_decontaminate,
 }
 
