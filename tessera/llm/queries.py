@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontaminate, exact_dedup, language_id, sentencepiece_codec, wavelet
+from tessera.llm import decontaminate, exact_dedup, language_id, sentencepiece_codec, sharding, wavelet
 from tessera.llm.common import table
 
 
@@ -19,6 +19,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, language_id.fit(docs))
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.copies(table(spark, sf_dir, "documents"))
     return found.selectExpr("id AS doc_id", "keep_id", "n_copies", "is_kept")
@@ -35,6 +39,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op3_language_id": op3_language_id,
+    "op4_sharding": op4_sharding,
     "op6_exact_dedup": op6_exact_dedup,
     "op9_wavelet": op9_wavelet,
     "op10_decontaminate": op10_decontaminate,
