@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontaminate, exact_dedup, language_id, sentencepiece_codec, sharding, wavelet
+from tessera.llm import decontaminate, exact_dedup, language_id, sentencepiece_codec, sharding, substring_dedup, wavelet
 from tessera.llm.common import table
 
 
@@ -28,6 +28,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.selectExpr("id AS doc_id", "keep_id", "n_copies", "is_kept")
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.duplicate_spans(table(spark, sf_dir, "documents"))
+
+
 def op9_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.write_shards(table(spark, sf_dir, "documents"))
 
@@ -41,6 +45,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": op3_language_id,
     "op4_sharding": op4_sharding,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_substring_dedup": op7_substring_dedup,
     "op9_wavelet": op9_wavelet,
     "op10_decontaminate": op10_decontaminate,
 }
@@ -50,4 +55,17 @@ ORACLE: dict[str, str] = {
         SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS keep_id, count(*) OVER (PARTITION BY text) AS n_copies,
                row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1 AS is_kept
         FROM documents""",
+    "op7_substring_dedup": """
+        WITH w AS (SELECT doc_id, list_filter(string_split_regex(text, '\\s+'), x -> x <> '') AS ws FROM documents),
+        seeds AS (SELECT doc_id, p AS pos, array_to_string(ws[p + 1 : p + 50], ' ') AS seed FROM w, unnest(range(len(ws) - 49)) AS t(p)),
+        sourced AS (SELECT doc_id, pos, first_value(doc_id) OVER o AS ref_doc_id, first_value(pos) OVER o AS ref_pos
+                    FROM seeds WINDOW o AS (PARTITION BY seed ORDER BY doc_id, pos)),
+        matched AS (SELECT * FROM sourced WHERE ref_doc_id < doc_id),
+        flagged AS (SELECT *, CASE WHEN lag(pos) OVER o = pos - 1 AND lag(ref_doc_id) OVER o = ref_doc_id AND lag(ref_pos) OVER o = ref_pos - 1
+                                   THEN 0 ELSE 1 END AS fresh
+                    FROM matched WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
+        numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY pos) AS factor FROM flagged)
+        SELECT doc_id, CAST(min(pos) AS INTEGER) AS start_word, CAST(max(pos) + 50 AS INTEGER) AS end_word,
+               min(ref_doc_id) AS ref_doc_id, CAST(min(ref_pos) AS INTEGER) AS ref_start_word
+        FROM numbered GROUP BY doc_id, factor""",
 }
