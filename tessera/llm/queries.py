@@ -56,7 +56,7 @@ ORACLE: dict[str, str] = {
                row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1 AS is_kept
         FROM documents""",
     "op7_substring_dedup": """
-        WITH w AS (SELECT doc_id, list_filter(string_split_regex(text, '\\s+'), x -> x <> '') AS ws FROM documents),
+        WITH w AS (SELECT doc_id, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS ws FROM documents),
         seeds AS (SELECT doc_id, p AS pos, array_to_string(ws[p + 1 : p + 50], ' ') AS seed FROM w, unnest(range(len(ws) - 49)) AS t(p)),
         sourced AS (SELECT doc_id, pos, first_value(doc_id) OVER o AS ref_doc_id, first_value(pos) OVER o AS ref_pos
                     FROM seeds WINDOW o AS (PARTITION BY seed ORDER BY doc_id, pos)),
