@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontaminate, exact_dedup, language_id, sentencepiece_codec, sharding, substring_dedup, wavelet
+from tessera.llm import decontaminate, exact_dedup, language_id, ngram_join, sentencepiece_codec, sharding, substring_dedup, wavelet
 from tessera.llm.common import table
 
 
@@ -32,6 +32,10 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.duplicate_spans(table(spark, sf_dir, "documents"))
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_documents(table(spark, sf_dir, "documents"))
+
+
 def op9_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.write_shards(table(spark, sf_dir, "documents"))
 
@@ -46,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_sharding": op4_sharding,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_ngram_join": op8_ngram_join,
     "op9_wavelet": op9_wavelet,
     "op10_decontaminate": op10_decontaminate,
 }
