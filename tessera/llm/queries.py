@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontaminate, exact_dedup, language_id, ngram_join, sentencepiece_codec, sharding, substring_dedup, wavelet
+from tessera.llm import decontaminate, exact_dedup, language_id, ngram_join, sentencepiece_codec, sharding, substring_dedup, url_filter, wavelet
 from tessera.llm.common import table
 
 
@@ -23,6 +23,10 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.filter_pages(table(spark, sf_dir, "pages"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.copies(table(spark, sf_dir, "documents"))
     return found.selectExpr("id AS doc_id", "keep_id", "n_copies", "is_kept")
@@ -48,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op3_language_id": op3_language_id,
     "op4_sharding": op4_sharding,
+    "op5_url_filter": op5_url_filter,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_ngram_join": op8_ngram_join,
