@@ -1,10 +1,801 @@
-"""All queries over the driver tables, with the SQL that gives the same rows."""
+"""All queries over the driver tables, each with the DuckDB SQL that gives the same rows.
+
+Operators meant for catalog records run on records made from ``part``: title, provider, deadline, award, tags and the
+rest are simple functions of its columns, written once here for Spark and once in ``CATALOG`` for SQL.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tessera.functions import fts, vocab
+from tessera.functions import scalars as S
+from tessera.operators import dedupe, facets, lookup, normalize, projection, prune, search, validate
+from tessera.sources.catalog import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+
+AS_OF = "2025-10-01"
+STRINGS = "array<string>"
+
+CATALOG = """
+    catalog AS (
+        SELECT CAST(p_partkey AS BIGINT) AS seq, 'p' || p_partkey AS id, p_name AS title, p_brand AS provider,
+               'https://www.' || replace(lower(p_brand), '#', '') || '.example.org/Item/' || p_partkey || '/?ref=x' AS source_url,
+               CASE WHEN p_partkey % 4 = 0 THEN 'https://www.' || replace(lower(p_brand), '#', '') || '.example.org/apply'
+                    ELSE 'https://Apply.example.com/' || replace(p_name, ' ', '/') || '/' END AS application_url,
+               CASE WHEN p_partkey % 11 = 0 THEN NULL ELSE CAST(DATE '2025-01-01' + CAST(p_partkey % 700 AS INTEGER) AS DATE) END AS deadline,
+               CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE p_retailprice END AS award_maximum, p_partkey % 13 = 0 AS varies,
+               lower(p_type) AS kind, split_part(p_name, ' ', 1) AS word, split_part(p_name, ' ', 2) AS thing, p_size AS size,
+               p_partkey % 5 = 0 AS institution_specific,
+               CASE WHEN p_partkey % 9 = 0 THEN 'human' WHEN p_partkey % 3 = 0 THEN 'ai' END AS vetting_status,
+               CASE WHEN p_partkey % 17 = 0 THEN 'draft' ELSE 'published' END AS publication_status
+        FROM part)"""
+
+
+def register(name: str, sql: str | None = None):  # noqa: ANN201
+    def keep(f: Callable[[SparkSession, str], DataFrame]):  # noqa: ANN202
+        QUERIES[name] = f
+        if sql:
+            ORACLE[name] = sql
+        return f
+
+    return keep
+
+
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Published-table records made from ``part``, with their ordinal ``seq``."""
+    key, when = F.col("p_partkey"), F.when
+    part_host = F.concat(F.lit("https://www."), F.regexp_replace(F.lower("p_brand"), "#", ""), F.lit(".example.org/"))
+    name = F.split("p_name", " ")
+    empty = F.array().cast(STRINGS)
+    arrays = {"grades": S.grades(F.col("p_size").cast("string")), "tags": F.array(F.lower("p_type"), F.get(name, F.lit(0))), "fields": F.array(F.get(name, F.lit(1)))}
+    eligibility = F.struct(
+        *(arrays.get(a, empty).alias(a) for a in ("countries", "states", "grades", "degreeLevels", "fields", "citizenship", "tags", "other")),
+        F.lit(None).cast("double").alias("minimumGpa"),
+        F.lit(None).cast("double").alias("minimumAge"),
+    )
+    award = F.struct(F.lit(None).cast("double").alias("minimum"), when(key % 7 != 0, F.col("p_retailprice")).alias("maximum"), (key % 13 == 0).alias("varies"))
+    status = when(key % 9 == 0, "human").when(key % 3 == 0, "ai")
+    vetting = when(
+        status.isNotNull(),
+        F.struct(status.alias("status"), F.lit(None).cast("string").alias("vettedAt"), F.lit(None).cast("double").alias("confidence"), F.lit(None).cast(STRINGS).alias("missingFields")),
+    )
+    return table(spark, sf_dir, "part").select(
+        key.cast("long").alias("seq"),
+        F.concat(F.lit("p"), key).alias("id"),
+        F.col("p_name").alias("title"),
+        F.col("p_brand").alias("provider"),
+        F.concat(F.lit("Source "), key % 7).alias("source_name"),
+        F.concat(part_host, F.lit("Item/"), key, F.lit("/?ref=x")).alias("source_url"),
+        F.lit(None).cast(STRINGS).alias("source_urls"),
+        F.lit("2025-01-01").cast("date").alias("source_checked_at"),
+        when(key % 4 == 0, F.concat(part_host, F.lit("apply"))).otherwise(F.concat(F.lit("https://Apply.example.com/"), F.regexp_replace("p_name", " ", "/"), F.lit("/"))).alias("application_url"),
+        when(key % 11 != 0, F.date_add(F.lit("2025-01-01").cast("date"), (key % 700).cast("int"))).alias("deadline"),
+        F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("description"),
+        award.alias("award"),
+        F.struct(*((key % (i + 2) == 0).alias(r) for i, r in enumerate(("essay", "needBased", "meritBased", "fee")))).alias("requirements"),
+        eligibility.alias("eligibility"),
+        (key % 5 == 0).alias("institution_specific"),
+        F.lit(None).cast("string").alias("institution_name"),
+        F.lower(F.concat_ws(" ", "p_name", "p_brand", "p_type")).alias("search_text"),
+        vetting.alias("vetting"),
+        when(key % 17 == 0, "draft").otherwise("published").alias("publication_status"),
+        F.lit("2025-01-01 00:00:00").cast("timestamp").alias("updated_at"),
+    )
+
+
+def catalog_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same records with the names a catalog build gives them."""
+    names = {"source_url": "sourceUrl", "source_urls": "sourceUrls", "source_name": "sourceName", "institution_specific": "institutionSpecific", "search_text": "searchText", "application_url": "applicationUrl"}
+    return records(spark, sf_dir).withColumnsRenamed(names).withColumn("programStatus", F.lit(None).cast("string")).withColumn("deadline", F.col("deadline").cast("string"))
+
+
+def day(c: str) -> Column:
+    return F.col(c).cast("date")
+
+
+# --- searching and paging -----------------------------------------------------------------------------------------
+
+
+@register(
+    "keyset_page",
+    """
+    WITH matched AS (SELECT o_orderkey, o_custkey, o_totalprice, CAST(o_orderdate AS DATE) AS d FROM orders
+                     WHERE o_orderdate >= DATE '1997-01-01' AND coalesce(o_totalprice, 0) >= 1000),
+    page AS (SELECT * FROM matched WHERE (d, o_orderkey) > (DATE '1997-06-01', 100) ORDER BY d, o_orderkey LIMIT 100)
+    SELECT o_orderkey AS order_id, c_name AS customer, o_totalprice AS price, CAST(d AS VARCHAR) AS order_date, (SELECT count(*) FROM matched) AS total_count
+    FROM page JOIN customer ON c_custkey = o_custkey""",
+)
+def keyset_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One page after a cursor: filter and sort narrow rows, join the page's details and the total to it."""
+    matched = table(spark, sf_dir, "orders").where((F.col("o_orderdate") >= F.lit("1997-01-01").cast("timestamp_ntz")) & (F.coalesce("o_totalprice", F.lit(0.0)) >= 1000))
+    narrow = matched.select("o_orderkey", "o_custkey", "o_totalprice", day("o_orderdate").alias("d"))
+    page = narrow.where(search.after(F.col("d"), F.lit("1997-06-01").cast("date"), F.col("o_orderkey"), F.lit(100))).orderBy("d", "o_orderkey").limit(100)
+    total = matched.agg(F.count("*").alias("total_count"))
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    joined = customers.join(F.broadcast(page), F.col("c_custkey") == F.col("o_custkey")).crossJoin(F.broadcast(total))
+    return joined.select(F.col("o_orderkey").alias("order_id"), F.col("c_name").alias("customer"), F.col("o_totalprice").alias("price"), F.col("d").cast("string").alias("order_date"), "total_count")
+
+
+@register(
+    "search_summaries",
+    f"""WITH {CATALOG}, matched AS (SELECT * FROM catalog WHERE publication_status = 'published' AND (deadline IS NULL OR deadline >= DATE '{AS_OF}')
+            AND kind = 'promo' AND award_maximum >= 905 AND NOT institution_specific AND coalesce(vetting_status, 'unvetted') <> 'unvetted')
+        SELECT id, title, provider, coalesce(CAST(deadline AS VARCHAR), '') AS deadline, award_maximum, kind || ',' || word AS tags, coalesce(vetting_status, 'unvetted') AS vetting,
+               (SELECT count(*) FROM matched) AS total_count
+        FROM matched ORDER BY coalesce(deadline, DATE '9999-12-31'), id LIMIT 30""",
+)
+def search_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    query = search.SearchQuery(AS_OF, tag="promo", minimum_award=905, scope="general", vetted_only=True)
+    page = search.search_published(records(spark, sf_dir), query)
+    return page.select("id", "title", "provider", S.text("deadline").alias("deadline"), F.col("award.maximum").alias("award_maximum"), F.array_join("eligibility.tags", ",").alias("tags"), F.col("vetting.status").alias("vetting"), "total_count")
+
+
+@register(
+    "search_full",
+    f"""WITH {CATALOG}, matched AS (SELECT * FROM catalog WHERE publication_status = 'published' AND coalesce(award_maximum, 0) >= 0.5 AND size = 3)
+        SELECT id, coalesce(CAST(deadline AS VARCHAR), '') AS deadline, 'not counted' AS total_count FROM matched
+        WHERE (coalesce(deadline, DATE '9999-12-31'), id) > (DATE '2025-06-01', 'p9') ORDER BY coalesce(deadline, DATE '9999-12-31'), id LIMIT 50""",
+)
+def search_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    query = search.SearchQuery(AS_OF, grade="Grade 3", minimum_award=0.5, include_closed=True, limit=50, cursor=search.encode_cursor("2025-06-01", "p9"))
+    return search.search_published(records(spark, sf_dir), query, summaries=False, include_total=False).select("id", S.text("deadline").alias("deadline"), F.coalesce(F.col("total_count").cast("string"), F.lit("not counted")).alias("total_count"))
+
+
+_GROUPED = f"""ranked AS (SELECT *, provider || '|' || title AS k, row_number() OVER (PARTITION BY provider, title
+        ORDER BY coalesce(deadline < DATE '{AS_OF}', FALSE), coalesce(deadline, DATE '9999-12-31'), title, seq) AS rank FROM matched),
+    grouped AS (SELECT k, min(CASE WHEN rank = 1 THEN id END) AS id, min(CASE WHEN rank = 1 THEN title END) AS title, min(CASE WHEN rank = 1 THEN seq END) AS seq,
+        min(CASE WHEN rank = 1 THEN deadline END) AS deadline, min(CASE WHEN rank = 1 THEN kind END) AS kind, min(CASE WHEN rank = 1 THEN word END) AS word,
+        CASE WHEN count(*) > 1 THEN count(*) END AS variants, CASE WHEN count(*) > 1 THEN string_agg(id, ',' ORDER BY rank) END AS variant_ids,
+        string_agg(source_url, ' ' ORDER BY rank) AS urls FROM ranked GROUP BY k)"""
+
+
+@register(
+    "search_snapshot",
+    f"""WITH {CATALOG}, matched AS (SELECT * FROM catalog WHERE lower(title || ' ' || provider || ' ' || kind) LIKE '%ring%'
+            AND lower(title || ' ' || provider || ' ' || kind) LIKE '%brand#1%'), {_GROUPED}
+        SELECT id, title, coalesce(CAST(deadline AS VARCHAR), '') AS deadline, CAST(coalesce(variants, 0) AS INTEGER) AS variants, (SELECT count(*) FROM grouped) AS total, (SELECT count(*) FROM matched) AS raw_total
+        FROM grouped ORDER BY coalesce(deadline < DATE '{AS_OF}', FALSE), coalesce(deadline, DATE '9999-12-31'), title, seq LIMIT 20 OFFSET 20""",
+)
+def search_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    query = search.SearchQuery(AS_OF, q="ring brand#1", page=2, limit=20)
+    page, totals = search.search_snapshot(catalog_records(spark, sf_dir), query)
+    joined = page.crossJoin(F.broadcast(totals.select("total", F.col("rawTotal").alias("raw_total"))))
+    return joined.select("id", "title", S.text("deadline").alias("deadline"), F.coalesce("variantCount", F.lit(0)).alias("variants"), "total", "raw_total")
+
+
+@register(
+    "offset_page_total",
+    """SELECT o_orderkey AS order_id, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS order_date, (SELECT count(*) FROM orders WHERE o_orderstatus = 'F') AS total
+       FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderdate, o_orderkey LIMIT 50 OFFSET 100""",
+)
+def offset_page_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    matched = table(spark, sf_dir, "orders").where(F.col("o_orderstatus") == "F")
+    page = matched.orderBy("o_orderdate", "o_orderkey").offset(100).limit(50).select(F.col("o_orderkey").alias("order_id"), day("o_orderdate").cast("string").alias("order_date"))
+    return page.crossJoin(F.broadcast(matched.agg(F.count("*").alias("total"))))
+
+
+@register("substring_search", "SELECT doc_id FROM documents WHERE contains(lower(text), 'license') AND contains(lower(text), 'version')")
+def substring_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lowered = F.lower("text")
+    return table(spark, sf_dir, "documents").where(F.contains(lowered, F.lit("license")) & F.contains(lowered, F.lit("version"))).select("doc_id")
+
+
+@register(
+    "token_search",
+    """WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents WHERE lang = 'en')
+       SELECT doc_id, CAST(len(list_filter(w, lambda x: x = 'license')) AS INTEGER) AS hits FROM t WHERE list_contains(w, 'license') AND NOT list_contains(w, 'apache')""",
+)
+def token_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), 0)
+    tokens = table(spark, sf_dir, "documents").where(F.col("lang") == "en").select("doc_id", words.alias("w"))
+    found = tokens.where(F.array_contains("w", "license") & ~F.array_contains("w", "apache"))
+    return found.select("doc_id", F.size(F.filter("w", lambda x: x == "license")).alias("hits"))
+
+
+@register("fulltext_search")
+def fulltext_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stemmed web search with a phrase and a negation; the analysed text is a stored column in a catalog."""
+    docs = table(spark, sf_dir, "documents").where(F.col("lang") == "en").select("doc_id", fts.analyse("text").alias("document"))
+    return docs.where(fts.matches(F.col("document"), '"general public licenses" or "apache license" -mit')).select("doc_id")
+
+
+@register("point_lookup", f"WITH {CATALOG} SELECT id, title FROM catalog WHERE id = 'p42' AND publication_status = 'published'")
+def point_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookup.by_id(records(spark, sf_dir), "p42").select("id", "title")
+
+
+@register(
+    "cascade_lookup",
+    f"""WITH {CATALOG}, t AS (SELECT id, title, CASE WHEN id = 'LARGE%' THEN 1 WHEN lower(title) = 'large%' THEN 2 WHEN contains(lower(title), 'large') THEN 3 END AS tier FROM catalog)
+        SELECT id, title, tier FROM t WHERE tier = (SELECT min(tier) FROM t) ORDER BY id LIMIT 20""",
+)
+def cascade_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookup.cascade(records(spark, sf_dir), "LARGE%").select("id", "title", "tier")
+
+
+@register("positive_count", "SELECT coalesce(CAST(nullif(count(*), 0) AS VARCHAR), 'none') AS n FROM orders WHERE o_orderstatus = 'none'")
+def positive_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").where(F.col("o_orderstatus") == "none").agg(F.coalesce(F.nullif(F.count("*"), F.lit(0)).cast("string"), F.lit("none")).alias("n"))
+
+
+@register("json_member_filter", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events WHERE CAST(json_extract_string(props, '$.k') AS INTEGER) >= 90")
+def json_member_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.get_json_object("props", "$.k").try_cast("int")
+    return table(spark, sf_dir, "events").where(k >= 90).select("event_id", k.alias("k"))
+
+
+@register(
+    "category_filter",
+    f"WITH {CATALOG} SELECT id FROM catalog WHERE kind = 'economy' AND word = 'small'",
+)
+def category_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search_category(records(spark, sf_dir), "economy", ("small",)).select("id")
+
+
+@register("visible_rows", f"WITH {CATALOG} SELECT publication_status, count(*) AS n FROM catalog WHERE publication_status = 'published' GROUP BY 1")
+def visible_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return projection.visible(records(spark, sf_dir)).groupBy("publication_status").agg(F.count("*").alias("n"))
+
+
+# --- grouping, facets and ranks -----------------------------------------------------------------------------------
+
+
+@register("group_representative", f"WITH {CATALOG}, matched AS (SELECT * FROM catalog), {_GROUPED} SELECT id, title, CAST(coalesce(variants, 0) AS INTEGER) AS variants, coalesce(variant_ids, '') AS variant_ids, urls FROM grouped")
+def group_representative(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grouped = dedupe.group_similar(catalog_records(spark, sf_dir), AS_OF)
+    return grouped.select("id", "title", F.coalesce("variantCount", F.lit(0)).alias("variants"), F.coalesce(F.array_join("variantIds", ","), F.lit("")).alias("variant_ids"), F.array_join("sourceUrls", " ").alias("urls"))
+
+
+@register("facet_values", "SELECT DISTINCT p_brand AS value FROM part UNION SELECT DISTINCT p_type FROM part")
+def facet_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return facets.distinct_values(table(spark, sf_dir, "part").select(F.array("p_brand", "p_type").alias("values")), "values")
+
+
+@register("facet_counts", "SELECT lang, source, count(*) AS n, count(DISTINCT text) AS texts FROM documents GROUP BY lang, source HAVING count(*) >= 5")
+def facet_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grouped = table(spark, sf_dir, "documents").groupBy("lang", "source").agg(F.count("*").alias("n"), F.count_distinct("text").alias("texts"))
+    return grouped.where("n >= 5")
+
+
+_SCHOOL_SQL = "CASE WHEN p_size BETWEEN 1 AND 8 THEN 'K-8' " + " ".join(f"WHEN p_size = {n} THEN '{vocab.SCHOOL[n - 1]}'" for n in range(9, 13)) + " END"
+
+
+@register("grade_facet", f"SELECT DISTINCT {_SCHOOL_SQL} AS value FROM part WHERE p_size BETWEEN 1 AND 12")
+def grade_facet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return facets.grade_facet(records(spark, sf_dir)).select("value")
+
+
+@register(
+    "conditional_counts",
+    """SELECT count(*) FILTER (event_type = 'click') AS clicks, count(*) FILTER (event_type = 'purchase' AND value > 50) AS large_purchases,
+              count(*) FILTER (event_type <> 'error') AS fine, count(*) AS total FROM events""",
+)
+def conditional_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.col("event_type")
+    return table(spark, sf_dir, "events").agg(
+        F.count_if(kind == "click").alias("clicks"), F.count_if((kind == "purchase") & (F.col("value") > 50)).alias("large_purchases"), F.count_if(kind != "error").alias("fine"), F.count("*").alias("total")
+    )
+
+
+@register(
+    "category_counts",
+    f"""WITH {CATALOG}, matched AS (SELECT * FROM catalog), {_GROUPED}, open_ AS (SELECT * FROM grouped WHERE deadline IS NULL OR deadline >= DATE '{AS_OF}')
+        SELECT 'small' AS category, count(*) FILTER (word = 'small' OR kind = 'small') AS count FROM open_ UNION ALL SELECT 'small/promo', count(*) FILTER (word = 'small' AND kind = 'promo') FROM open_""",
+)
+def category_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grouped = dedupe.group_similar(catalog_records(spark, sf_dir), AS_OF)
+    return facets.category_counts(grouped, AS_OF, {"small": (("small",), None), "small/promo": (("small", "promo"), None)})
+
+
+@register(
+    "catalog_totals",
+    f"""WITH {CATALOG}, matched AS (SELECT * FROM catalog), {_GROUPED}
+        SELECT (SELECT count(*) FROM catalog) AS count, CAST(7 AS BIGINT) AS "sourceCount", count(*) AS "directoryCount",
+               count(*) FILTER (deadline IS NULL OR deadline >= DATE '{AS_OF}') AS "activeDirectoryCount",
+               CAST(ceil(count(*) / 100.0) AS BIGINT) AS "directoryPageCount", CAST(ceil((SELECT count(*) FROM catalog) / 500.0) AS BIGINT) AS "searchShardCount",
+               greatest((SELECT count(*) FROM catalog), 123) AS "discoveredCount" FROM grouped""",
+)
+def catalog_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = catalog_records(spark, sf_dir)
+    figures = facets.totals(rows, dedupe.group_similar(rows, AS_OF), AS_OF, 123)
+    return figures.select("count", "sourceCount", "directoryCount", "activeDirectoryCount", "directoryPageCount", "searchShardCount", F.col("discoveredCount").cast("long").alias("discoveredCount"))
+
+
+@register(
+    "topk_per_tag",
+    f"""WITH {CATALOG}, matched AS (SELECT * FROM catalog), {_GROUPED}, tags AS (SELECT kind AS tag, * FROM grouped UNION SELECT word, * FROM grouped),
+        ranked_tags AS (SELECT tag, id, row_number() OVER (PARTITION BY tag ORDER BY coalesce(deadline, DATE '9999-12-31'), title, seq) AS place FROM tags
+                        WHERE deadline IS NULL OR deadline >= DATE '{AS_OF}')
+        SELECT tag, CAST(place AS INTEGER) AS place, id FROM ranked_tags WHERE place <= 4""",
+)
+def topk_per_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = catalog_records(spark, sf_dir)
+    return facets.top_per_tag(dedupe.group_similar(rows, AS_OF), facets.distinct_values(rows, "eligibility.tags"), AS_OF)
+
+
+@register(
+    "related_records",
+    f"""WITH {CATALOG}, tagged AS (SELECT kind AS tag, id, seq FROM catalog UNION SELECT word, id, seq FROM catalog),
+        lists AS (SELECT tag, id, row_number() OVER (PARTITION BY tag ORDER BY seq) AS place FROM tagged QUALIFY place <= 4),
+        tags AS (SELECT id AS source_id, 0 AS tag_pos, kind AS tag FROM catalog UNION ALL SELECT id, 1, word FROM catalog),
+        firsts AS (SELECT source_id, l.id, min((tag_pos, place)) AS first FROM tags JOIN lists l USING (tag) WHERE l.id <> source_id GROUP BY source_id, l.id)
+        SELECT source_id, CAST(row_number() OVER (PARTITION BY source_id ORDER BY first, id) AS INTEGER) AS place, id FROM firsts QUALIFY place <= 3""",
+)
+def related_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = records(spark, sf_dir)
+    tagged = rows.select("id", "seq", F.explode(F.array_distinct("eligibility.tags")).alias("tag"))
+    lists = tagged.withColumn("place", F.row_number().over(Window.partitionBy("tag").orderBy("seq"))).where("place <= 4").select("tag", "place", "id")
+    return facets.related(rows.select(F.col("id").alias("source_id"), F.col("eligibility.tags").alias("tags")), lists)
+
+
+@register("window_total", "SELECT n_nationkey, n_name, count(*) OVER () AS matched_count FROM nation WHERE n_regionkey < 3")
+def window_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The original form of a page's total; one aggregate joined to the rows gives it without a window over everything."""
+    rows = table(spark, sf_dir, "nation").where("n_regionkey < 3").select("n_nationkey", "n_name")
+    return rows.crossJoin(F.broadcast(rows.agg(F.count("*").alias("matched_count"))))
+
+
+@register(
+    "first_two_ordinality",
+    "WITH t AS (SELECT doc_id, unnest(string_split(text, ' ')[1:2]) AS word, generate_subscripts(string_split(text, ' ')[1:2], 1) AS position FROM documents) SELECT doc_id, CAST(position AS INTEGER) AS position, word FROM t",
+)
+def first_two_ordinality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.slice(F.split("text", " "), 1, 2)).alias("p", "word")).select("doc_id", (F.col("p") + 1).alias("position"), "word")
+
+
+@register("status_counts", f"WITH {CATALOG} SELECT publication_status, count(*) AS count FROM catalog GROUP BY 1")
+def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return facets.status_counts(records(spark, sf_dir))
+
+
+@register("sorted_distinct_strings", "SELECT o_custkey, string_agg(DISTINCT o_orderpriority, '|' ORDER BY o_orderpriority) AS priorities FROM orders GROUP BY o_custkey")
+def sorted_distinct_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_join(F.array_sort(F.collect_set("o_orderpriority")), "|").alias("priorities"))
+
+
+@register(
+    "shard_assign",
+    "SELECT l_orderkey, l_linenumber, l_partkey, CAST(floor((n - 1) / 500) + 1 AS INTEGER) AS shard FROM (SELECT *, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS n FROM lineitem)",
+)
+def shard_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    order = [F.col(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")]
+    return facets.in_chunks(rows, order, facets.SHARD, "shard").select("l_orderkey", "l_linenumber", "l_partkey", "shard")
+
+
+@register(
+    "completeness_rank",
+    """SELECT c_custkey, CAST(rank AS INTEGER) AS rank, score FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY score DESC, c_acctbal DESC, c_custkey) AS rank
+       FROM (SELECT *, CASE WHEN c_acctbal > 0 THEN 2 ELSE 0 END + CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN 1 ELSE 0 END + CASE WHEN length(trim(c_name)) >= 10 THEN 2 ELSE 0 END AS score FROM customer))
+       WHERE rank <= 3""",
+)
+def completeness_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    score = F.when(F.col("c_acctbal") > 0, 2).otherwise(0) + F.when(F.col("c_mktsegment").isin("BUILDING", "MACHINERY"), 1).otherwise(0) + F.when(F.length(F.trim("c_name")) >= 10, 2).otherwise(0)
+    order = Window.partitionBy("c_nationkey").orderBy(F.desc("score"), F.desc("c_acctbal"), "c_custkey")
+    return table(spark, sf_dir, "customer").withColumn("score", score).withColumn("rank", F.row_number().over(order)).where("rank <= 3").select("c_custkey", "rank", "score")
+
+
+# --- joins and sets -----------------------------------------------------------------------------------------------
+
+
+@register("semi_published", "SELECT o_orderkey FROM orders WHERE EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_mktsegment = 'BUILDING')")
+def semi_published(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parents = table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"))
+    return table(spark, sf_dir, "orders").join(parents, "o_custkey", "left_semi").select("o_orderkey")
+
+
+@register("anti_cleanup", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
+def anti_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
+    return table(spark, sf_dir, "customer").join(orders, "c_custkey", "left_anti").select("c_custkey")
+
+
+@register(
+    "existence_or",
+    "SELECT o_orderkey FROM orders WHERE o_totalprice < 20000 OR EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_acctbal < 0)",
+)
+def existence_or(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parents = table(spark, sf_dir, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("o_custkey"), F.lit(True).alias("found"))
+    joined = table(spark, sf_dir, "orders").join(parents, "o_custkey", "left")
+    return joined.where((F.col("o_totalprice") < 20000) | F.col("found")).select("o_orderkey")
+
+
+@register("membership_join", "SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey IN (SELECT unnest([3, 5, 8, 13, 21, 9999]))")
+def membership_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = spark.range(1).select(F.explode(F.array(*(F.lit(k).cast("long") for k in (3, 5, 8, 13, 21, 9999)))).alias("s_suppkey"))
+    return table(spark, sf_dir, "supplier").join(F.broadcast(ids.distinct()), "s_suppkey").select("s_suppkey", "s_name")
+
+
+@register(
+    "review_queue",
+    "SELECT event_id, event_type, c_name FROM events JOIN customer ON c_custkey = user_id WHERE event_type = 'error'",
+)
+def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    errors = table(spark, sf_dir, "events").where("event_type = 'error'")
+    return errors.join(customers, F.col("c_custkey") == F.col("user_id")).orderBy("ts").select("event_id", "event_type", "c_name")
+
+
+@register(
+    "tag_replace_overlay",
+    "SELECT d.doc_id, coalesce(CASE WHEN l.quality = 1 THEN 'q' || l.toxic END, d.source) AS tag FROM documents d LEFT JOIN labels l USING (doc_id)",
+)
+def tag_replace_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    overlay = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id", F.concat(F.lit("q"), "toxic").alias("over"))
+    return table(spark, sf_dir, "documents").select("doc_id", "source").join(overlay, "doc_id", "left").select("doc_id", F.coalesce("over", "source").alias("tag"))
+
+
+@register(
+    "fill_missing_fold",
+    """SELECT user_id, max(value) FILTER (rn_last = 1) AS last_value, min(event_type) FILTER (rn_first = 1) AS first_type FROM (
+         SELECT *, row_number() OVER (PARTITION BY user_id, event_type = 'purchase' ORDER BY ts DESC, event_id DESC) + CASE WHEN event_type = 'purchase' THEN 0 ELSE 1000000 END AS rn_last,
+                row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn_first FROM events) GROUP BY user_id""",
+)
+def fill_missing_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An ordered fold per key: a purchase replaces the value, the first type fills the gap."""
+    steps = F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type", "value")))
+    start = F.struct(F.lit(None).cast("double").alias("last_value"), F.lit(None).cast("string").alias("first_type"))
+    gathered = table(spark, sf_dir, "events").groupBy("user_id").agg(steps.alias("steps"))
+    return gathered.select("user_id", _refold("steps", start).alias("f")).select("user_id", "f.*")
+
+
+def _refold(steps: str, start: Column) -> Column:
+    return F.aggregate(
+        steps,
+        start,
+        lambda acc, e: F.struct(
+            F.when(e["event_type"] == "purchase", e["value"]).otherwise(acc["last_value"]).alias("last_value"), F.coalesce(acc["first_type"], e["event_type"]).alias("first_type")
+        ),
+    )
+
+
+@register("union_all_order", "SELECT 0 AS rank, s_suppkey AS id, s_name AS name FROM supplier UNION ALL SELECT 1, c_custkey, c_name FROM customer")
+def union_all_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one = table(spark, sf_dir, "supplier").select(F.lit(0).alias("rank"), F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
+    two = table(spark, sf_dir, "customer").select(F.lit(1).alias("rank"), F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    return one.unionByName(two)
+
+
+@register("union_distinct_urls", "SELECT regexp_replace(url, '[?#].*', '') AS url FROM pages UNION SELECT 'https://' || regexp_extract(url, '//([^/]+)', 1) FROM pages")
+def union_distinct_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return pages.select(F.regexp_replace("url", "[?#].*", "").alias("url")).union(pages.select(F.concat(F.lit("https://"), F.regexp_extract("url", "//([^/]+)", 1)))).distinct()
+
+
+@register(
+    "ordered_array_union",
+    "SELECT p_partkey, split_part(p_name, ' ', 1) || CASE WHEN split_part(p_name, ' ', 2) <> split_part(p_name, ' ', 1) THEN ' ' || split_part(p_name, ' ', 2) ELSE '' END || CASE WHEN lower(p_type) IN (split_part(p_name, ' ', 1), split_part(p_name, ' ', 2)) THEN '' ELSE ' ' || lower(p_type) END AS words FROM part",
+)
+def ordered_array_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    union = S.distinct_filled(F.concat(F.split("p_name", " "), F.array(F.lower("p_type"), F.lit(""))))
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(union, " ").alias("words"))
+
+
+@register(
+    "compatibility_ratio",
+    """WITH w AS (SELECT p_partkey, p_brand, p_type, list_distinct(string_split(p_name, ' ')) AS ws FROM part WHERE p_partkey < 1000)
+       SELECT a.p_partkey AS left_key, b.p_partkey AS right_key, len(list_intersect(a.ws, b.ws)) / least(len(a.ws), len(b.ws)) AS ratio
+       FROM w a JOIN w b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_partkey < b.p_partkey WHERE len(list_intersect(a.ws, b.ws)) / least(len(a.ws), len(b.ws)) >= 0.5""",
+)
+def compatibility_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = table(spark, sf_dir, "part").where("p_partkey < 1000").select("p_partkey", "p_brand", "p_type", S.words("p_name", folded=False).alias("ws"))
+    a, b = words.alias("a"), words.alias("b")
+    on = (F.col("a.p_brand") == F.col("b.p_brand")) & (F.col("a.p_type") == F.col("b.p_type")) & (F.col("a.p_partkey") < F.col("b.p_partkey"))
+    ratio = S.overlap_ratio(F.col("a.ws"), F.col("b.ws"))
+    return a.join(b, on).select(F.col("a.p_partkey").alias("left_key"), F.col("b.p_partkey").alias("right_key"), ratio.alias("ratio")).where("ratio >= 0.5")
+
+
+@register(
+    "array_difference",
+    "SELECT p_partkey, array_to_string(list_filter(string_split(p_name, ' '), lambda w: w NOT IN ('small', 'red', 'ring')), ' ') AS rest FROM part",
+)
+def array_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(S.without(F.split("p_name", " "), ("small", "red", "ring")), " ").alias("rest"))
+
+
+# --- scalars ------------------------------------------------------------------------------------------------------
+
+
+@register("slug_key", "SELECT n_nationkey, trim(regexp_replace(lower(n_name), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM nation")
+def slug_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "nation").select("n_nationkey", S.slug("n_name").alias("slug"))
+
+
+@register(
+    "grouping_keys",
+    """WITH t AS (SELECT p_partkey, p_brand, p_name || ' Awards ' || (1990 + p_partkey % 40) || ' Spring ' || (p_partkey % 9) || 'th No. ' || (p_partkey % 5) || ' & ' || p_type AS title FROM part),
+       k AS (SELECT p_partkey, trim(regexp_replace(replace(lower(p_brand), '&', 'and'), '[^a-z0-9]+', ' ', 'g')) AS provider,
+             trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(lower(title), '&', 'and'), '\\b(19|20)\\d{2}\\b', ' ', 'g'),
+                  '\\b(spring|summer|fall|autumn|winter)\\b', ' ', 'g'), '\\b(application|scholarships?|awards?|grants?|programs?|funds?)\\b', ' ', 'g'),
+                  '\\b(no\\.?|number)\\s*\\d+\\b', ' ', 'g'), '\\b\\d+(st|nd|rd|th)?\\b', ' ', 'g'), '[^a-z0-9]+', ' ', 'g')) AS title FROM t)
+       SELECT p_partkey, provider || '|' || title AS key FROM k""",
+)
+def grouping_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("p_partkey")
+    title = F.concat("p_name", F.lit(" Awards "), 1990 + key % 40, F.lit(" Spring "), key % 9, F.lit("th No. "), key % 5, F.lit(" & "), "p_type")
+    return table(spark, sf_dir, "part").select("p_partkey", S.group_key("p_brand", title).alias("key"))
+
+
+@register(
+    "grade_expand",
+    f"""WITH r AS (SELECT p_partkey, CAST(p_size % 12 + 1 AS INTEGER) AS a, CAST(least(p_size % 12 + 1 + p_partkey % 4, 12) AS INTEGER) AS b FROM part), names AS (SELECT {list(vocab.SCHOOL)!r} AS n)
+        SELECT p_partkey, array_to_string(n[a : b], ',') AS grades FROM r, names""",
+)
+def grade_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    low = F.col("p_size") % 12 + 1
+    value = F.concat(F.lit("Grades "), low, F.lit(" - "), F.least(low + (F.col("p_partkey") % 4).cast("int"), F.lit(12)))
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(S.grades(value), ",").alias("grades"))
+
+
+_VALUES = ["Texas", "new york and Virginia", "co", "West Virginia", "District of Columbia", "Washington DC", "", "Kansas, Arkansas"]
+_FOUND = ["TX", "NY,VA", "CO", "WV,VA", "", "", "", "AR,KS"]
+
+
+@register("state_names", f"SELECT n_nationkey, ({_FOUND!r})[CAST(n_nationkey % 8 + 1 AS INTEGER)] AS states FROM nation")
+def state_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    value = F.get(F.array(*map(F.lit, _VALUES)), F.col("n_nationkey") % 8)
+    return table(spark, sf_dir, "nation").select("n_nationkey", F.array_join(S.states(value), ",").alias("states"))
+
+
+@register(
+    "vocabulary_aliases",
+    """SELECT n_nationkey, (['financial-need', 'education', 'future-teachers', 'veteran'])[CAST(n_nationkey % 4 + 1 AS INTEGER)] AS tag, (['US', 'GB', 'FRANCE', 'MX'])[CAST(n_nationkey % 4 + 1 AS INTEGER)] AS country,
+              (['Two-year', 'Four-year', 'Vocational', 'Other school'])[CAST(n_nationkey % 4 + 1 AS INTEGER)] AS institution FROM nation""",
+)
+def vocabulary_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pick = lambda *values: F.get(F.array(*map(F.lit, values)), F.col("n_nationkey") % 4)
+    return table(spark, sf_dir, "nation").select(
+        "n_nationkey",
+        S.tag(pick("Low Income", "future-teachers", "Future Teacher", "Veteran")).alias("tag"),
+        S.country(pick("united states", " United Kingdom ", "France", "MEXICO")).alias("country"),
+        S.institution_type(pick("two year", "Four-Year", "VOCATIONAL", " Other school ")).alias("institution"),
+    )
+
+
+_PATH_SQL = "regexp_replace(lower(regexp_replace(regexp_extract(url, '//[^/?#]+([^?#]*)', 1), '/+$', '')), '/+$', '')"
+
+
+@register("url_normalise", f"SELECT page_id, lower(regexp_extract(url, '//([^/?#]+)', 1)) || {_PATH_SQL} AS url_key FROM pages")
+def url_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", S.url_key("url").alias("url_key"))
+
+
+@register(
+    "direct_application",
+    f"WITH {CATALOG} SELECT id, lower(regexp_extract(application_url, '//([^/?#]+)', 1)) <> regexp_extract(source_url, '//([^/?#]+)', 1) AS direct FROM catalog",
+)
+def direct_application(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records(spark, sf_dir).select("id", S.direct_application("application_url", "source_url").alias("direct"))
+
+
+_HOSTS = ["http://localhost/a", "https://10.1.2.3/", "https://172.20.0.1/x", "https://172.32.0.1/x", "https://192.168.1.1", "https://example.org/p"]
+
+
+@register("private_hosts", "SELECT n_nationkey, ([true, true, true, false, true, false])[CAST(n_nationkey % 6 + 1 AS INTEGER)] AS private FROM nation")
+def private_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "nation").select("n_nationkey", S.private_host(F.get(F.array(*map(F.lit, _HOSTS)), F.col("n_nationkey") % 6)).alias("private"))
+
+
+@register("format_date", "SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN 'No deadline published' WHEN o_orderkey % 10 = 1 THEN 'Date unavailable' ELSE strftime(o_orderdate, '%b %-d, %Y') END AS label FROM orders")
+def format_date(spark: SparkSession, sf_dir: str) -> DataFrame:
+    value = F.when(F.col("o_orderkey") % 10 == 0, None).when(F.col("o_orderkey") % 10 == 1, "soon").otherwise(F.col("o_orderdate").cast("string"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", S.date_label(value).alias("label"))
+
+
+@register("format_money", "SELECT p_partkey, CASE WHEN p_partkey % 13 = 0 THEN 'Varies' WHEN p_partkey % 7 = 0 THEN 'Amount not published' ELSE 'Up to $' || format('{:,}', CAST(floor(p_retailprice) AS BIGINT)) END AS label FROM part")
+def format_money(spark: SparkSession, sf_dir: str) -> DataFrame:
+    amount = F.when(F.col("p_partkey") % 7 != 0, F.floor("p_retailprice"))
+    return table(spark, sf_dir, "part").select("p_partkey", S.money(amount, F.col("p_partkey") % 13 == 0).alias("label"))
+
+
+@register("yes_no_unknown", "SELECT doc_id, CASE WHEN quality IS NULL THEN 'Not published' WHEN quality = 1 THEN 'Yes' ELSE 'No' END AS answer FROM documents LEFT JOIN labels USING (doc_id)")
+def yes_no_unknown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
+    return joined.select("doc_id", S.yes_no(F.col("quality") == 1).alias("answer"))
+
+
+@register("confidence_bounds", "SELECT event_id, CASE WHEN value / 100 BETWEEN 0 AND 1 THEN value / 100 END AS confidence FROM events")
+def confidence_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", S.confidence(F.col("value") / 100).alias("confidence"))
+
+
+@register(
+    "deadline_flags",
+    f"""WITH {CATALOG} SELECT id, coalesce(deadline < DATE '{AS_OF}', FALSE) AS closed, CASE WHEN deadline IS NULL THEN 0 WHEN deadline >= DATE '{AS_OF}' THEN 2 ELSE 1 END AS score,
+        CASE vetting_status WHEN 'human' THEN 2 WHEN 'ai' THEN 1 ELSE 0 END AS vetting, CAST(coalesce(deadline, DATE '9999-12-31') AS VARCHAR) AS deadline_key FROM catalog""",
+)
+def deadline_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records(spark, sf_dir).select(
+        "id",
+        S.closed("deadline", AS_OF).alias("closed"),
+        S.deadline_score("deadline", F.lit(AS_OF)).alias("score"),
+        S.vetting_score("vetting.status").alias("vetting"),
+        S.deadline_key("deadline").cast("string").alias("deadline_key"),
+    )
+
+
+# --- duplicates, pruning and upserts ------------------------------------------------------------------------------
+
+
+@register(
+    "fingerprint_dedupe",
+    """SELECT doc_id, fp FROM (SELECT doc_id, fp, row_number() OVER (PARTITION BY fp ORDER BY doc_id) AS rn FROM (SELECT doc_id,
+         sha256(trim(regexp_replace(replace(lower(text), '&', ' and '), '[^a-z0-9]+', ' ', 'g')) || '|' || lang || '|') AS fp FROM documents)) WHERE rn = 1""",
+)
+def fingerprint_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", S.fingerprint("text", "lang", F.lit("")).alias("fp"))
+    return docs.groupBy("fp").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "fp")
+
+
+@register("greedy_dedupe")
+def greedy_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two-key fold in input order: events with a key of their user and minute or of their type and value."""
+    rows = table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("seq"),
+        F.concat_ws(":", "user_id", F.date_trunc("hour", F.col("ts").cast("timestamp"))).alias("id"),
+        F.concat(F.lit("https://example.org/"), "event_id").alias("sourceUrl"),
+        F.lit(None).cast(STRINGS).alias("sourceUrls"),
+        F.concat_ws(":", "event_type", "value", "props").alias("mark"),
+    )
+    kept = dedupe.greedy_dedupe(rows, fingerprint=F.col("mark"))
+    return kept.select("seq", "id", F.size("sourceUrls").alias("sources"))
+
+
+_PRUNE = f"""WITH {CATALOG}, keyed AS (SELECT *, regexp_replace(lower(provider), '[^a-z0-9]+', ' ', 'g') || '|' || title AS key,
+        lower(regexp_extract(application_url, '//([^/?#]+)', 1)) || lower(regexp_replace(regexp_extract(application_url, '//[^/?#]+(.*)', 1), '/+$', '')) AS app FROM catalog),
+    scored AS (SELECT *, CASE WHEN deadline IS NOT NULL THEN 2 ELSE 0 END + CASE WHEN award_maximum IS NOT NULL THEN 2 ELSE 0 END AS completeness,
+        count(*) OVER (PARTITION BY key) AS n, count(*) FILTER (vetting_status = 'human') OVER (PARTITION BY key) AS humans,
+        row_number() OVER (PARTITION BY key ORDER BY CASE vetting_status WHEN 'human' THEN 2 WHEN 'ai' THEN 1 ELSE 0 END DESC,
+            CASE WHEN deadline IS NULL THEN 0 WHEN deadline >= DATE '{AS_OF}' THEN 2 ELSE 1 END DESC,
+            CASE WHEN deadline IS NOT NULL THEN 2 ELSE 0 END + CASE WHEN award_maximum IS NOT NULL THEN 2 ELSE 0 END + CASE WHEN size BETWEEN 1 AND 12 THEN 1 ELSE 0 END DESC,
+            CASE WHEN seq % 4 = 0 THEN 0 ELSE 1 END DESC, id) AS rank FROM keyed),
+    plans AS (SELECT key, min(CASE WHEN rank = 1 THEN id END) AS survivor_id, string_agg(CASE WHEN rank > 1 THEN id END, ',' ORDER BY seq) AS duplicate_ids,
+        string_agg(source_url, ' ' ORDER BY source_url) AS source_urls, max(humans) AS humans, count(*) AS n FROM scored WHERE n >= 2 GROUP BY key)"""
+
+
+@register("prune_plan", f"{_PRUNE} SELECT key, survivor_id, duplicate_ids, source_urls FROM plans WHERE humans <= 1")
+def prune_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plans, _ = prune.plan(records(spark, sf_dir), AS_OF)
+    return plans.select("key", "survivor_id", F.array_join("duplicate_ids", ",").alias("duplicate_ids"), F.array_join("source_urls", " ").alias("source_urls"))
+
+
+@register("prune_skipped", f"{_PRUNE} SELECT key, CAST(n AS INTEGER) AS n FROM plans WHERE humans > 1")
+def prune_skipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, skipped = prune.plan(records(spark, sf_dir), AS_OF)
+    return skipped.select("key", F.size("ids").alias("n"))
+
+
+@register(
+    "prune_apply",
+    f"""{_PRUNE}, gone AS (SELECT s.id, p.survivor_id FROM scored s JOIN plans p USING (key) WHERE p.humans <= 1 AND s.n >= 2 AND s.rank > 1),
+        kept AS (SELECT c.id, coalesce((SELECT source_urls FROM plans WHERE humans <= 1 AND survivor_id = c.id), '') AS urls FROM catalog c WHERE c.id NOT IN (SELECT id FROM gone)),
+        refs AS (SELECT coalesce(g.survivor_id, 'p' || l_partkey) AS id, count(*) AS reports FROM (SELECT DISTINCT l_partkey, l_orderkey FROM lineitem WHERE l_orderkey < 500) l LEFT JOIN gone g ON g.id = 'p' || l_partkey GROUP BY 1)
+        SELECT kept.id, urls, coalesce(reports, 0) AS reports FROM kept LEFT JOIN refs USING (id)""",
+)
+def prune_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = records(spark, sf_dir)
+    plans, _ = prune.plan(rows, AS_OF)
+    reports = table(spark, sf_dir, "lineitem").where("l_orderkey < 500").select(F.concat(F.lit("p"), "l_partkey").alias("scholarship_id"), "l_orderkey").distinct()
+    kept, reports, _, _ = prune.apply(rows, reports, reports, plans, F.lit("2026-01-01").cast("timestamp"))
+    counts = reports.groupBy(F.col("scholarship_id").alias("id")).agg(F.count("*").alias("reports"))
+    return kept.join(counts, "id", "left").select("id", F.coalesce(F.array_join("source_urls", " "), F.lit("")).alias("urls"), F.coalesce("reports", F.lit(0)).alias("reports"))
+
+
+@register("prune_totals", f"{_PRUNE} SELECT (SELECT count(*) FROM catalog) AS scanned, count(*) AS \"duplicateGroups\", CAST(sum(n - 1) AS BIGINT) AS \"recordsToDelete\" FROM plans WHERE humans <= 1")
+def prune_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = records(spark, sf_dir)
+    return prune.plan_totals(rows, prune.plan(rows, AS_OF)[0])
+
+
+@register(
+    "upsert_latest",
+    """WITH last AS (SELECT user_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1)
+       SELECT coalesce(c_custkey, user_id) AS id, c_name AS name, CASE WHEN user_id IS NOT NULL THEN value ELSE c_acctbal END AS amount FROM customer FULL JOIN last ON c_custkey = user_id""",
+)
+def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("amount"))
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("id"), F.col("value").alias("amount"), "ts", "event_id")
+    return projection.upsert(base, rows, "id", [F.col("ts").desc(), F.col("event_id").desc()])
+
+
+@register(
+    "projection_sync",
+    f"""WITH {CATALOG}, changes AS (SELECT CASE WHEN user_id % 3 = 0 THEN 'D' ELSE 'U' END AS op, 'p' || user_id AS id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1)
+        SELECT id, coalesce(award_maximum, -1) AS award_maximum, coalesce(vetting_status, 'unvetted') AS vetting_status FROM catalog
+        WHERE publication_status = 'published' AND id NOT IN (SELECT id FROM changes WHERE op = 'D')""",
+)
+def projection_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = records(spark, sf_dir)
+    events = table(spark, sf_dir, "events").select(F.concat(F.lit("p"), "user_id").alias("id"), F.when(F.col("user_id") % 3 == 0, "D").otherwise("U").alias("op"), F.col("event_id").alias("at"))
+    changes = events.join(rows, "id")
+    return projection.synchronise(projection.project(rows), changes, [F.col("at").desc()]).select("id", F.coalesce("award_maximum", F.lit(-1.0)).alias("award_maximum"), "vetting_status")
+
+
+@register("projection_orphans", f"WITH {CATALOG} SELECT id FROM catalog WHERE publication_status = 'draft'")
+def projection_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = records(spark, sf_dir)
+    return projection.orphans(rows.select("id"), rows)
+
+
+# --- projections and validation -----------------------------------------------------------------------------------
+
+
+@register(
+    "summary_projection",
+    f"WITH {CATALOG} SELECT id, left(title || ' ' || provider || ' ' || upper(kind), 240) AS description, kind || ',' || word AS tags, coalesce(varies, FALSE) AS varies FROM catalog",
+)
+def summary_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    brief = records(spark, sf_dir).select(*normalize.summary_columns("institution_specific", "institution_name"))
+    return brief.select("id", "description", F.array_join("eligibility.tags", ",").alias("tags"), F.col("award.varies").alias("varies"))
+
+
+@register(
+    "missing_fields",
+    f"""WITH {CATALOG} SELECT id, concat_ws(',', CASE WHEN award_maximum IS NULL AND NOT varies THEN 'award amount' END, CASE WHEN deadline IS NULL THEN 'deadline' END,
+        CASE WHEN size NOT BETWEEN 1 AND 12 THEN 'eligible grade levels' END, 'minimum GPA') AS missing FROM catalog""",
+)
+def missing_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = records(spark, sf_dir).withColumn("sourceMissingFields", F.array().cast(STRINGS))
+    return rows.select("id", F.array_join(normalize.display_missing_fields(), ",").alias("missing"))
+
+
+@register(
+    "index_search_text",
+    f"""WITH {CATALOG}, s AS (SELECT *, ({[''] + list(vocab.SCHOOL)!r})[CASE WHEN size BETWEEN 1 AND 12 THEN size + 1 ELSE 1 END] AS grade FROM catalog)
+        SELECT id, lower(regexp_replace(trim(concat_ws(' ', title, provider, title, provider, upper(kind), grade, thing, kind, word,
+               CASE WHEN institution_specific THEN 'college-specific institution-specific' ELSE 'general scholarship' END)), '\\s+', ' ', 'g')) AS search_text FROM s""",
+)
+def index_search_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = catalog_records(spark, sf_dir).withColumn("institutionName", F.lit(None).cast("string")).withColumn("institutionTypes", F.lit(None).cast(STRINGS))
+    return rows.select("id", normalize.index_search_text().alias("search_text"))
+
+
+@register(
+    "restrict_tags",
+    f"WITH {CATALOG} SELECT id, concat_ws(',', CASE WHEN kind IN ('promo', 'small') THEN kind END, CASE WHEN word IN ('red', 'small') THEN word END) AS tags FROM catalog",
+)
+def restrict_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = catalog_records(spark, sf_dir).withColumn("institutionName", F.lit(None).cast("string")).withColumn("institutionTypes", F.lit(None).cast(STRINGS))
+    return normalize.restrict_tags(rows, ("promo", "small", "red")).select("id", F.array_join("tags", ",").alias("tags"))
+
+
+@register(
+    "validate_split",
+    """SELECT o_orderkey, concat_ws(',', CASE WHEN o_totalprice > 400000 THEN 'price' END, CASE WHEN o_orderpriority NOT IN ('1-URGENT', '2-HIGH', '5-LOW') THEN 'priority' END) AS errors
+       FROM orders WHERE o_totalprice > 400000 OR o_orderpriority NOT IN ('1-URGENT', '2-HIGH', '5-LOW')""",
+)
+def validate_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = validate.errors((F.col("o_totalprice") > 400000, "price"), (~F.col("o_orderpriority").isin("1-URGENT", "2-HIGH", "5-LOW"), "priority"))
+    _, rejected = validate.split(table(spark, sf_dir, "orders"), rules)
+    return rejected.select("o_orderkey", F.array_join("errors", ",").alias("errors"))
+
+
+@register(
+    "candidate_errors",
+    f"""WITH {CATALOG} SELECT id, concat_ws(',', CASE WHEN seq % 6 = 0 THEN 'missing_applicationUrl' END, CASE WHEN seq % 6 IN (0, 1, 2) THEN 'invalid_applicationUrl' END,
+        CASE WHEN seq % 10 = 3 THEN 'invalid_deadline' END) AS errors FROM catalog""",
+)
+def candidate_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bad = F.when(F.col("seq") % 6 == 0, "").when(F.col("seq") % 6 == 1, "javascript:alert(1)").when(F.col("seq") % 6 == 2, "http://127.0.0.1/admin").otherwise(F.col("applicationUrl"))
+    rows = catalog_records(spark, sf_dir).withColumns(
+        {"applicationUrl": bad, "opens": F.lit(None).cast("string"), "sourceCheckedAt": F.lit("2025-01-01"), "deadline": F.when(F.col("seq") % 10 == 3, "soon").otherwise(F.col("deadline"))}
+    )
+    return rows.select("id", F.array_join(validate.candidate_errors(), ",").alias("errors"))
+
+
+@register(
+    "publish_projection",
+    f"WITH {CATALOG} SELECT id, source_url AS urls, coalesce(CAST(deadline AS VARCHAR), '') AS deadline, institution_specific, 'published' AS publication_status FROM catalog",
+)
+def publish_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    none = F.lit(None).cast("string")
+    rows = catalog_records(spark, sf_dir).withColumns(
+        {"sourceCheckedAt": F.lit("2025-01-01"), "sourceMissingFields": F.lit(None).cast(STRINGS), "opens": none, "institutionName": none, "institutionTypes": F.lit(None).cast(STRINGS)}
+    )
+    return normalize.published(rows, F.lit("2026-01-01 00:00:00")).select("id", F.array_join("source_urls", " ").alias("urls"), S.text("deadline").alias("deadline"), "institution_specific", "publication_status")
