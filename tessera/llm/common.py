@@ -54,6 +54,23 @@ def with_row_id(df: DataFrame, name: str) -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
+def most_frequent(counts: DataFrame, bound: int, column: str = "count") -> DataFrame:
+    """The rows of the highest counts, at most ``bound`` of them: all rows of a count stay or go together.
+
+    The cut comes from a histogram of the counts, so the driver gets the chosen rows only, not ``bound`` rows of each
+    partition. ``counts`` is read twice and should be a checkpoint.
+    """
+    held, least = 0, None
+    for value, rows in counts.groupBy(column).agg(F.count("*").alias("rows")).orderBy(F.desc(column)).select(column, "rows").toLocalIterator():
+        held += rows
+        if held > bound:
+            break
+        least = value
+    else:
+        return counts
+    return counts.where(F.col(column) >= least) if least is not None else counts.limit(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

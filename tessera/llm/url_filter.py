@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import checkpoint, most_frequent
+
 CLEAN = "clean"
 SEEDS: dict[str, tuple[str, ...]] = {
     "adult": ("adult", "porn", "sex", "xxx", "nude", "escort"),
@@ -138,10 +140,9 @@ def word_counts(pages: DataFrame, url_col: str = "url", html_col: str = "html")
 
 
 def fit_segmenter(pages: DataFrame, url_col: str = "url", html_col: str = "html", vocabulary: int = VOCABULARY) -> Segmenter:
-    counts = word_counts(pages, url_col, html_col)
+    counts = checkpoint(word_counts(pages, url_col, html_col))
     # Chances are shares of what is kept; rarer words count as unknown.
-    ranked = counts.orderBy(F.desc("count"), "word").limit(vocabulary).collect()
-    kept = {r["word"]: r["count"] for r in ranked}
+    kept = {r["word"]: r["count"] for r in most_frequent(counts, vocabulary).collect()}
     return Segmenter(kept, max(1, sum(kept.values())))
 
 
@@ -179,7 +180,7 @@ def fit_bayes(pages: DataFrame, segmenter: Segmenter, url_col: str = "url", seed
     urls = pages.select(_words(segmenter)(F.col(url_col).cast("string")).alias("words")).withColumn("category", _category(F.col("words"), seeds))
     counted = urls.select("category", F.explode(F.concat("words", F.array(F.lit("")))).alias("word")).groupBy("word", "category").agg(F.count("*").alias("count"))
     # The empty word comes once in each URL, so its counts are those of URLs.
-    rows = [(r["word"], r["category"], r["count"]) for r in counted.orderBy(F.desc("count"), "word", "category").limit(vocabulary).collect()]
+    rows = sorted((r["word"], r["category"], r["count"]) for r in most_frequent(checkpoint(counted), vocabulary).collect())
     return bayes([r for r in rows if r[0]], {c: n for w, c, n in rows if not w})
 
 
