@@ -316,7 +316,8 @@ def catalog_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def topk_per_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = catalog_records(spark, sf_dir)
-    return facets.top_per_tag(dedupe.group_similar(rows, AS_OF), facets.distinct_values(rows, "eligibility.tags"), AS_OF)
+    top = facets.top_per_tag(dedupe.group_similar(rows, AS_OF), facets.distinct_values(rows, "eligibility.tags"), AS_OF)
+    return top.where("id IS NOT NULL")
 
 
 @register(
