@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import scalars as S
+from tessera.operators.dedupe import cut
 from tessera.schema import ELIGIBILITY_ARRAYS, REQUIREMENTS
 
 
@@ -142,7 +143,8 @@ def checked(plans: DataFrame, records: DataFrame) -> DataFrame:
 
 def apply(records: DataFrame, reports: DataFrame, contributions: DataFrame, plans: DataFrame, now: Column) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(records, reports, contributions, result) after all plans: survivors have all addresses, references point to them, duplicates are gone."""
-    plans = checked(plans, records)
+    # Plans are few against records and read four times below.
+    plans = cut(checked(plans, records))
     mapping = plans.select(F.explode("duplicate_ids").alias("id"), "survivor_id")
     members = plans.select("survivor_id", "source_urls", F.explode(F.concat(F.array("survivor_id"), F.col("duplicate_ids"))).alias("id"))
     empty = F.array().cast("array<string>")
