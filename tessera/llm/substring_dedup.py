@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import checkpoint, with_row_id
+from tessera.llm.common import checkpoint, shuffle_partitions, with_row_id
 from tessera.llm.grams import BASE, SECOND_BASE, codes, run_hashes
 
 MIN_WORDS = 50
@@ -114,8 +114,9 @@ def factors(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     shared = found.withColumn("low", F.min("row").over(same)).withColumn("high", F.max("row").over(same)).where("low < high")
     regions = shared.groupBy("row").agg(F.collect_list("pos").alias("places"))
     seeds = texts.join(regions, "row").select("row", "text", "places").mapInArrow(_seed_rows(min_words), "hash long, tail long, row long")
-    # 96 bits name a seed: 64 of one hash and 32 of another; the place is in the lower half of the tail.
-    seeds = seeds.select("hash", F.shiftright("tail", 32).cast("int").alias("more"), F.col("tail").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("pos"), "row")
+    # 96 bits name a seed: 64 of one hash and 32 of another; the place is in the lower half of the tail. Seeds are spread
+    # before the tail is taken apart, which keeps them to three longs on the way.
+    seeds = seeds.repartition(shuffle_partitions(rows.sparkSession), "hash").select("hash", F.shiftright("tail", 32).cast("int").alias("more"), F.col("tail").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("pos"), "row")
     first = F.first(F.struct("row", "pos")).over(Window.partitionBy("hash", "more").orderBy("row", "pos"))
     matched = seeds.withColumn("ref", first).where("ref.row < row").select("row", "pos", F.col("ref.row").alias("ref_row"), F.col("ref.pos").alias("ref_pos"))
     order = Window.partitionBy("row").orderBy("pos")
