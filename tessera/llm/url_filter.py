@@ -2,24 +2,25 @@
 
 Unigram counts come from all pages: words of their visible text and name parts of their URLs. A name without
 separators ("cheappills") falls into the most probable sequence of words; runs of digits are one word each, ``#``.
+Each distinct name is joined with the counts of all words that it can contain, so none is too rare to count.
 
 Naive Bayes counts the words of every URL. There are no labelled pages, so a URL whose words include a seed term has
 that term's category and any other is taken as clean; what the counts add is every word that goes with those. All
-statistics are sums over the whole table. Workers get the ``vocabulary`` most frequent words of either model.
+statistics are sums over the whole table. Workers get the ``vocabulary`` most frequent words of naive Bayes.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Iterator, Mapping
 from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import checkpoint, most_frequent
+from tessera.llm.common import checkpoint, most_frequent, with_row_id
 
 CLEAN = "clean"
 SEEDS: dict[str, tuple[str, ...]] = {
@@ -29,13 +30,16 @@ SEEDS: dict[str, tuple[str, ...]] = {
     "spam": ("spam", "malware", "phishing", "warez", "keygen"),
     "ads": ("ads", "adserver", "tracker", "doubleclick", "popunder"),
 }
-#: Words either model keeps, by frequency in the whole table.
+#: Words naive Bayes keeps, by frequency in the whole table.
 VOCABULARY = 200_000
 #: Log odds of the best category over clean from which a URL is blocked.
 BLOCK_ODDS = 0.0
 LONGEST = 24
 #: Names whose segmentation a worker remembers; it forgets all beyond that.
 REMEMBERED = 500_000
+#: Characters of a name whose pieces are made at once, and pieces that are handed on at once.
+STARTS_AT_ONCE = 4_096
+PIECES_AT_ONCE = 100_000
 
 _PARTS = re.compile(r"[^\W\d_]+|\d+")
 _URL = re.compile(r"^\s*(?:[a-z][a-z0-9+.\-]*:)?//(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)(?::\d*)?([^?#]*)", re.IGNORECASE)
@@ -48,6 +52,11 @@ def split_url(url: str) -> tuple[str, str]:
     return host.strip().lower(), path.strip().lower()
 
 
+def names(url: str) -> list[str]:
+    """Names of host and path in order, each run of digits as ``#``."""
+    return ["#" if part[0].isdigit() else part for part in _PARTS.findall(" ".join(split_url(url)))]
+
+
 @dataclass
 class Segmenter:
     """Unigram model of words; an unknown word's chance falls tenfold with each character."""
@@ -85,8 +94,8 @@ class Segmenter:
     def words(self, url: str) -> list[str]:
         """Words of host and path in order."""
         found: list[str] = []
-        for part in _PARTS.findall(" ".join(split_url(url))):
-            found.extend(["#"] if part[0].isdigit() else self.segment(part))
+        for name in names(url):
+            found.extend([name] if name == "#" else self.segment(name))
         return found
 
 
@@ -139,11 +148,64 @@ def word_counts(pages: DataFrame, url_col: str = "url", html_col: str = "html")
     return pages.select(word.alias("word")).where(F.length("word").between(1, LONGEST)).groupBy("word").agg(F.count("*").alias("count"))
 
 
-def fit_segmenter(pages: DataFrame, url_col: str = "url", html_col: str = "html", vocabulary: int = VOCABULARY) -> Segmenter:
+def fit_segmenter(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> Segmenter:
+    """A model of all words by itself, for tables whose words fit the driver; ``filter_pages`` does without."""
+    counts = {r["word"]: r["count"] for r in word_counts(pages, url_col, html_col).toLocalIterator()}
+    return Segmenter(counts, max(1, sum(counts.values())))
+
+
+def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(key, word) of every piece of a name that may be a word."""
+    keys: list[int] = []
+    words: list[str] = []
+    for batch in batches:
+        for key, name in zip(batch["key"], batch["name"]):
+            for first in range(0, len(name), STARTS_AT_ONCE):
+                starts = range(first, min(len(name), first + STARTS_AT_ONCE))
+                found = {name[start:end] for start in starts for end in range(start + 1, min(len(name), start + LONGEST) + 1)}
+                keys.extend([key] * len(found))
+                words.extend(found)
+                if len(words) >= PIECES_AT_ONCE:
+                    yield pd.DataFrame({"key": keys, "word": words})
+                    keys, words = [], []
+    if words:
+        yield pd.DataFrame({"key": keys, "word": words})
+
+
+def segmented(distinct: DataFrame, counts: DataFrame) -> DataFrame:
+    """(name, words) of distinct names, by the counts of all words and their sum."""
+    total = max(1, counts.agg(F.sum("count")).first()[0] or 0)
+    keyed = with_row_id(distinct, "key")
+    known = keyed.where("name <> '#'").mapInPandas(_pieces, "key long, word string").join(counts, "word")
+    known = known.groupBy("key").agg(F.collect_list("word").alias("own"), F.collect_list("count").alias("times"))
+
+    @F.pandas_udf("string")
+    def segment(names: pd.Series, own: pd.Series, times: pd.Series) -> pd.Series:
+        return pd.Series([n if n == "#" else " ".join(Segmenter({} if o is None else dict(zip(o, map(int, t))), total).segment(n)) for n, o, t in zip(names, own, times)], dtype=object)
+
+    return keyed.join(known, "key", "left").select("name", segment("name", "own", "times").alias("words"))
+
+
+def _split():  # noqa: ANN202
+    @F.pandas_udf("host string, names array<string>")
+    def split(urls: pd.Series) -> pd.DataFrame:
+        out = [(None, None) if u is None or not u.strip() else (split_url(u)[0] or None, names(u)) for u in urls]
+        return pd.DataFrame(out, columns=["host", "names"], dtype=object)
+
+    return split
+
+
+def url_words(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(row, page_id, host, words) with the words of each URL in order; null words where a URL is null or blank."""
+    urls = with_row_id(pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url")), "row")
+    urls = urls.select("row", "page_id", _split()("url").alias("found")).select("row", "page_id", "found.host", "found.names")
+    placed = urls.select("row", F.posexplode("names").alias("place", "name"))
     counts = checkpoint(word_counts(pages, url_col, html_col))
-    # Chances are shares of what is kept; rarer words count as unknown.
-    kept = {r["word"]: r["count"] for r in most_frequent(counts, vocabulary).collect()}
-    return Segmenter(kept, max(1, sum(kept.values())))
+    known = segmented(checkpoint(placed.select("name").distinct()), counts)
+    words = placed.join(known, "name").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("place", "words"))).alias("found"))
+    words = words.select("row", F.array_join("found.words", " ").alias("words"))
+    blank = F.col("names").isNull()
+    return urls.join(words, "row", "left").select("row", "page_id", "host", F.when(~blank, F.coalesce("words", F.lit(""))).alias("words"))
 
 
 def _category(words: Column, seeds: Mapping[str, Iterable[str]]) -> Column:
@@ -177,7 +239,12 @@ def _segmenter(counts: Mapping[str, int], total: int) -> Segmenter:
 
 
 def fit_bayes(pages: DataFrame, segmenter: Segmenter, url_col: str = "url", seeds: Mapping[str, Iterable[str]] = SEEDS, vocabulary: int = VOCABULARY) -> Bayes:
-    urls = pages.select(_words(segmenter)(F.col(url_col).cast("string")).alias("words")).withColumn("category", _category(F.col("words"), seeds))
+    return _fitted(pages.select(_words(segmenter)(F.col(url_col).cast("string")).alias("words")), seeds, vocabulary)
+
+
+def _fitted(urls: DataFrame, seeds: Mapping[str, Iterable[str]], vocabulary: int) -> Bayes:
+    """The model of the URLs whose ``words`` are given."""
+    urls = urls.withColumn("category", _category(F.col("words"), seeds))
     counted = urls.select("category", F.explode(F.concat("words", F.array(F.lit("")))).alias("word")).groupBy("word", "category").agg(F.count("*").alias("count"))
     # The empty word comes once in each URL, so its counts are those of URLs.
     rows = sorted((r["word"], r["category"], r["count"]) for r in most_frequent(checkpoint(counted), vocabulary).collect())
@@ -212,6 +279,18 @@ def score_urls(pages: DataFrame, segmenter: Segmenter, model: Bayes, id_col: str
 
 
 def filter_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", seeds: Mapping[str, Iterable[str]] = SEEDS) -> DataFrame:
-    """``score_urls`` with both models fitted on the same pages."""
-    segmenter = fit_segmenter(pages, url_col, html_col)
-    return score_urls(pages, segmenter, fit_bayes(pages, segmenter, url_col, seeds), id_col, url_col)
+    """Rows as of ``score_urls`` with both models fitted on the same pages; cases as there."""
+    urls = checkpoint(url_words(pages, id_col, url_col, html_col))
+    words = F.coalesce(F.array_remove(F.split("words", " "), ""), F.array().cast("array<string>"))
+    model = _fitted(urls.select(words.alias("words")), seeds, VOCABULARY)
+
+    @F.pandas_udf("category string, odds double, blocked boolean")
+    def score(words: pd.Series) -> pd.DataFrame:
+        out = []
+        for w in words:
+            category, odds = (CLEAN, None) if w is None else model.score(w.split())
+            out.append((category, odds if odds is not None and math.isfinite(odds) else None, category != CLEAN))
+        return pd.DataFrame(out, columns=["category", "odds", "blocked"]).astype({"odds": "float64", "blocked": bool})
+
+    scored = urls.select("page_id", "host", F.coalesce("words", F.lit("")).alias("words"), score("words").alias("found"))
+    return scored.select("page_id", "host", "words", "found.category", "found.odds", "found.blocked")

@@ -130,6 +130,34 @@ def test_unseparated_names_are_blocked(spark):
     assert model.score(segmenter.words("https://ththre.example.com/fr/825"))[0] == "clean"
 
 
+def rare_words(n):
+    return ["".join(w) for w, _ in zip(product("bcdfghjklmnpqrstvwxyz", repeat=5), range(n))]
+
+
+def test_every_word_counts_in_segmentation(spark):
+    """More words than any bound there was; a name that is a rare word itself stays one, as the exact counts say."""
+    html = " ".join(rare_words(200_001) * 2 + ["cheap", "pills"] * 400)
+    pages = spark.createDataFrame([(1, "http://cheappills.example.org/bbbbcbbbbd", html), (2, "http://cheapxpills.example.org/", "")], "page_id long, url string, html string")
+    counts = {w: 2 for w in rare_words(200_001)} | {"cheap": 400, "pills": 400, "cheappills": 1, "cheapxpills": 1, "bbbbcbbbbd": 1, "http": 2, "example": 2, "org": 2}
+    model = url_filter.Segmenter(counts, sum(counts.values()))
+    out = {r["page_id"]: r["words"] for r in url_filter.filter_pages(pages).collect()}
+    assert out == {1: " ".join(model.words("//cheappills.example.org/bbbbcbbbbd")), 2: " ".join(model.words("//cheapxpills.example.org/"))}
+    assert out[1] == "cheappills example org bbbbcbbbbd"
+
+
+def test_long_names_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(url_filter, "STARTS_AT_ONCE", 3)
+    monkeypatch.setattr(url_filter, "PIECES_AT_ONCE", 5)
+    pages = table(spark, DATA, "pages").limit(50)
+    long = spark.createDataFrame([(-1, "http://x.org/" + "cheappills" * 30, "cheap pills " * 9)], "page_id long, url string, html string")
+    pages = pages.select("page_id", "url", "html").unionAll(long)
+    segmenter = url_filter.fit_segmenter(pages)
+    want = url_filter.score_urls(pages, segmenter, url_filter.fit_bayes(pages, segmenter)).collect()
+    got = url_filter.filter_pages(pages).collect()
+    near = lambda rows: sorted((r["page_id"], r["host"], r["words"], r["category"], round(r["odds"], 9), r["blocked"]) for r in rows)
+    assert near(got) == near(want) and "cheap pills cheap pills" in next(r["words"] for r in got if r["page_id"] == -1)
+
+
 def test_block_names(spark):
     random.seed(2)
     texts = ["".join(random.choices("ab", k=random.choice((0, 1, 3, 4, 5, 8, 9, 16)))) for _ in range(300)]
