@@ -6,7 +6,7 @@ Each distinct name is joined with the counts of all words that it can contain, s
 
 Naive Bayes counts the words of every URL. There are no labelled pages, so a URL whose words include a seed term has
 that term's category and any other is taken as clean; what the counts add is every word that goes with those. All
-statistics are sums over the whole table. Workers get the ``vocabulary`` most frequent words of naive Bayes.
+statistics are sums over the whole table, and URLs are joined with the weights of their words.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import checkpoint, most_frequent, with_row_id
+from tessera.llm.common import checkpoint, with_row_id
 
 CLEAN = "clean"
 SEEDS: dict[str, tuple[str, ...]] = {
@@ -30,8 +30,6 @@ SEEDS: dict[str, tuple[str, ...]] = {
     "spam": ("spam", "malware", "phishing", "warez", "keygen"),
     "ads": ("ads", "adserver", "tracker", "doubleclick", "popunder"),
 }
-#: Words naive Bayes keeps, by frequency in the whole table.
-VOCABULARY = 200_000
 #: Log odds of the best category over clean from which a URL is blocked.
 BLOCK_ODDS = 0.0
 LONGEST = 24
@@ -238,17 +236,12 @@ def _segmenter(counts: Mapping[str, int], total: int) -> Segmenter:
     return _made[0][2]
 
 
-def fit_bayes(pages: DataFrame, segmenter: Segmenter, url_col: str = "url", seeds: Mapping[str, Iterable[str]] = SEEDS, vocabulary: int = VOCABULARY) -> Bayes:
-    return _fitted(pages.select(_words(segmenter)(F.col(url_col).cast("string")).alias("words")), seeds, vocabulary)
-
-
-def _fitted(urls: DataFrame, seeds: Mapping[str, Iterable[str]], vocabulary: int) -> Bayes:
-    """The model of the URLs whose ``words`` are given."""
-    urls = urls.withColumn("category", _category(F.col("words"), seeds))
-    counted = urls.select("category", F.explode(F.concat("words", F.array(F.lit("")))).alias("word")).groupBy("word", "category").agg(F.count("*").alias("count"))
-    # The empty word comes once in each URL, so its counts are those of URLs.
-    rows = sorted((r["word"], r["category"], r["count"]) for r in most_frequent(checkpoint(counted), vocabulary).collect())
-    return bayes([r for r in rows if r[0]], {c: n for w, c, n in rows if not w})
+def fit_bayes(pages: DataFrame, segmenter: Segmenter, url_col: str = "url", seeds: Mapping[str, Iterable[str]] = SEEDS) -> Bayes:
+    """A model of all words by itself, for tables whose words fit the driver; ``filter_pages`` does without."""
+    urls = pages.select(_words(segmenter)(F.col(url_col).cast("string")).alias("words")).withColumn("category", _category(F.col("words"), seeds))
+    counted = urls.select("category", F.explode("words").alias("word")).groupBy("word", "category").agg(F.count("*").alias("count"))
+    rows = sorted((r["word"], r["category"], r["count"]) for r in counted.toLocalIterator())
+    return bayes(rows, {r["category"]: r["count"] for r in urls.groupBy("category").count().collect()})
 
 
 def score_urls(pages: DataFrame, segmenter: Segmenter, model: Bayes, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -278,19 +271,33 @@ def score_urls(pages: DataFrame, segmenter: Segmenter, model: Bayes, id_col: str
     return scored.select("page_id", "found.host", "found.words", "found.category", "found.odds", "found.blocked")
 
 
-def filter_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", seeds: Mapping[str, Iterable[str]] = SEEDS) -> DataFrame:
-    """Rows as of ``score_urls`` with both models fitted on the same pages; cases as there."""
-    urls = checkpoint(url_words(pages, id_col, url_col, html_col))
-    words = F.coalesce(F.array_remove(F.split("words", " "), ""), F.array().cast("array<string>"))
-    model = _fitted(urls.select(words.alias("words")), seeds, VOCABULARY)
+def _weighted(urls: DataFrame, categories: list[str]) -> DataFrame:
+    """(word, weights) of every word of the URLs, whose ``found`` words and ``category`` are given: a weight for each of ``categories``."""
+    own = F.array(*(F.count(F.when(F.col("category") == c, 1)) for c in categories))
+    counted = checkpoint(urls.select("category", F.explode("found").alias("word")).groupBy("word").agg(own.alias("own")))
+    sums = counted.agg(F.count("*").alias("words"), *(F.sum(F.col("own")[k]).alias(f"t{k}") for k in range(len(categories)))).first()
+    smoothed = [(sums[f"t{k}"] or 0) + sums["words"] + 1 for k in range(len(categories))]
+    return counted.select("word", F.array(*(F.log((F.col("own")[k] + 1) / F.lit(float(t))) for k, t in enumerate(smoothed))).alias("weights"))
 
-    @F.pandas_udf("category string, odds double, blocked boolean")
-    def score(words: pd.Series) -> pd.DataFrame:
-        out = []
-        for w in words:
-            category, odds = (CLEAN, None) if w is None else model.score(w.split())
-            out.append((category, odds if odds is not None and math.isfinite(odds) else None, category != CLEAN))
-        return pd.DataFrame(out, columns=["category", "odds", "blocked"]).astype({"odds": "float64", "blocked": bool})
 
-    scored = urls.select("page_id", "host", F.coalesce("words", F.lit("")).alias("words"), score("words").alias("found"))
-    return scored.select("page_id", "host", "words", "found.category", "found.odds", "found.blocked")
+def filter_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", seeds: Mapping[str, Iterable[str]] = SEEDS) -> DataFrame:
+    """Rows as of ``score_urls`` with both models fitted on the same pages; cases as there."""
+    found = F.coalesce(F.array_remove(F.split("words", " "), ""), F.array().cast("array<string>"))
+    urls = checkpoint(url_words(pages, id_col, url_col, html_col)).withColumn("found", found).withColumn("category", _category(F.col("found"), seeds))
+    sizes = {r["category"]: r["count"] for r in urls.groupBy("category").count().collect()}
+    categories, n = sorted({*sizes, CLEAN}), sum(sizes.values())
+    placed = urls.select("row", F.posexplode("found").alias("place", "word")).join(_weighted(urls, categories), "word")
+    # Weights are added in the order of the words, so that a URL's sums are the same each time.
+    placed = placed.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("place", "weights"))).alias("placed"))
+    prior = F.array(*(F.lit(math.log((sizes.get(c, 0) + 1) / (n + len(categories)))) for c in categories))
+    sums = F.coalesce(F.aggregate("placed", prior, lambda held, x: F.zip_with(held, x["weights"], lambda a, b: a + b)), prior)
+    scored = urls.join(placed, "row", "left").withColumn("sums", sums)
+    clean = F.col("sums")[categories.index(CLEAN)]
+    others = [(F.col("sums")[k] - clean, c) for k, c in enumerate(categories) if c != CLEAN]
+    odds = F.when(F.col("words").isNotNull(), F.greatest(*(x for x, _ in others), F.lit(-math.inf))) if others else F.lit(None).cast("double")
+    scored = scored.withColumn("odds", odds)
+    category = F.lit(CLEAN)
+    for x, c in reversed(others):
+        category = F.when((F.col("odds") > BLOCK_ODDS) & (x == F.col("odds")), c).otherwise(category)
+    scored = scored.withColumn("category", category)
+    return scored.select("page_id", "host", F.coalesce("words", F.lit("")).alias("words"), "category", "odds", (F.col("category") != CLEAN).alias("blocked"))

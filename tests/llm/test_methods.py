@@ -145,6 +145,23 @@ def test_every_word_counts_in_segmentation(spark):
     assert out[1] == "cheappills example org bbbbcbbbbd"
 
 
+def test_every_word_counts_in_bayes(spark):
+    """More URL words than any bound there was, all but a few in one URL: rare categories keep their words and priors."""
+    pages = spark.createDataFrame(
+        [(1, "http://pills.example.org/", ""), (2, "http://spam.example.org/", ""), (3, "http://pills.example.org/b", ""), (4, "http://news.example.org/" + "/".join(rare_words(200_001)), "")],
+        "page_id long, url string, html string",
+    )
+    words = {1: ["pills"], 2: ["spam"], 3: ["pills", "b"], 4: ["news", *rare_words(200_001)]}
+    seeded = {1: "pharmacy", 2: "spam", 3: "pharmacy", 4: "clean"}
+    rows = [(w, seeded[k], 1) for k, own in words.items() for w in [*own, "example", "org"]]
+    model = url_filter.bayes(rows, {"pharmacy": 2, "spam": 1, "clean": 1})
+    out = {r["page_id"]: r for r in url_filter.filter_pages(pages).collect()}
+    for k in (1, 2, 3):
+        own = [words[k][0], "example", "org", *words[k][1:]]
+        assert out[k]["words"].split() == own and (out[k]["category"], out[k]["odds"]) == (model.score(own)[0], pytest.approx(model.score(own)[1])) and out[k]["blocked"]
+    assert (out[4]["category"], out[4]["blocked"]) == ("clean", False)
+
+
 def test_long_names_in_pieces(spark, monkeypatch):
     monkeypatch.setattr(url_filter, "STARTS_AT_ONCE", 3)
     monkeypatch.setattr(url_filter, "PIECES_AT_ONCE", 5)
