@@ -88,7 +88,7 @@ def spans(text: str, automaton: ahocorasick.Automaton) -> list[tuple]:
 
 
 def _slices(benchmark: DataFrame, item_col: str, text_col: str, window: int, min_words: int, max_pattern_chars: int) -> Iterator[tuple[str, Broadcast]]:
-    """(name, broadcast patterns) of slices of the benchmark, each of a bounded size."""
+    """(name, broadcast patterns) of slices of the benchmark, each of about a bounded size; all rows of an item are in one."""
     spark = benchmark.sparkSession
     items = benchmark.select(F.col(item_col).alias("item"), F.col(text_col).cast("string").alias("text")).where("text is not null and item is not null")
     # A window starts at each word, so an item's patterns have about ``window`` times its characters.
@@ -96,7 +96,7 @@ def _slices(benchmark: DataFrame, item_col: str, text_col: str, window: int, min
     parts = 1 + int(chars // max_pattern_chars)
     for k in range(parts):
         found: dict[str, list] = {}
-        for item, text in items.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == k).orderBy("item", "text").toLocalIterator():
+        for item, text in items.where(F.pmod(F.xxhash64("item"), F.lit(parts)) == k).orderBy("item", "text").toLocalIterator():
             for pattern in windows(text, window, min_words):
                 if item not in found.setdefault(pattern, []):
                     found[pattern].append(item)

@@ -273,6 +273,15 @@ def test_contamination_by_brute_force(spark):
         assert passage in norm(by_item[r["item_id"]]) and len(passage.split()) == r["n_words"]
 
 
+def test_rows_of_an_item_stay_in_one_slice(spark):
+    parts = [[f"w{k}x{j}" for j in range(9)] for k in range(8)]
+    benchmark = spark.createDataFrame([(i, " ".join(p)) for i in (1, 2) for p in parts[4 * i - 4 : 4 * i]], "item_id long, text string")
+    docs = spark.createDataFrame([(7, " ".join(w for p in parts for w in p))], "doc_id long, text string")
+    for most in (4_000_000, 500):
+        out = decontaminate.contaminated_spans(docs, benchmark, max_pattern_chars=most).collect()
+        assert sorted((r["item_id"], r["n_words"]) for r in out) == [(1, 36), (2, 36)]
+
+
 def test_offsets_survive_odd_letters():
     item = "Straße İstanbul eins zwei drei vier fünf sechs"
     text = "Vorher: STRASSE straße... İSTANBUL!! Eins-zwei, drei\n vier fünf SECHS danach"
