@@ -155,11 +155,11 @@ def train(rows: list[tuple[str, str]], families: Mapping[str, str] = FAMILIES, f
 def sample(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> list[tuple[str, str]]:
     """At most ``per_language`` labelled texts of each language: those of the least hashes in the whole table.
 
-    Every row has its chance: the hash range is set from the count of each language's rows, and the rows in it are cut
-    to the bound after they are collected.
+    Every text has its chance: the hash range is set from the count of each language's distinct texts, and the texts in
+    it are cut to the bound after they are collected.
     """
     labelled = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang is not null and text is not null")
-    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
+    sizes = {r["lang"]: r["texts"] for r in labelled.groupBy("lang").agg(F.count_distinct(F.xxhash64("text")).alias("texts")).collect()}
     if not sizes:
         return []
     draw = F.pmod(F.xxhash64("text"), F.lit(1 << 30))

@@ -87,6 +87,11 @@ def test_held_out_languages(spark):
     assert {f for f in model.languages} == {"germanic", "romance"}
 
 
+def test_copies_leave_the_sample_whole(spark):
+    docs = spark.range(100_000).selectExpr("concat('text ', id % 100) AS text", "'en' AS lang")
+    assert sorted(t for t, _ in language_id.sample(docs)) == sorted(f"text {k}" for k in range(100))
+
+
 def test_differencing():
     parts = sharding.difference([[8, 0], [7, 0], [6, 0], [5, 0], [4, 0]])
     sums = sorted(sum([8, 7, 6, 5, 4][p // 2] for p in part if p % 2 == 0) for part in parts)
