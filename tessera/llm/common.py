@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Logical nodes under which monotonically_increasing_id() is a pure function of the scan.
-_STABLE = {"LogicalRelation", "LogicalRDD", "LocalRelation", "Project", "Filter", "Range", "SubqueryAlias", "View"}
+#: Logical nodes above a Parquet scan through which its rows keep their places.
+_PLAIN = {"Project", "Filter", "SubqueryAlias"}
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -20,12 +21,20 @@ def fresh(df: DataFrame, name: str) -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share, which ``spark.checkpoint.dir`` names; only where neither that setting
-    nor a folder of the context exists (tests, a laptop) a temporary one is made."""
+    """The folder all executors share, which ``spark.checkpoint.dir`` names.
+
+    Where neither that setting nor a folder of the context exists, a session without other machines (tests, a laptop)
+    gets a temporary one; on a cluster that is an error.
+    """
     context = spark.sparkContext
     if (own := context._jsc.sc().getCheckpointDir()).isDefined():
         return own.get()
-    context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
+        named = tempfile.mkdtemp(prefix="checkpoint-")
+    context.setCheckpointDir(named)
     return context._jsc.sc().getCheckpointDir().get()
 
 
@@ -35,40 +44,33 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def _stable(node) -> bool:
-    if node.getClass().getSimpleName() not in _STABLE:
-        return False
-    children = node.children()
-    return all(_stable(children.apply(i)) for i in range(children.size()))
-
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder as a Parquet table and read again."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    numbered = df.toDF(*(f"c{k}" for k in range(len(df.columns))))
+    numbered.write.parquet(path)
+    return df.sparkSession.read.schema(numbered.schema).parquet(path).toDF(*df.columns)
 
-def with_row_id(df: DataFrame, name: str) -> DataFrame:
-    """``df`` with a unique long per row that is the same each time the frame is evaluated.
 
-    Over scans, projections and filters the id follows from file splits alone. A frame with any other
-    operator beneath (a shuffle may deliver rows in another order when a lost task runs again) is
-    checkpointed first, so that ids stay fixed there too.
-    """
-    if not _stable(df._jdf.queryExecution().optimizedPlan()):
-        df = checkpoint(df)
-    return df.withColumn(name, F.monotonically_increasing_id())
+def _places(node) -> bool:
+    """Whether a plan is one Parquet scan under projections and filters."""
+    name = node.getClass().getSimpleName()
+    if name in _PLAIN:
+        return _places(node.children().apply(0))
+    return name == "LogicalRelation" and node.relation().getClass().getSimpleName() == "HadoopFsRelation" and node.relation().fileFormat().toString() == "Parquet"
 
 
-def most_frequent(counts: DataFrame, bound: int, column: str = "count") -> DataFrame:
-    """The rows of the highest counts, at most ``bound`` of them: all rows of a count stay or go together.
+def with_row_id(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with an identity per row, a struct (file, place) that is the same in every plan over the frame.
 
-    The cut comes from a histogram of the counts, so the driver gets the chosen rows only, not ``bound`` rows of each
-    partition. ``counts`` is read twice and should be a checkpoint.
+    ``file`` is the hash of a file's path and ``place`` the number of the row in that file, which Parquet itself knows; neither
+    follows from file splits, so executors may come and go between plans. A frame that isn't a plain Parquet
+    scan is written to the shared folder as a table first.
     """
-    held, least = 0, None
-    for value, rows in counts.groupBy(column).agg(F.count("*").alias("rows")).orderBy(F.desc(column)).select(column, "rows").toLocalIterator():
-        held += rows
-        if held > bound:
-            break
-        least = value
-    else:
-        return counts
-    return counts.where(F.col(column) >= least) if least is not None else counts.limit(0)
+    if not _places(df._jdf.queryExecution().analyzed()):
+        df = stored(df)
+    found = df.metadataColumn("_metadata")
+    return df.withColumn(name, F.struct(F.xxhash64(found["file_path"]).alias("file"), found["row_index"].alias("place")))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
