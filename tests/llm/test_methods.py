@@ -9,10 +9,11 @@ from itertools import combinations, product
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tessera.llm import decontaminate, exact_dedup, language_id, ngram_join, pii, queries, sentencepiece_codec, sharding, substring_dedup, url_filter, wavelet
-from tessera.llm.common import table
+from tessera.llm.common import table, with_row_id
 
 DATA = "/root/testdata/sf0.001"
 LARGER = "/root/testdata/sf0.01"
@@ -184,8 +185,10 @@ def test_block_names(spark):
     random.seed(2)
     texts = ["".join(random.choices("ab", k=random.choice((0, 1, 3, 4, 5, 8, 9, 16)))) for _ in range(300)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    for size in (1, 4):
-        found = {r["id"]: (r["blocks"], r["name"]) for r in exact_dedup.copies(docs, block_bytes=size).collect()}
+    weak = lambda block: [F.length(block)]
+    rows = exact_dedup._bodies(with_row_id(docs, "row"), "row", "doc_id", "text")
+    for size, of in ((1, exact_dedup.digest), (4, exact_dedup.digest), (4, weak)):
+        found = {r["id"]: (r["blocks"], r["name"]) for r in exact_dedup._copies(rows, size, of).collect()}
         assert all((found[i] == found[j]) == (texts[i] == texts[j]) for i, j in combinations(range(300), 2))
 
 
@@ -225,8 +228,10 @@ def brute_pairs(texts, threshold):
     return {(i, j) for i, j in combinations(sorted(sets), 2) if len(sets[i] & sets[j]) >= threshold * len(sets[i] | sets[j]) - 1e-9}
 
 
-def as_pairs(rows):
-    return {(min(a, b), max(a, b)) for r in rows for a, b in product(r["doc_ids"], r["other_ids"]) if a != b}
+def as_pairs(found):
+    rows = [(r["doc_id"], r["other_doc_id"]) for r in ngram_join.all_pairs(found).collect()]
+    assert len(set(rows)) == len(rows)
+    return set(rows)
 
 
 def test_pairs_by_brute_force(spark, monkeypatch):
@@ -239,16 +244,56 @@ def test_pairs_by_brute_force(spark, monkeypatch):
             own[random.randrange(len(own))] = random.choice(("A0", "b1", "néw", "x"))
         texts[i] = random.choice((" ", "\n", " ", "  ")).join(own)
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    for frequent, sets in ((64, 4000), (3, 5)):
+    for frequent, block, sets in ((64, 4096, 4000), (3, 4, 5)):
         monkeypatch.setattr(ngram_join, "FREQUENT", frequent)
+        monkeypatch.setattr(ngram_join, "BLOCK", block)
         monkeypatch.setattr(ngram_join, "SETS_AT_ONCE", sets)
         for threshold in (0.6, 0.8):
-            assert as_pairs(ngram_join.similar_documents(docs, threshold=threshold).collect()) == brute_pairs(texts, threshold)
+            assert as_pairs(ngram_join.similar_documents(docs, threshold=threshold)) == brute_pairs(texts, threshold)
 
 
 def test_the_query_finds_all_pairs(spark):
     docs = {r["doc_id"]: r["text"] for r in table(spark, LARGER, "documents").collect()}
-    assert as_pairs(queries.op8_ngram_join(spark, LARGER).collect()) == brute_pairs(docs, ngram_join.THRESHOLD)
+    assert as_pairs(queries.op8_ngram_join(spark, LARGER)) == brute_pairs(docs, ngram_join.THRESHOLD)
+
+
+def test_sets_that_share_a_hash_stay_apart(spark, monkeypatch):
+    texts = [(i, f"a{i % 7} b c d{i % 5} e") for i in range(60)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    want = brute_pairs(dict(texts), 0.6)
+    whole = ngram_join.identity
+    monkeypatch.setattr(ngram_join, "identity", lambda keys: (whole(keys)[0] % 3, whole(keys)[1]))
+    names = [(whole(ngram_join.gram_set(t)), ngram_join._names(k := ngram_join.gram_set(t), np.array([0]), np.array([len(k)]), frozenset({0, 1, 2}))[0][0]) for _, t in texts]
+    assert len(set(names)) == len({w for w, _ in names}) == len({n for _, n in names})
+    assert as_pairs(ngram_join.similar_documents(docs)) == want
+
+
+def test_blocks_of_a_column_meet_once():
+    sets = np.arange(-50, 50, dtype=np.int64) * 7919
+    entry, key, side = ngram_join.in_blocks(np.full(100, 5, np.uint64), sets, np.full(100, 4, np.int64))
+    marks = np.full(len(entry), 40) + side
+    order = np.lexsort((sets[entry], marks, key.view(np.int64)))
+    met = [(a, b) for found in ngram_join.multiply(key.view(np.int64)[order], marks[order], sets[entry][order], 0.6) for a, b, n in zip(*found[:3]) for _ in range(n)]
+    assert sorted(met) == sorted(combinations(sorted(sets.tolist()), 2)) and len(np.unique(key)) == 10
+
+
+def test_splits_change_between_plans(spark, tmp_path):
+    """Executors that come and go change file splits, also between the plans of one operator; no text may be lost."""
+    docs = table(spark, LARGER, "documents")
+    docs.repartition(6).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    texts = docs.select("text").distinct().count()
+    old = spark.conf.get("spark.sql.files.minPartitionNum", None)
+    try:
+        spark.conf.set("spark.sql.files.minPartitionNum", "3")
+        kept = exact_dedup.keep_first(docs)
+        near = ngram_join.keep_one(docs)
+        spark.conf.set("spark.sql.files.minPartitionNum", "40")
+        assert kept.count() == texts == kept.select("text").distinct().count()
+        wanted = ngram_join.keep_one(table(spark, LARGER, "documents"))
+        assert sorted(r["doc_id"] for r in near.select("doc_id").collect()) == sorted(r["doc_id"] for r in wanted.select("doc_id").collect())
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum") if old is None else spark.conf.set("spark.sql.files.minPartitionNum", old)
 
 
 def test_wavelet_answers():
