@@ -71,16 +71,18 @@ ORACLE: dict[str, str] = {
                row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1 AS is_kept
         FROM documents""",
     "op7_substring_dedup": """
-        WITH w AS (SELECT doc_id, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS ws FROM documents),
+        WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS ws FROM documents),
         seeds AS (SELECT doc_id, p AS pos, array_to_string(ws[p + 1 : p + 50], ' ') AS seed FROM w, unnest(range(len(ws) - 49)) AS t(p)),
-        sourced AS (SELECT doc_id, pos, first_value(doc_id) OVER o AS ref_doc_id, first_value(pos) OVER o AS ref_pos
-                    FROM seeds WINDOW o AS (PARTITION BY seed ORDER BY doc_id, pos)),
-        matched AS (SELECT * FROM sourced WHERE ref_doc_id < doc_id),
-        flagged AS (SELECT *, CASE WHEN lag(pos) OVER o = pos - 1 AND lag(ref_doc_id) OVER o = ref_doc_id AND lag(ref_pos) OVER o = ref_pos - 1
-                                   THEN 0 ELSE 1 END AS fresh
-                    FROM matched WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
-        numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY pos) AS factor FROM flagged)
-        SELECT doc_id, CAST(min(pos) AS INTEGER) AS start_word, CAST(max(pos) + 50 AS INTEGER) AS end_word,
-               min(ref_doc_id) AS ref_doc_id, CAST(min(ref_pos) AS INTEGER) AS ref_start_word
-        FROM numbered GROUP BY doc_id, factor""",
+        placed AS (SELECT doc_id, pos, seed, first_value(doc_id) OVER o AS ref, first_value(pos) OVER o - pos AS apart FROM seeds WINDOW o AS (PARTITION BY seed ORDER BY doc_id, pos)),
+        blocks AS (SELECT DISTINCT doc_id, ref, apart FROM placed WHERE ref < doc_id),
+        met AS (SELECT b.doc_id, x.pos, b.ref, b.apart FROM blocks b JOIN seeds x ON x.doc_id = b.doc_id JOIN seeds y ON y.doc_id = b.ref AND y.pos = x.pos + b.apart AND y.seed = x.seed),
+        numbered AS (SELECT *, pos - row_number() OVER (PARTITION BY doc_id, ref, apart ORDER BY pos) AS island FROM met),
+        runs AS (SELECT doc_id, ref, apart, min(pos) AS a, max(pos) + 50 AS b FROM numbered GROUP BY doc_id, ref, apart, island),
+        parse AS (
+            SELECT DISTINCT doc_id, {'s': CAST(0 AS BIGINT), 'b': CAST(0 AS BIGINT), 'ref': CAST(0 AS BIGINT), 'at': CAST(0 AS BIGINT)} AS f FROM runs
+            UNION ALL
+            SELECT p.doc_id, min({'s': greatest(-p.f.b, r.a), 'b': -r.b, 'ref': r.ref, 'at': r.apart + greatest(-p.f.b, r.a)})
+            FROM parse p JOIN runs r ON r.doc_id = p.doc_id AND r.b > -p.f.b GROUP BY p.doc_id)
+        SELECT doc_id, CAST(f.s AS INTEGER) AS start_word, CAST(-f.b AS INTEGER) AS end_word, f.ref AS ref_doc_id, CAST(f.at AS INTEGER) AS ref_start_word
+        FROM parse WHERE f.b < 0""",
 }
