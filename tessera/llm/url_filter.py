@@ -1,12 +1,12 @@
 """URL filter: unigram Viterbi segments names into words, multinomial naive Bayes scores the words.
 
-Unigram counts come from all pages: words of their visible text and name parts of their URLs. A name without
-separators ("cheappills") falls into the most probable sequence of words; runs of digits are one word each, ``#``.
-Each distinct name is joined with the counts of all words that it can contain, so none is too rare to count.
+Unigram counts come from the visible text of all pages, not from URLs, where a name stands as one word as often as it occurs. A name
+without separators ("cheappills") falls into the most probable sequence of words; runs of digits are one word each, ``#``.
+Each distinct name is joined with the counts of all words that it can contain, so none is too rare or too long to count.
 
-Naive Bayes counts the words of every URL. There are no labelled pages, so a URL whose words include a seed term has
-that term's category and any other is taken as clean; what the counts add is every word that goes with those. All
-statistics are sums over the whole table, and URLs are joined with the weights of their words.
+Naive Bayes counts the words of every labelled URL. Labels are an argument. Where there are none, a URL whose words include a seed
+term has that term's category and any other is taken as clean; what the counts add is every word that goes with
+those. All statistics are sums over the whole table, and URLs are joined with the weights of their words.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterable, Iterator, Mapping
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -32,10 +32,7 @@ SEEDS: dict[str, tuple[str, ...]] = {
 }
 #: Log odds of the best category over clean from which a URL is blocked.
 BLOCK_ODDS = 0.0
-LONGEST = 24
-#: Names whose segmentation a worker remembers; it forgets all beyond that.
-REMEMBERED = 500_000
-#: Characters of a name whose pieces are made at once, and pieces that are handed on at once.
+#: Starts in a name whose pieces are made at once, and pieces that are handed on at once.
 STARTS_AT_ONCE = 4_096
 PIECES_AT_ONCE = 100_000
 
@@ -55,39 +52,40 @@ def names(url: str) -> list[str]:
     return ["#" if part[0].isdigit() else part for part in _PARTS.findall(" ".join(split_url(url)))]
 
 
-@dataclass
 class Segmenter:
     """Unigram model of words; an unknown word's chance falls tenfold with each character."""
 
-    counts: Mapping[str, int]
-    total: int
-    known: dict[str, list[str]] = field(default_factory=dict)
-
-    def __post_init__(self) -> None:
-        self.log = {w: math.log(c / self.total) for w, c in self.counts.items()}
-        self.rare = -math.log(max(2, self.total))
+    def __init__(self, counts: Mapping[str, int], total: int) -> None:
+        self.log = {w: math.log(c / total) for w, c in counts.items()}
+        self.sizes = sorted({len(w) for w in counts})
+        self.rare = -math.log(max(2, total))
 
     def cost(self, word: str) -> float:
         return self.log.get(word, self.rare - len(word) * math.log(10))
 
     def segment(self, name: str) -> list[str]:
         """The most probable words that make up a name; among equals the one whose last words are longer."""
-        if name in self.known:
-            return self.known[name]
         best, back = [0.0], [0]
+        # An unknown word's cost is linear in its length, so its best start is a running maximum.
+        unknown, since = -math.inf, 0
         for end in range(1, len(name) + 1):
-            options = ((best[start] + self.cost(name[start:end]), start) for start in range(max(0, end - LONGEST), end))
-            score, start = max(options, key=lambda o: (o[0], -o[1]))
+            held = best[end - 1] + (end - 1) * math.log(10)
+            if held > unknown:
+                unknown, since = held, end - 1
+            score, start = unknown + self.rare - end * math.log(10), since
+            for size in self.sizes:
+                if size > end:
+                    break
+                known = self.log.get(name[end - size : end])
+                if known is not None and (best[end - size] + known, size - end) > (score, -start):
+                    score, start = best[end - size] + known, end - size
             best.append(score)
             back.append(start)
         words, end = [], len(name)
         while end:
             words.append(name[back[end] : end])
             end = back[end]
-        if len(self.known) >= REMEMBERED:
-            self.known.clear()
-        self.known[name] = words[::-1]
-        return self.known[name]
+        return words[::-1]
 
     def words(self, url: str) -> list[str]:
         """Words of host and path in order."""
@@ -137,44 +135,45 @@ def bayes(rows: Iterable[tuple[str, str, int]], urls: Mapping[str, int]) -> Baye
     )
 
 
-def word_counts(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(word, count) over the visible text of all pages and the name parts of all URLs."""
+def word_counts(pages: DataFrame, html_col: str = "html") -> DataFrame:
+    """(word, count) over the visible text of all pages."""
     visible = F.regexp_replace(F.col(html_col).cast("string"), r"(?is)<(script|style)\b.*?</\1\s*>|<[^>]*>|&[a-z]+;", " ")
-    address = F.regexp_replace(F.col(url_col).cast("string"), r"[?#].*", "")
-    text = F.lower(F.concat_ws(" ", visible, address))
-    word = F.explode(F.split(text, r"[^\p{L}]+"))
-    return pages.select(word.alias("word")).where(F.length("word").between(1, LONGEST)).groupBy("word").agg(F.count("*").alias("count"))
-
-
-def fit_segmenter(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> Segmenter:
-    """A model of all words by itself, for tables whose words fit the driver; ``filter_pages`` does without."""
-    counts = {r["word"]: r["count"] for r in word_counts(pages, url_col, html_col).toLocalIterator()}
-    return Segmenter(counts, max(1, sum(counts.values())))
-
-
-def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(key, word) of every piece of a name that may be a word."""
-    keys: list[int] = []
-    words: list[str] = []
-    for batch in batches:
-        for key, name in zip(batch["key"], batch["name"]):
-            for first in range(0, len(name), STARTS_AT_ONCE):
-                starts = range(first, min(len(name), first + STARTS_AT_ONCE))
-                found = {name[start:end] for start in starts for end in range(start + 1, min(len(name), start + LONGEST) + 1)}
-                keys.extend([key] * len(found))
-                words.extend(found)
-                if len(words) >= PIECES_AT_ONCE:
-                    yield pd.DataFrame({"key": keys, "word": words})
-                    keys, words = [], []
-    if words:
-        yield pd.DataFrame({"key": keys, "word": words})
+    word = F.explode(F.split(F.lower(visible), r"[^\p{L}]+"))
+    return pages.select(word.alias("word")).where("word <> ''").groupBy("word").agg(F.count("*").alias("count"))
+
+
+def _pieces(sizes: list[int]):  # noqa: ANN202
+    """(key, word) of every piece of a name that has the length of some word."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keys: list[dict] = []
+        words: list[str] = []
+        for batch in batches:
+            for key, name in zip(batch["key"], batch["name"]):
+                for first in range(0, len(name), STARTS_AT_ONCE):
+                    last = min(len(name), first + STARTS_AT_ONCE)
+                    for size in sizes:
+                        if first + size > len(name):
+                            break
+                        found = {name[start : start + size] for start in range(first, min(last, len(name) - size + 1))}
+                        keys.extend([key] * len(found))
+                        words.extend(found)
+                        if len(words) >= PIECES_AT_ONCE:
+                            yield pd.DataFrame({"key": keys, "word": words})
+                            keys, words = [], []
+        if words:
+            yield pd.DataFrame({"key": keys, "word": words})
+
+    return run
 
 
 def segmented(distinct: DataFrame, counts: DataFrame) -> DataFrame:
-    """(name, words) of distinct names, by the counts of all words and their sum."""
+    """(name, words) of a checkpoint of distinct names, by the counts of all words and their sum."""
     total = max(1, counts.agg(F.sum("count")).first()[0] or 0)
-    keyed = with_row_id(distinct, "key")
-    known = keyed.where("name <> '#'").mapInPandas(_pieces, "key long, word string").join(counts, "word")
+    sizes = sorted(r["size"] for r in counts.select(F.length("word").alias("size")).distinct().collect())
+    # ``distinct`` is a checkpoint, whose partitions are files, so this number stays with its row.
+    keyed = distinct.withColumn("key", F.monotonically_increasing_id())
+    known = keyed.where("name <> '#'").mapInPandas(_pieces(sizes), "key long, word string").join(counts, "word")
     known = known.groupBy("key").agg(F.collect_list("word").alias("own"), F.collect_list("count").alias("times"))
 
     @F.pandas_udf("string")
@@ -198,7 +197,7 @@ def url_words(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     urls = with_row_id(pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url")), "row")
     urls = urls.select("row", "page_id", _split()("url").alias("found")).select("row", "page_id", "found.host", "found.names")
     placed = urls.select("row", F.posexplode("names").alias("place", "name"))
-    counts = checkpoint(word_counts(pages, url_col, html_col))
+    counts = checkpoint(word_counts(pages, html_col))
     known = segmented(checkpoint(placed.select("name").distinct()), counts)
     words = placed.join(known, "name").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("place", "words"))).alias("found"))
     words = words.select("row", F.array_join("found.words", " ").alias("words"))
@@ -214,81 +213,44 @@ def _category(words: Column, seeds: Mapping[str, Iterable[str]]) -> Column:
     return found
 
 
-def _words(segmenter: Segmenter):  # noqa: ANN202
-    shared = segmenter.counts, segmenter.total
-
-    @F.pandas_udf("array<string>")
-    def words(urls: pd.Series) -> pd.Series:
-        own = _segmenter(*shared)
-        return urls.map(lambda u: [] if u is None else own.words(u))
-
-    return words
-
-
-_made: list[tuple[int, int, Segmenter]] = []
-
-
-def _segmenter(counts: Mapping[str, int], total: int) -> Segmenter:
-    """The worker's segmenter for these counts."""
-    key = (total, len(counts))
-    if not _made or _made[0][:2] != key:
-        _made[:] = [(*key, Segmenter(counts, total))]
-    return _made[0][2]
-
-
-def fit_bayes(pages: DataFrame, segmenter: Segmenter, url_col: str = "url", seeds: Mapping[str, Iterable[str]] = SEEDS) -> Bayes:
-    """A model of all words by itself, for tables whose words fit the driver; ``filter_pages`` does without."""
-    urls = pages.select(_words(segmenter)(F.col(url_col).cast("string")).alias("words")).withColumn("category", _category(F.col("words"), seeds))
-    counted = urls.select("category", F.explode("words").alias("word")).groupBy("word", "category").agg(F.count("*").alias("count"))
-    rows = sorted((r["word"], r["category"], r["count"]) for r in counted.toLocalIterator())
-    return bayes(rows, {r["category"]: r["count"] for r in urls.groupBy("category").count().collect()})
+def _weighted(urls: DataFrame, categories: list[str]) -> tuple[DataFrame, list[float]]:
+    """(word, weights) of every word of the URLs, whose ``found`` words and ``label`` are given, and the weights of any other: one for each of ``categories``."""
+    own = F.array(*(F.count(F.when(F.col("label") == c, 1)) for c in categories))
+    counted = checkpoint(urls.select("label", F.explode("found").alias("word")).groupBy("word").agg(own.alias("own")))
+    sums = counted.agg(F.count("*").alias("words"), *(F.sum(F.col("own")[k]).alias(f"t{k}") for k in range(len(categories)))).first()
+    smoothed = [(sums[f"t{k}"] or 0) + sums["words"] + 1 for k in range(len(categories))]
+    weights = F.array(*(F.log((F.col("own")[k] + 1) / F.lit(float(t))) for k, t in enumerate(smoothed)))
+    return counted.select("word", weights.alias("weights")), [math.log(1 / t) for t in smoothed]
 
 
-def score_urls(pages: DataFrame, segmenter: Segmenter, model: Bayes, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def filter_pages(
+    pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", seeds: Mapping[str, Iterable[str]] = SEEDS, labels: DataFrame | None = None
+) -> DataFrame:
     """Rows (page_id, host, words, category, odds, blocked): the words of each URL and what naive Bayes makes of them.
 
+    ``labels`` (page_id, category) says what naive Bayes learns from; without it, seed terms do. Both models are fitted on ``pages``.
+
     Defined cases: a null or blank URL has no host, no words and no odds, the category ``clean`` and isn't blocked;
-    one that isn't well formed is read as host and path; repeated rows and null ids stay as they are; long URLs are
-    segmented whole; among categories of equal odds the first in the alphabet counts; an empty table gives no
-    rows; other columns are ignored.
+    one that isn't well formed is read as host and path; repeated rows and null ids stay as they are; long URLs and names are
+    segmented whole; of several labels of a page the first in the alphabet counts; among categories of equal odds the first in
+    the alphabet does; where no category but ``clean`` is known odds are null; an empty table gives no rows; other
+    columns are ignored.
     """
-    shared = segmenter.counts, segmenter.total
-
-    @F.pandas_udf("host string, words string, category string, odds double, blocked boolean")
-    def score(urls: pd.Series) -> pd.DataFrame:
-        own = _segmenter(*shared)
-        out = []
-        for url in urls:
-            if url is None or not url.strip():
-                out.append((None, "", CLEAN, None, False))
-                continue
-            words = own.words(url)
-            category, odds = model.score(words)
-            out.append((split_url(url)[0] or None, " ".join(words), category, odds if math.isfinite(odds) else None, category != CLEAN))
-        return pd.DataFrame(out, columns=["host", "words", "category", "odds", "blocked"]).astype({"odds": "float64", "blocked": bool})
-
-    scored = pages.select(F.col(id_col).alias("page_id"), score(F.col(url_col).cast("string")).alias("found"))
-    return scored.select("page_id", "found.host", "found.words", "found.category", "found.odds", "found.blocked")
-
-
-def _weighted(urls: DataFrame, categories: list[str]) -> DataFrame:
-    """(word, weights) of every word of the URLs, whose ``found`` words and ``category`` are given: a weight for each of ``categories``."""
-    own = F.array(*(F.count(F.when(F.col("category") == c, 1)) for c in categories))
-    counted = checkpoint(urls.select("category", F.explode("found").alias("word")).groupBy("word").agg(own.alias("own")))
-    sums = counted.agg(F.count("*").alias("words"), *(F.sum(F.col("own")[k]).alias(f"t{k}") for k in range(len(categories)))).first()
-    smoothed = [(sums[f"t{k}"] or 0) + sums["words"] + 1 for k in range(len(categories))]
-    return counted.select("word", F.array(*(F.log((F.col("own")[k] + 1) / F.lit(float(t))) for k, t in enumerate(smoothed))).alias("weights"))
-
-
-def filter_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", seeds: Mapping[str, Iterable[str]] = SEEDS) -> DataFrame:
-    """Rows as of ``score_urls`` with both models fitted on the same pages; cases as there."""
     found = F.coalesce(F.array_remove(F.split("words", " "), ""), F.array().cast("array<string>"))
-    urls = checkpoint(url_words(pages, id_col, url_col, html_col)).withColumn("found", found).withColumn("category", _category(F.col("found"), seeds))
-    sizes = {r["category"]: r["count"] for r in urls.groupBy("category").count().collect()}
+    urls = checkpoint(url_words(pages, id_col, url_col, html_col)).withColumn("found", found)
+    if labels is None:
+        urls = urls.withColumn("label", _category(F.col("found"), seeds))
+    else:
+        one = labels.groupBy(F.col(labels.columns[0]).alias("page_id")).agg(F.min(labels.columns[1]).alias("label"))
+        urls = checkpoint(urls.join(one, "page_id", "left"))
+    taught = urls.where("label IS NOT NULL")
+    sizes = {r["label"]: r["count"] for r in taught.groupBy("label").count().collect()}
     categories, n = sorted({*sizes, CLEAN}), sum(sizes.values())
-    placed = urls.select("row", F.posexplode("found").alias("place", "word")).join(_weighted(urls, categories), "word")
+    weights, unseen = _weighted(taught, categories)
+    weighted = urls.select("row", F.posexplode("found").alias("place", "word")).join(weights, "word", "left")
+    weighted = weighted.withColumn("weights", F.coalesce("weights", F.array(*map(F.lit, unseen))))
     # Weights are added in the order of the words, so that a URL's sums are the same each time.
-    placed = placed.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("place", "weights"))).alias("placed"))
+    placed = weighted.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("place", "weights"))).alias("placed"))
     prior = F.array(*(F.lit(math.log((sizes.get(c, 0) + 1) / (n + len(categories)))) for c in categories))
     sums = F.coalesce(F.aggregate("placed", prior, lambda held, x: F.zip_with(held, x["weights"], lambda a, b: a + b)), prior)
     scored = urls.join(placed, "row", "left").withColumn("sums", sums)
