@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import math
 import random
+import re
+import time
 from itertools import combinations, product
 
 import duckdb
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -69,14 +72,85 @@ def test_pii_by_definition(spark):
     assert clean == f"Ask Zorblax at [EMAIL] or [PHONE], card [CARD] not {card[:-1]}0, host [IP] not 300.1.1.1, [SECRET] [KEY] v4.0." and (found, hidden) == (6, 0)
     rows = [(i, f"note {i} alpha{i} Zorblax zor@x.org omega{i} end") for i in range(4)] + [(9, "zorblax was here and the note ended"), (10, "the end of the note " * 50)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    # Four of five occurrences stand beside the entity; there are 4 * 6 + 7 + 250 words outside and inside of identifiers' neighbours.
-    total = sum(len(pii._WORD.findall(t)) for _, t in rows)
-    expected = math.log2((4 / 5) / (4 / total)) / -math.log2(4 / total)
-    terms = {r["term"]: r for r in pii.disclosing_terms(docs, generalise=0.9, remove=0.94).collect()}
-    assert set(terms) == {"zorblax"} and math.isclose(terms["zorblax"]["disclosure"], expected) and terms["zorblax"]["removed"]
-    out = {r["doc_id"]: r["text"] for r in pii.sanitise(docs, generalise=0.9, remove=0.94).collect()}
+    # Four of five occurrences stand beside the entity, in four contexts.
+    share, n, z = 4 / 5, 4, pii.Z
+    low = (share + z * z / 2 / n - z * math.sqrt(share * (1 - share) / n + z * z / 4 / n / n)) / (1 + z * z / n)
+    terms = {r["term"]: r for r in pii.disclosing_terms(docs, generalise=1.7, remove=1.69).collect()}
+    assert set(terms) == {"zorblax"} and math.isclose(terms["zorblax"]["open_bits"], -math.log2(low)) and terms["zorblax"]["removed"]
+    out = {r["doc_id"]: r["text"] for r in pii.sanitise(docs, generalise=1.7, remove=1.69).collect()}
     assert out[0] == "note 0 alpha0  [EMAIL] omega0 end" and out[9] == " was here and the note ended" and out[10] == rows[-1][1]
-    assert out == {r["doc_id"]: r["text"] for r in pii.sanitise(docs, generalise=0.9, remove=0.94, broadcast_terms=0).collect()}
+    assert out == {r["doc_id"]: r["text"] for r in pii.sanitise(docs, generalise=1.7, remove=1.69, broadcast_terms=0).collect()}
+
+
+def brute_terms(texts, window=5):
+    """{word: the least bits left open} by counting, with the words around each identifier found from scratch."""
+    beside, times, own = {}, {}, {}
+    for t in texts:
+        marked, at = "", 0
+        spans = pii.identifiers(t)
+        for k, (start, end, _) in enumerate(spans):
+            marked += t[at:start] + f" \x00{k}\x00 "
+            at = end
+        tokens = re.findall("\x00\\d+\x00|[^\\W_\x00]+", marked + t[at:])
+        for w in pii._WORD.findall(t):
+            times[w.lower()] = times.get(w.lower(), 0) + 1
+        for p, token in enumerate(tokens):
+            if token[0] == "\x00":
+                start, end, kind = spans[int(token.strip("\x00"))]
+                before = [w.lower() for w in tokens[:p] if w[0] != "\x00"][-window:]
+                after = [w.lower() for w in tokens[p:] if w[0] != "\x00"][:window]
+                for e in pii.entities(kind, t[start:end]):
+                    own[e] = own.get(e, 0) + 1
+                    for w in set(before + after):
+                        beside.setdefault((e, w), []).append(tuple(before + after))
+    total = sum(times.values())
+    best = {}
+    for (e, w), seen in beside.items():
+        share, n, z2 = len(seen) / max(times[w], len(seen)), len(set(seen)), pii.Z**2
+        low = (share + z2 / 2 / n - pii.Z * math.sqrt(share * (1 - share) / n + z2 / 4 / n / n)) / (1 + z2 / n)
+        if own[e] < total:
+            best[w] = min(best.get(w, math.inf), -math.log2(low))
+    return best
+
+
+def test_the_pii_query_by_brute_force(spark):
+    docs = table(spark, LARGER, "documents")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    open_bits = brute_terms(texts.values())
+    # The identifiers of this small table have too few contexts for the query's bounds; wider ones have words go.
+    for frame, generalise, remove, least in ((queries.op2_pii(spark, LARGER), pii.GENERALISE, pii.REMOVE, 0), (pii.sanitise(docs, generalise=2.4, remove=1.6), 2.4, 1.6, 50)):
+        terms = {w: bits <= remove for w, bits in open_bits.items() if bits <= generalise}
+        out = {r["doc_id"]: r for r in frame.collect()}
+        for i, t in texts.items():
+            want, at, hidden = "", 0, 0
+            for start, end, kind in [*pii.identifiers(t), (len(t), len(t), None)]:
+                for part in re.split(r"([^\W_]+)", t[at:start]):
+                    gone = terms.get(part.lower())
+                    hidden += gone is not None
+                    want += part if gone is None else "" if gone else pii.general(part)
+                want += f"[{kind}]" if kind else ""
+                at = end
+            assert (out[i]["text"], out[i]["n_terms"]) == (want, hidden)
+        assert sum(r["n_terms"] for r in out.values()) >= least
+
+
+def test_words_are_generalised_and_removed(spark):
+    """A name that stands beside one number only, written in two ways, goes; one with less evidence becomes its class; clean texts stay."""
+    near = [f"call Zorblax{'' if k % 2 else ','} now{k} +1 (988) 555-2485 or{k}" for k in range(2)] + [f"x{k} Zorblax at +1-988-555-2485 y{k}" for k in range(3)]
+    two = [f"a{k} Quibble wrote q@mail.example.net b{k}" for k in range(2)]
+    clean = ["wrote a note at noon, or call now", "at noon call or wrote", "now or at noon"] * 4
+    docs = spark.createDataFrame(list(enumerate(near + two + clean)), "doc_id long, text string")
+    out = [r["text"] for r in pii.sanitise(docs).orderBy("doc_id").collect()]
+    assert out[2] == "x0  at [PHONE] y0" and out[5] == "a0 [NAME] wrote [EMAIL] b0" and out[7:] == clean
+
+
+def test_long_runs_are_read_in_linear_time():
+    for text in ("a" * 400_000 + " 1@", "x@" * 200_000, "-----BEGIN PRIVATE KEY----- 1\n" * 20_000, "1-" * 200_000, "@" + "a." * 200_000 + "1"):
+        began = time.perf_counter()
+        pii.identifiers(text)
+        assert time.perf_counter() - began < 5
+    ((_, near),) = pii.contexts("alpha beta " + "y" * 250 + " mail zor@x.org end")
+    assert near == ["alpha", "beta", "y" * 250, "mail", "end"]
 
 
 def test_held_out_languages(spark):
@@ -128,12 +202,40 @@ def test_bayes_by_definition():
     assert model.score(["win", "casino"]) == ("gambling", pytest.approx(odds))
 
 
-def test_unseparated_names_are_blocked(spark):
-    pages = table(spark, LARGER, "pages")
-    segmenter = url_filter.fit_segmenter(pages)
-    model = url_filter.fit_bayes(pages, segmenter)
-    assert model.score(segmenter.words("https://www.cheappills.example.net/en/5"))[0] == "pharmacy"
-    assert model.score(segmenter.words("https://ththre.example.com/fr/825"))[0] == "clean"
+def brute_counts(pages):
+    counts = {}
+    for _, html in pages:
+        visible = re.sub(r"(?is)<(script|style)\b.*?</\1\s*>|<[^>]*>|&[a-z]+;", " ", html or "")
+        for w in regex.split(r"[^\p{L}]+", visible.lower()):
+            if w:
+                counts[w] = counts.get(w, 0) + 1
+    return counts
+
+
+def brute_filter(pages, labels=None):
+    """Rows of the query over (page_id, url, html): counts, words, labels, naive Bayes, one after another."""
+    counts = brute_counts([p[1:] for p in pages])
+    model = url_filter.Segmenter(counts, max(1, sum(counts.values())))
+    words = [model.words(u) for _, u, _ in pages]
+    seeded = [next((c for c, terms in url_filter.SEEDS.items() if set(terms) & set(w)), "clean") for w in words]
+    given = seeded if labels is None else [labels.get(i) for i, _, _ in pages]
+    rows = {}
+    for own, c in zip(words, given):
+        for w in own if c else ():
+            rows[w, c] = rows.get((w, c), 0) + 1
+    bayes = url_filter.bayes([(w, c, n) for (w, c), n in rows.items()], {c: given.count(c) for c in set(given) - {None}})
+    return [(i, url_filter.split_url(u)[0] or None, " ".join(w), *bayes.score(w)) for (i, u, _), w in zip(pages, words)]
+
+
+def test_the_url_query_by_brute_force(spark):
+    pages = [(r["page_id"], r["url"], r["html"]) for r in table(spark, LARGER, "pages").collect()]
+    near = lambda rows: sorted((i, h, w, c, round(o, 6)) for i, h, w, c, o in rows)
+    got = [tuple(r)[:5] for r in queries.op5_url_filter(spark, LARGER).collect()]
+    assert near(got) == near(brute_filter(pages)) and {c for *_, c, _ in got} >= {"clean", "pharmacy"}
+    labels = {i: ("bad", "clean")[i % 3 > 0] for i, _, _ in pages if i % 2}
+    frame = spark.createDataFrame([*labels.items(), (1, "zzz"), (None, "bad")], "page long, kind string")
+    got = [tuple(r)[:5] for r in url_filter.filter_pages(table(spark, LARGER, "pages"), labels=frame).collect()]
+    assert near(got) == near(brute_filter(pages, labels))
 
 
 def rare_words(n):
@@ -141,14 +243,14 @@ def rare_words(n):
 
 
 def test_every_word_counts_in_segmentation(spark):
-    """More words than any bound there was; a name that is a rare word itself stays one, as the exact counts say."""
+    """More words than any bound there was: the rarest of them are found in names, as the exact counts say."""
     html = " ".join(rare_words(200_001) * 2 + ["cheap", "pills"] * 400)
     pages = spark.createDataFrame([(1, "http://cheappills.example.org/bbbbcbbbbd", html), (2, "http://cheapxpills.example.org/", "")], "page_id long, url string, html string")
-    counts = {w: 2 for w in rare_words(200_001)} | {"cheap": 400, "pills": 400, "cheappills": 1, "cheapxpills": 1, "bbbbcbbbbd": 1, "http": 2, "example": 2, "org": 2}
+    counts = {w: 2 for w in rare_words(200_001)} | {"cheap": 400, "pills": 400}
     model = url_filter.Segmenter(counts, sum(counts.values()))
     out = {r["page_id"]: r["words"] for r in url_filter.filter_pages(pages).collect()}
     assert out == {1: " ".join(model.words("//cheappills.example.org/bbbbcbbbbd")), 2: " ".join(model.words("//cheapxpills.example.org/"))}
-    assert out[1] == "cheappills example org bbbbcbbbbd"
+    assert out[1] == "cheap pills example org bbbbc bbbbd"
 
 
 def test_every_word_counts_in_bayes(spark):
@@ -171,14 +273,11 @@ def test_every_word_counts_in_bayes(spark):
 def test_long_names_in_pieces(spark, monkeypatch):
     monkeypatch.setattr(url_filter, "STARTS_AT_ONCE", 3)
     monkeypatch.setattr(url_filter, "PIECES_AT_ONCE", 5)
-    pages = table(spark, DATA, "pages").limit(50)
-    long = spark.createDataFrame([(-1, "http://x.org/" + "cheappills" * 30, "cheap pills " * 9)], "page_id long, url string, html string")
-    pages = pages.select("page_id", "url", "html").unionAll(long)
-    segmenter = url_filter.fit_segmenter(pages)
-    want = url_filter.score_urls(pages, segmenter, url_filter.fit_bayes(pages, segmenter)).collect()
-    got = url_filter.filter_pages(pages).collect()
-    near = lambda rows: sorted((r["page_id"], r["host"], r["words"], r["category"], round(r["odds"], 9), r["blocked"]) for r in rows)
-    assert near(got) == near(want) and "cheap pills cheap pills" in next(r["words"] for r in got if r["page_id"] == -1)
+    word = "supercalifragilisticexpialidocious"
+    long = [(-1, "http://x.org/" + "cheappills" * 30, "cheap pills " * 9 + word), (-2, f"http://x.org/cheap{word}pills", "")]
+    pages = [(r["page_id"], r["url"], r["html"]) for r in table(spark, DATA, "pages").limit(50).collect()] + long
+    got = {r["page_id"]: r["words"] for r in url_filter.filter_pages(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {r[0]: r[2] for r in brute_filter(pages)} and "cheap pills cheap pills" in got[-1] and f"cheap {word} pills" in got[-2]
 
 
 def test_block_names(spark):
@@ -203,20 +302,60 @@ def test_factors_by_brute_force(spark):
             start = random.randint(0, 20)
             own += part[start : start + random.randint(3, 30)] if random.random() < 0.6 else [str(random.random()) for _ in range(random.randint(1, 8))]
         words.append(own)
-    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(words)], "doc_id long, text string").coalesce(1)
-    for least in (5, 8):
-        first, want = {}, set()
-        for k, w in enumerate(words):
-            covered = [first.setdefault(tuple(w[p : p + least]), (k, p)) for p in range(len(w) - least + 1)]
-            run = None
-            for p, source in enumerate([*covered, (k, -1)]):
-                if run and source == (run[1][0], run[1][1] + p - run[0]):
-                    continue
-                if run:
-                    want.add((k, run[0], p - 1 + least, *run[1]))
-                run = (p, source) if source[0] < k else None
-        got = {(r["doc_id"], r["start_word"], r["end_word"], r["ref_doc_id"], r["ref_start_word"]) for r in substring_dedup.duplicate_spans(docs, min_words=least).collect()}
-        assert got == want
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(words)], "doc_id long, text string").orderBy(F.rand(1)).repartition(5)
+    for least in (2, 5, 8):
+        assert spans_of(substring_dedup.duplicate_spans(docs, min_words=least)) == brute_parse(words, least)
+
+
+def spans_of(found):
+    rows = [(r["doc_id"], r["start_word"], r["end_word"], r["ref_doc_id"], r["ref_start_word"]) for r in found.collect()]
+    assert len(rows) == len(set(rows))
+    return set(rows)
+
+
+def brute_parse(words, least):
+    """The greedy parse by trying, at each place, every reference block: the first place of each of the document's seeds, and its alignment."""
+    want, first = set(), {}
+    for k, w in enumerate(words):
+        seeds = [tuple(w[p : p + least]) for p in range(len(w) - least + 1)]
+        blocks = {(j, q - p) for p, seed in enumerate(seeds) for j, q in [first.get(seed, (k, p))] if j < k}
+        for p, seed in enumerate(seeds):
+            first.setdefault(seed, (k, p))
+        at = 0
+        while at < len(w):
+            best = None
+            for j, apart in sorted(blocks):
+                same = lambda p: 0 <= p < len(w) and 0 <= p + apart < len(words[j]) and w[p] == words[j][p + apart]  # noqa: B023, E731
+                ahead = next(n for n in range(len(w) + 1) if not same(at + n))
+                back = next(n for n in range(len(w) + 1) if not same(at - 1 - n))
+                if ahead and ahead + back >= least and (best is None or ahead > best[0]):
+                    best = (ahead, j, at + apart)
+            if best:
+                want.add((k, at, at + best[0], best[1], best[2]))
+            at += best[0] if best else 1
+    return want
+
+
+def test_the_longest_match_wins(spark):
+    p = [f"w{i}" for i in range(200)]
+    docs = spark.createDataFrame([(1, " ".join(p[:60])), (2, " ".join(p)), (3, " ".join(p)), (0, "x " + " ".join(p[100:140] + ["y"] + p))], "doc_id long, text string")
+    assert spans_of(substring_dedup.duplicate_spans(docs.where("doc_id > 0"))) == {(2, 0, 60, 1, 0), (3, 0, 200, 2, 0)}
+    assert spans_of(substring_dedup.duplicate_spans(docs)) == {(1, 0, 60, 0, 42), (2, 0, 200, 0, 42), (3, 0, 200, 0, 42)}
+
+
+def test_the_parse_of_real_documents(spark):
+    docs = {r["doc_id"]: r["text"].split() for r in table(spark, DATA, "documents").collect()}
+    assert sorted(docs) == list(range(len(docs)))
+    first = {}
+    for k in sorted(docs):
+        for p in range(len(docs[k]) - 49):
+            first.setdefault(tuple(docs[k][p : p + 50]), set()).add(k)
+    covered = {k: {p + i for p in range(len(w) - 49) for i in range(50) if min(first[tuple(w[p : p + 50])]) < k} for k, w in docs.items()}
+    found = spans_of(queries.op7_substring_dedup(spark, DATA))
+    for k, w in docs.items():
+        own = sorted(f[1:] for f in found if f[0] == k)
+        assert all(w[a:b] == docs[j][q : q + b - a] and j < k for a, b, j, q in own)
+        assert [x for a, b, _, _ in own for x in range(a, b)] == sorted(covered[k])
 
 
 def brute_pairs(texts, threshold):
@@ -313,8 +452,8 @@ def test_wavelet_answers():
 def test_contamination_by_brute_force(spark):
     items = duckdb.sql(f"SELECT item_id, text FROM '{LARGER}/benchmark.parquet'").fetchall()
     docs = duckdb.sql(f"SELECT doc_id, text FROM '{LARGER}/documents.parquet'").fetchall()
-    norm = lambda t: decontaminate.normalise(t)
-    want = {(d, i) for d, t in docs for i, x in items if any(w in norm(t) for w in decontaminate.windows(x, 13, 5))}
+    norm = lambda t: f" {' '.join(decontaminate.words_of(t))} "
+    want = {(d, i) for d, t in docs for i, x in items if any(norm(" ".join(w)) in norm(t) for w in decontaminate.windows(x, 13))}
     out = queries.op10_decontaminate(spark, LARGER).collect()
     assert {(r["doc_id"], r["item_id"]) for r in out} == want
     by_doc, by_item = dict(docs), dict(items)
@@ -327,16 +466,25 @@ def test_rows_of_an_item_stay_in_one_slice(spark):
     parts = [[f"w{k}x{j}" for j in range(9)] for k in range(8)]
     benchmark = spark.createDataFrame([(i, " ".join(p)) for i in (1, 2) for p in parts[4 * i - 4 : 4 * i]], "item_id long, text string")
     docs = spark.createDataFrame([(7, " ".join(w for p in parts for w in p))], "doc_id long, text string")
-    for most in (4_000_000, 500):
-        out = decontaminate.contaminated_spans(docs, benchmark, max_pattern_chars=most).collect()
+    for most in (4_000_000, 100):
+        out = decontaminate.contaminated_spans(docs, benchmark, max_pattern_words=most).collect()
         assert sorted((r["item_id"], r["n_words"]) for r in out) == [(1, 36), (2, 36)]
+        assert decontaminate.drop_contaminated(docs.unionAll(docs.selectExpr("8", "'w1x1 w1x2'")), benchmark, max_pattern_words=most).first()["doc_id"] == 8
+
+
+def test_short_answers(spark):
+    benchmark = spark.createDataFrame([(1, "Which river runs through the old town of Ulm"), (1, "The Danube"), (2, "yes"), (3, "")], "item_id long, text string")
+    texts = ["Yes!", "yes, the Danube is long", "which river RUNS through the old town of Ulm? It is: the danube.", "the danube", "no"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = sorted((r["doc_id"], r["item_id"], texts[r["doc_id"]][r["start"] : r["end"]]) for r in decontaminate.contaminated_spans(docs, benchmark).collect())
+    assert out == [(0, 2, "Yes"), (2, 1, "the danube"), (2, 1, "which river RUNS through the old town of Ulm"), (3, 1, "the danube")]
+    assert [r["doc_id"] for r in decontaminate.drop_contaminated(docs, benchmark).collect()] == [1, 4]
 
 
 def test_offsets_survive_odd_letters():
     item = "Straße İstanbul eins zwei drei vier fünf sechs"
     text = "Vorher: STRASSE straße... İSTANBUL!! Eins-zwei, drei\n vier fünf SECHS danach"
-    automaton = decontaminate.automaton_of({p: [7] for p in decontaminate.windows(item, 5, 5)})
-    ((found, start, end, words),) = decontaminate.spans(text, automaton)
+    ((found, start, end, words),) = decontaminate.Patterns([(7, item)], 5).spans(text)
     assert (found, text[start:end], words) == (7, "straße... İSTANBUL!! Eins-zwei, drei\n vier fünf SECHS", 8)
 
 
@@ -360,8 +508,9 @@ def test_pipeline_rows(spark):
         label[b] = a
     left = {i for i in left if find(i) == i}
     items = [t for (t,) in duckdb.sql(f"SELECT text FROM '{LARGER}/benchmark.parquet'").fetchall()]
-    patterns = [w for t in items for w in decontaminate.windows(t, 13, 5)]
-    left = {i for i in left if not any(p in decontaminate.normalise(rows[i]) for p in patterns)}
+    flat = lambda words: f" {' '.join(words)} "
+    patterns = [flat(w) for t in items for w in decontaminate.windows(t, 13)]
+    left = {i for i in left if not any(p in flat(decontaminate.words_of(rows[i])) for p in patterns)}
     out = corpus_pipeline.run(spark, LARGER).collect()
     assert {r["doc_id"] for r in out} == left and len(out) == len(left) and all(r["exact"] for r in out)
     codec = sentencepiece_codec.Codec(sentencepiece_codec.read_model())
