@@ -53,7 +53,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     part_host = F.concat(F.lit("https://www."), F.regexp_replace(F.lower("p_brand"), "#", ""), F.lit(".example.org/"))
     name = F.split("p_name", " ")
     empty = F.array().cast(STRINGS)
-    arrays = {"grades": S.grades(F.col("p_size").cast("string")), "tags": F.array(F.lower("p_type"), F.get(name, F.lit(0))), "fields": F.array(F.get(name, F.lit(1)))}
+    arrays = {"grades": F.when(F.col("p_size").between(1, 12), F.array(F.get(F.array(*map(F.lit, vocab.SCHOOL)), F.col("p_size") - 1))).otherwise(empty), "tags": F.array(F.lower("p_type"), F.get(name, F.lit(0))), "fields": F.array(F.get(name, F.lit(1)))}
     eligibility = F.struct(
         *(arrays.get(a, empty).alias(a) for a in ("countries", "states", "grades", "degreeLevels", "fields", "citizenship", "tags", "other")),
         F.lit(None).cast("double").alias("minimumGpa"),
@@ -63,7 +63,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = when(key % 9 == 0, "human").when(key % 3 == 0, "ai")
     vetting = when(
         status.isNotNull(),
-        F.struct(status.alias("status"), F.lit(None).cast("string").alias("vettedAt"), F.lit(None).cast("double").alias("confidence"), F.lit(None).cast(STRINGS).alias("missingFields")),
+        F.struct(*((status if f == "status" else F.lit(None).cast({"confidence": "double", "missingFields": STRINGS}.get(f, "string"))).alias(f) for f in ("status", "vettedAt", "vettedBy", "confidence", "method", "checkedUrl", "missingFields"))),
     )
     return table(spark, sf_dir, "part").select(
         key.cast("long").alias("seq"),
@@ -169,23 +169,6 @@ def search_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("id", "title", S.text("deadline").alias("deadline"), F.coalesce("variantCount", F.lit(0)).alias("variants"), "total", "raw_total")
 
 
-@register(
-    "offset_page_total",
-    """SELECT o_orderkey AS order_id, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS order_date, (SELECT count(*) FROM orders WHERE o_orderstatus = 'F') AS total
-       FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderdate, o_orderkey LIMIT 50 OFFSET 100""",
-)
-def offset_page_total(spark: SparkSession, sf_dir: str) -> DataFrame:
-    matched = table(spark, sf_dir, "orders").where(F.col("o_orderstatus") == "F")
-    page = matched.orderBy("o_orderdate", "o_orderkey").offset(100).limit(50).select(F.col("o_orderkey").alias("order_id"), day("o_orderdate").cast("string").alias("order_date"))
-    return page.crossJoin(F.broadcast(matched.agg(F.count("*").alias("total"))))
-
-
-@register("substring_search", "SELECT doc_id FROM documents WHERE contains(lower(text), 'license') AND contains(lower(text), 'version')")
-def substring_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lowered = F.lower("text")
-    return table(spark, sf_dir, "documents").where(F.contains(lowered, F.lit("license")) & F.contains(lowered, F.lit("version"))).select("doc_id")
-
-
 @register(
     "token_search",
     """WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents WHERE lang = 'en')
@@ -198,11 +181,22 @@ def token_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size(F.filter("w", lambda x: x == "license")).alias("hits"))
 
 
-@register("fulltext_search")
+_PHRASE = "(^|[^\\p{L}\\p{N}])"
+
+
+@register(
+    "fulltext_search",
+    f"""SELECT doc_id FROM documents WHERE lang = 'en' AND (regexp_matches(lower(text), '{_PHRASE}general(s|ly)?[^\\p{{L}}\\p{{N}}]+public(s|ly)?[^\\p{{L}}\\p{{N}}]+licens(e|es|ed|ing)([^\\p{{L}}\\p{{N}}]|$)')
+        OR regexp_matches(lower(text), '{_PHRASE}apache(s)?[^\\p{{L}}\\p{{N}}]+licens(e|es|ed|ing)([^\\p{{L}}\\p{{N}}]|$)') AND NOT regexp_matches(lower(text), '{_PHRASE}mit(s|ing|ed)?([^\\p{{L}}\\p{{N}}]|$)'))""",
+)
 def fulltext_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stemmed web search with a phrase and a negation; the analysed text is a stored column in a catalog."""
-    docs = table(spark, sf_dir, "documents").where(F.col("lang") == "en").select("doc_id", fts.analyse("text").alias("document"))
-    return docs.where(fts.matches(F.col("document"), '"general public licenses" or "apache license" -mit')).select("doc_id")
+    """Stemmed web search with a phrase and a negation; texts that can't match are left out before they are analysed.
+
+    The SQL writes out the forms of each stem.
+    """
+    query = '"general public licenses" or "apache license" -mit'
+    docs = table(spark, sf_dir, "documents").where((F.col("lang") == "en") & fts.may_match(F.col("text"), query)).select("doc_id", fts.analyse("text").alias("document"))
+    return docs.where(fts.matches(F.col("document"), query)).select("doc_id")
 
 
 @register("point_lookup", f"WITH {CATALOG} SELECT id, title FROM catalog WHERE id = 'p42' AND publication_status = 'published'")
@@ -219,11 +213,6 @@ def cascade_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup.cascade(records(spark, sf_dir), "LARGE%").select("id", "title", "tier")
 
 
-@register("positive_count", "SELECT coalesce(CAST(nullif(count(*), 0) AS VARCHAR), 'none') AS n FROM orders WHERE o_orderstatus = 'none'")
-def positive_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").where(F.col("o_orderstatus") == "none").agg(F.coalesce(F.nullif(F.count("*"), F.lit(0)).cast("string"), F.lit("none")).alias("n"))
-
-
 @register("json_member_filter", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events WHERE CAST(json_extract_string(props, '$.k') AS INTEGER) >= 90")
 def json_member_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.get_json_object("props", "$.k").try_cast("int")
@@ -257,12 +246,6 @@ def facet_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facets.distinct_values(table(spark, sf_dir, "part").select(F.array("p_brand", "p_type").alias("values")), "values")
 
 
-@register("facet_counts", "SELECT lang, source, count(*) AS n, count(DISTINCT text) AS texts FROM documents GROUP BY lang, source HAVING count(*) >= 5")
-def facet_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grouped = table(spark, sf_dir, "documents").groupBy("lang", "source").agg(F.count("*").alias("n"), F.count_distinct("text").alias("texts"))
-    return grouped.where("n >= 5")
-
-
 _SCHOOL_SQL = "CASE WHEN p_size BETWEEN 1 AND 8 THEN 'K-8' " + " ".join(f"WHEN p_size = {n} THEN '{vocab.SCHOOL[n - 1]}'" for n in range(9, 13)) + " END"
 
 
@@ -335,13 +318,6 @@ def related_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facets.related(rows.select(F.col("id").alias("source_id"), F.col("eligibility.tags").alias("tags")), lists)
 
 
-@register("window_total", "SELECT n_nationkey, n_name, count(*) OVER () AS matched_count FROM nation WHERE n_regionkey < 3")
-def window_total(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The original form of a page's total; one aggregate joined to the rows gives it without a window over everything."""
-    rows = table(spark, sf_dir, "nation").where("n_regionkey < 3").select("n_nationkey", "n_name")
-    return rows.crossJoin(F.broadcast(rows.agg(F.count("*").alias("matched_count"))))
-
-
 @register(
     "first_two_ordinality",
     "WITH t AS (SELECT doc_id, unnest(string_split(text, ' ')[1:2]) AS word, generate_subscripts(string_split(text, ' ')[1:2], 1) AS position FROM documents) SELECT doc_id, CAST(position AS INTEGER) AS position, word FROM t",
@@ -355,11 +331,6 @@ def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facets.status_counts(records(spark, sf_dir))
 
 
-@register("sorted_distinct_strings", "SELECT o_custkey, string_agg(DISTINCT o_orderpriority, '|' ORDER BY o_orderpriority) AS priorities FROM orders GROUP BY o_custkey")
-def sorted_distinct_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_join(F.array_sort(F.collect_set("o_orderpriority")), "|").alias("priorities"))
-
-
 @register(
     "shard_assign",
     "SELECT l_orderkey, l_linenumber, l_partkey, CAST(floor((n - 1) / 500) + 1 AS INTEGER) AS shard FROM (SELECT *, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS n FROM lineitem)",
@@ -370,98 +341,9 @@ def shard_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facets.in_chunks(rows, order, facets.SHARD, "shard").select("l_orderkey", "l_linenumber", "l_partkey", "shard")
 
 
-@register(
-    "completeness_rank",
-    """SELECT c_custkey, CAST(rank AS INTEGER) AS rank, score FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY score DESC, c_acctbal DESC, c_custkey) AS rank
-       FROM (SELECT *, CASE WHEN c_acctbal > 0 THEN 2 ELSE 0 END + CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN 1 ELSE 0 END + CASE WHEN length(trim(c_name)) >= 10 THEN 2 ELSE 0 END AS score FROM customer))
-       WHERE rank <= 3""",
-)
-def completeness_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    score = F.when(F.col("c_acctbal") > 0, 2).otherwise(0) + F.when(F.col("c_mktsegment").isin("BUILDING", "MACHINERY"), 1).otherwise(0) + F.when(F.length(F.trim("c_name")) >= 10, 2).otherwise(0)
-    order = Window.partitionBy("c_nationkey").orderBy(F.desc("score"), F.desc("c_acctbal"), "c_custkey")
-    return table(spark, sf_dir, "customer").withColumn("score", score).withColumn("rank", F.row_number().over(order)).where("rank <= 3").select("c_custkey", "rank", "score")
-
-
 # --- joins and sets -----------------------------------------------------------------------------------------------
 
 
-@register("semi_published", "SELECT o_orderkey FROM orders WHERE EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_mktsegment = 'BUILDING')")
-def semi_published(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parents = table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"))
-    return table(spark, sf_dir, "orders").join(parents, "o_custkey", "left_semi").select("o_orderkey")
-
-
-@register("anti_cleanup", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
-def anti_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
-    return table(spark, sf_dir, "customer").join(orders, "c_custkey", "left_anti").select("c_custkey")
-
-
-@register(
-    "existence_or",
-    "SELECT o_orderkey FROM orders WHERE o_totalprice < 20000 OR EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_acctbal < 0)",
-)
-def existence_or(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parents = table(spark, sf_dir, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("o_custkey"), F.lit(True).alias("found"))
-    joined = table(spark, sf_dir, "orders").join(parents, "o_custkey", "left")
-    return joined.where((F.col("o_totalprice") < 20000) | F.col("found")).select("o_orderkey")
-
-
-@register("membership_join", "SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey IN (SELECT unnest([3, 5, 8, 13, 21, 9999]))")
-def membership_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = spark.range(1).select(F.explode(F.array(*(F.lit(k).cast("long") for k in (3, 5, 8, 13, 21, 9999)))).alias("s_suppkey"))
-    return table(spark, sf_dir, "supplier").join(F.broadcast(ids.distinct()), "s_suppkey").select("s_suppkey", "s_name")
-
-
-@register(
-    "review_queue",
-    "SELECT event_id, event_type, c_name FROM events JOIN customer ON c_custkey = user_id WHERE event_type = 'error'",
-)
-def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
-    errors = table(spark, sf_dir, "events").where("event_type = 'error'")
-    return errors.join(customers, F.col("c_custkey") == F.col("user_id")).orderBy("ts").select("event_id", "event_type", "c_name")
-
-
-@register(
-    "tag_replace_overlay",
-    "SELECT d.doc_id, coalesce(CASE WHEN l.quality = 1 THEN 'q' || l.toxic END, d.source) AS tag FROM documents d LEFT JOIN labels l USING (doc_id)",
-)
-def tag_replace_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    overlay = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id", F.concat(F.lit("q"), "toxic").alias("over"))
-    return table(spark, sf_dir, "documents").select("doc_id", "source").join(overlay, "doc_id", "left").select("doc_id", F.coalesce("over", "source").alias("tag"))
-
-
-@register(
-    "fill_missing_fold",
-    """SELECT user_id, max(value) FILTER (rn_last = 1) AS last_value, min(event_type) FILTER (rn_first = 1) AS first_type FROM (
-         SELECT *, row_number() OVER (PARTITION BY user_id, event_type = 'purchase' ORDER BY ts DESC, event_id DESC) + CASE WHEN event_type = 'purchase' THEN 0 ELSE 1000000 END AS rn_last,
-                row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn_first FROM events) GROUP BY user_id""",
-)
-def fill_missing_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An ordered fold per key: a purchase replaces the value, the first type fills the gap."""
-    steps = F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type", "value")))
-    start = F.struct(F.lit(None).cast("double").alias("last_value"), F.lit(None).cast("string").alias("first_type"))
-    gathered = table(spark, sf_dir, "events").groupBy("user_id").agg(steps.alias("steps"))
-    return gathered.select("user_id", _refold("steps", start).alias("f")).select("user_id", "f.*")
-
-
-def _refold(steps: str, start: Column) -> Column:
-    return F.aggregate(
-        steps,
-        start,
-        lambda acc, e: F.struct(
-            F.when(e["event_type"] == "purchase", e["value"]).otherwise(acc["last_value"]).alias("last_value"), F.coalesce(acc["first_type"], e["event_type"]).alias("first_type")
-        ),
-    )
-
-
-@register("union_all_order", "SELECT 0 AS rank, s_suppkey AS id, s_name AS name FROM supplier UNION ALL SELECT 1, c_custkey, c_name FROM customer")
-def union_all_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    one = table(spark, sf_dir, "supplier").select(F.lit(0).alias("rank"), F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
-    two = table(spark, sf_dir, "customer").select(F.lit(1).alias("rank"), F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
-    return one.unionByName(two)
-
 
 @register("union_distinct_urls", "SELECT regexp_replace(url, '[?#].*', '') AS url FROM pages UNION SELECT 'https://' || regexp_extract(url, '//([^/]+)', 1) FROM pages")
 def union_distinct_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -634,7 +516,18 @@ def fingerprint_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.groupBy("fp").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "fp")
 
 
-@register("greedy_dedupe")
+@register(
+    "greedy_dedupe",
+    """WITH RECURSIVE rows AS (SELECT event_id AS seq, user_id || ':' || strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS a, concat_ws(':', event_type, CAST(value AS VARCHAR), props) AS b FROM events),
+       fold AS (SELECT seq, a, b, FALSE AS kept FROM rows
+                UNION ALL SELECT seq, a, b, stay FROM (
+                    SELECT *, bool_or(stay) OVER (PARTITION BY a) AS in_a, bool_or(stay) OVER (PARTITION BY b) AS in_b FROM (
+                        SELECT *, seq = min(seq) OVER (PARTITION BY a) AND seq = min(seq) OVER (PARTITION BY b) AS stay FROM fold WHERE NOT kept))
+                WHERE stay OR NOT (in_a OR in_b)),
+       k AS (SELECT * FROM fold WHERE kept),
+       parts AS (SELECT CASE WHEN x.seq <= r.seq THEN x.seq ELSE y.seq END AS seq FROM rows r LEFT JOIN k x ON x.a = r.a LEFT JOIN k y ON y.b = r.b)
+       SELECT k.seq, any_value(k.a) AS id, CAST(count(*) AS INTEGER) AS sources FROM parts JOIN k USING (seq) GROUP BY k.seq""",
+)
 def greedy_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The two-key fold in input order: events with a key of their user and minute or of their type and value."""
     rows = table(spark, sf_dir, "events").select(
@@ -800,3 +693,7 @@ def publish_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
         {"sourceCheckedAt": F.lit("2025-01-01"), "sourceMissingFields": F.lit(None).cast(STRINGS), "opens": none, "institutionName": none, "institutionTypes": F.lit(None).cast(STRINGS)}
     )
     return normalize.published(rows, F.lit("2026-01-01 00:00:00")).select("id", F.array_join("source_urls", " ").alias("urls"), S.text("deadline").alias("deadline"), "institution_specific", "publication_status")
+
+
+# Queries that share the registry above.
+from tessera import catalogue_records  # noqa: E402, F401

@@ -145,6 +145,16 @@ def parse(query: str) -> list[list[tuple[bool, list[tuple[str, int]]]]]:
     return [b for b in branches if b]
 
 
+def may_match(text: Column, query: str) -> Column:
+    """A test of the plain text that every text passes which ``matches`` can accept: cheap, and before any analysis.
+
+    A word differs from its stem in the last two letters of the stem at most, so it holds all letters before them.
+    """
+    lowered = F.lower(text)
+    either = [reduce(Column.__and__, [F.contains(lowered, F.lit(s[: max(1, len(s) - 2)])) for no, stems in branch if not no for s, _ in stems] or [F.lit(True)]) for branch in parse(query)]
+    return F.coalesce(reduce(Column.__or__, either), F.lit(False)) if either else F.lit(False)
+
+
 def _term(document: Column, stems: list[tuple[str, int]]) -> Column:
     (first, start), *rest = stems
     if not rest:

@@ -39,6 +39,11 @@ def distinct_filled(c: Column) -> Column:
     return F.coalesce(F.array_distinct(F.filter(c, lambda x: x.isNotNull() & (x != ""))), F.array().cast("array<string>"))
 
 
+def sorted_distinct(c: Column | str) -> Column:
+    """Members that aren't null or empty, each once, sorted."""
+    return F.array_sort(F.array_distinct(F.filter(_col(c), lambda x: x.isNotNull() & (x != ""))))
+
+
 def flat_map(c: Column | str, f) -> Column:  # noqa: ANN001
     """``f`` over an array's members, results joined, first appearances kept."""
     return distinct_filled(F.flatten(F.transform(F.coalesce(_col(c), F.array().cast("array<string>")), f)))

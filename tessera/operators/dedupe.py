@@ -2,60 +2,47 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import scalars as S
+from tessera.sources.shared import cut
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut by a reliable checkpoint, in the folder the cluster names."""
-    import tempfile
-
-    context, spark = df.sparkSession.sparkContext, df.sparkSession
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint(eager=True)
-
+def first_come(keys: DataFrame) -> DataFrame:
+    """The rows (seq, a, b) that stay when each, in order, goes if one that stayed has its ``a`` or its ``b``.
 
-def components(keys: DataFrame) -> DataFrame:
-    """(seq, component) of rows (seq, a, b) connected by an equal ``a`` or an equal ``b``: the least seq they reach."""
-    labels = cut(keys.select("seq", "a", "b", F.col("seq").alias("component")))
-    while True:
-        by = lambda c: F.min("component").over(Window.partitionBy(c))
-        after = labels.withColumn("low_a", by("a")).withColumn("least", F.min("low_a").over(Window.partitionBy("b")))
-        after = cut(after.select("seq", "a", "b", "least", (F.col("least") < F.col("component")).alias("moved")))
-        labels = after.select("seq", "a", "b", F.col("least").alias("component"))
-        if after.where("moved").isEmpty():
-            return labels.select("seq", "component")
-
-
-def _replay(rows: pd.DataFrame) -> pd.DataFrame:
-    """Keeps a row unless a kept one has its id or its fingerprint; a dropped row leaves neither key behind."""
-    by_id: dict = {}
-    by_print: dict = {}
-    into = []
-    for seq, a, b in rows.sort_values("seq")[["seq", "a", "b"]].itertuples(index=False):
-        kept = by_id.get(a, by_print.get(b))
-        if kept is None:
-            kept = by_id[a] = by_print[b] = seq
-        into.append((seq, kept))
-    return pd.DataFrame(into, columns=["seq", "kept"])
+    A row that is the first of all undecided ones with its ``a`` and with its ``b`` stays, and all others with either go. That decides
+    a share of the rows at once, over again until none is left; a round is two partial aggregations and joins, whatever the groups' sizes.
+    """
+    left = cut(keys.select("seq", "a", "b"))
+    kept: list[DataFrame] = []
+    while not left.isEmpty():
+        low = lambda c: left.groupBy(c).agg(F.min("seq").alias(f"first_{c}"))  # noqa: B023, E731
+        stay = cut(left.join(low("a"), "a").where("seq = first_a").join(low("b"), "b").where("seq = first_b").select("seq", "a", "b"))
+        kept.append(stay)
+        left = cut(left.join(stay.select("a"), "a", "left_anti").join(stay.select("b"), "b", "left_anti").select("seq", "a", "b"))
+    return reduce(DataFrame.unionAll, kept, keys.select("seq", "a", "b").limit(0))
 
 
 def greedy_dedupe(df: DataFrame, id_col: str = "id", fingerprint: Column | None = None, seq: str = "seq") -> DataFrame:
     """``df`` with one row per kept record, whose ``sourceUrls`` has those of the rows folded into it, in input order.
 
-    A row folds into the kept row of its id, else into that of its fingerprint. Order decides, so rows that share a key
-    directly or through others are replayed together, in order; rows without any shared key, the bulk, skip that.
+    A row folds into the kept row of its id, else into that of its fingerprint. Order decides, see ``first_come``; rows
+    without any shared key, the bulk, skip that.
     """
     key = S.plain_fingerprint("title", "provider", "applicationUrl", "sourceUrl") if fingerprint is None else fingerprint
-    keys = df.select(F.col(seq).alias("seq"), F.col(id_col).alias("a"), key.alias("b"))
-    shared = (F.count("*").over(Window.partitionBy("a")) > 1) | (F.count("*").over(Window.partitionBy("b")) > 1)
-    marked = cut(keys.withColumn("shared", shared).select("seq", "a", "b", "shared"))
-    groups = components(marked.where("shared")).join(marked.select("seq", "a", "b"), "seq")
-    into = groups.groupBy("component").applyInPandas(_replay, "seq long, kept long").unionAll(marked.where("not shared").select("seq", F.col("seq").alias("kept")))
+    # Keys are texts; nulls are one value, as they are in a map.
+    keys = cut(df.select(F.col(seq).alias("seq"), F.struct(F.col(id_col).alias("v")).alias("a"), F.struct(key.alias("v")).alias("b")))
+    often = lambda c: keys.groupBy(c).agg(F.count("*").alias(f"n_{c}"))
+    marked = cut(keys.join(often("a"), "a").join(often("b"), "b").select("seq", "a", "b", ((F.col("n_a") > 1) | (F.col("n_b") > 1)).alias("shared")))
+    shared = marked.where("shared").select("seq", "a", "b")
+    stay = cut(first_come(shared))
+    by = lambda c: stay.select(c, F.col("seq").alias(f"kept_{c}"))
+    found = shared.join(by("a"), "a", "left").join(by("b"), "b", "left")
+    into = found.select("seq", F.when(F.col("kept_a") <= F.col("seq"), F.col("kept_a")).otherwise(F.col("kept_b")).alias("kept")).unionAll(marked.where("not shared").select("seq", F.col("seq").alias("kept")))
     own = df.select(F.col(seq).alias("seq"), F.coalesce("sourceUrls", F.array("sourceUrl")).alias("all"), F.array("sourceUrl").alias("one")).join(into, "seq")
     urls = F.when(F.col("seq") == F.col("kept"), F.col("all")).otherwise(F.col("one"))
     folded = own.groupBy("kept").agg(F.array_sort(F.collect_list(F.struct("seq", urls.alias("urls")))).alias("parts"))

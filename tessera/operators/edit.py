@@ -100,10 +100,13 @@ def edited(record: dict, assignments: Sequence[str], vetter: str | None = None,
     after = json.loads(json.dumps(record, default=str))
     changed = {apply_assignment(after, a) for a in assignments}
     if vetter:
-        stamp = {"status": "human", "confidence": 1.0, "vettedAt": now, "vettedBy": vetter, "method": method, "missingFields": []}
+        stamp = {"status": "human", "confidence": 1.0, "vettedAt": now, "vettedBy": vetter, "method": method, "checkedUrl": after.get("source_url"), "missingFields": []}
         after["vetting"] = {**(after.get("vetting") or {}), **stamp}
         after["source_checked_at"], after["source_missing_fields"] = now[:10], []
         changed |= {"vetting", "source_checked_at", "source_missing_fields"}
+    if "source_url" in changed:
+        after["source_urls"] = list(dict.fromkeys([after["source_url"], *(after.get("source_urls") or [])]))
+        changed.add("source_urls")
     if changed & {"title", "provider", "description", "eligibility"}:
         after["search_text"] = search_text(after)
         changed.add("search_text")
@@ -111,10 +114,11 @@ def edited(record: dict, assignments: Sequence[str], vetter: str | None = None,
     return after, {c: after.get(c) for c in sorted(changed)}
 
 
-def vet_stamp(status: Column, day: Column) -> dict[str, Column]:
-    """Columns of a human vetting, for updates of many records."""
-    vetting = F.col("vetting").withField("status", status).withField("vettedAt", day.cast("string")).withField("confidence", F.lit(1.0))
-    return {"vetting": vetting.withField("missingFields", F.array().cast("array<string>")), "source_checked_at": day.cast("date"), "source_missing_fields": F.array().cast("array<string>")}
+def vet_stamp(vetter: str, at: Column, method: str = "manual-review") -> dict[str, Column]:
+    """Columns of a vetting by a person at a time, for updates of many records."""
+    none = F.array().cast("array<string>")
+    stamp = {"status": F.lit("human"), "vettedAt": at.cast("string"), "vettedBy": F.lit(vetter), "confidence": F.lit(1.0), "method": F.lit(method), "checkedUrl": F.col("source_url"), "missingFields": none}
+    return {"vetting": F.struct(*(v.alias(k) for k, v in stamp.items())), "source_checked_at": at.cast("date"), "source_missing_fields": none}
 
 
 def update_one(table: DataFrame, key: str, changes: Mapping[str, Column], yes: bool = False) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tessera.functions import scalars as S
 from tessera.functions import vocab
 from tessera.operators.dedupe import representative_order
+from tessera.sources.shared import cut
 
 CATEGORIES: dict[str, tuple[tuple[str, ...], str | None]] = {
     "international-students": (("international-students",), None),
@@ -95,8 +96,6 @@ def numbered(df: DataFrame, order: list[Column], name: str = "n") -> DataFrame:
     The rows are range-partitioned and sorted; a partition's start is the number of rows before it, from one count
     per partition.
     """
-    from tessera.operators.dedupe import cut
-
     keys = {f"_o{i}": o for i, o in enumerate(order)}
     spread = df.withColumns(keys).repartitionByRange(*keys).sortWithinPartitions(*keys)
     ranked = cut(spread.withColumn("_id", F.monotonically_increasing_id()))

@@ -31,6 +31,22 @@ def find_one(table: DataFrame, query: str):  # noqa: ANN201
     return rows[0]
 
 
+def counted(table: DataFrame) -> DataFrame:
+    """(n) the number of rows, null instead of 0."""
+    return table.agg(F.nullif(F.count("*"), F.lit(0)).alias("n"))
+
+
 def positive_count(table: DataFrame) -> int | None:
-    """Number of rows, None instead of 0."""
-    return table.agg(F.nullif(F.count("*"), F.lit(0)).alias("n")).first()["n"]
+    return counted(table).first()["n"]
+
+
+def by_ids(table: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
+    """Rows whose ``key`` is in one of the arrays of ``ids``' only column, each once."""
+    wanted = ids.select(F.explode(ids.columns[0]).alias(key)).distinct()
+    return table.join(wanted, key, "left_semi")
+
+
+def review_queue(reports: DataFrame, records: DataFrame) -> DataFrame:
+    """Reports with what they are about, oldest first."""
+    about = records.select(F.col("id").alias("scholarship_id"), "title", "provider")
+    return reports.join(about, "scholarship_id").orderBy("created_at", "id")

@@ -23,9 +23,12 @@ def unknown_essay(df: DataFrame) -> DataFrame:
     return df.withColumn("requirements", F.col("requirements").withField("essay", F.when(F.col("requirements.essay"), True)))
 
 
-def normalize(df: DataFrame) -> DataFrame:
-    """Grades, states, countries, tags and institution types in their closed vocabularies, and the search text."""
-    eligibility = F.col("eligibility")
+def normalize(df: DataFrame, only: Column | None = None) -> DataFrame:
+    """Grades, states, countries, tags and institution types in their closed vocabularies, and the search text.
+
+    ``only`` says which records; the others, normalised before, stay as they are.
+    """
+    eligibility = F.coalesce("eligibility", _empty_eligibility())
     changed = {
         "grades": S.flat_map("eligibility.grades", S.grades),
         "states": S.flat_map("eligibility.states", S.states),
@@ -33,15 +36,16 @@ def normalize(df: DataFrame) -> DataFrame:
         "tags": S.distinct_filled(F.transform(F.coalesce(F.col("eligibility.tags"), _array("tags")), S.tag)),
     }
     for name, value in changed.items():
-        eligibility = F.coalesce(eligibility, _empty_eligibility()).withField(name, value)
+        eligibility = eligibility.withField(name, value)
+    which = (lambda value, name: value) if only is None else (lambda value, name: F.when(only, value).otherwise(F.col(name)))
     normal = df.withColumns(
         {
-            "tags": F.when(F.col("tags").isNotNull(), S.distinct_filled(F.transform("tags", S.tag))),
-            "eligibility": eligibility,
-            "institutionTypes": S.distinct_filled(F.transform(_array("institutionTypes"), S.institution_type)),
+            "tags": which(F.when(F.col("tags").isNotNull(), S.distinct_filled(F.transform("tags", S.tag))), "tags"),
+            "eligibility": which(eligibility, "eligibility"),
+            "institutionTypes": which(S.distinct_filled(F.transform(_array("institutionTypes"), S.institution_type)), "institutionTypes"),
         }
     )
-    return normal.withColumn("searchText", normalized_search_text())
+    return normal.withColumn("searchText", which(normalized_search_text(), "searchText"))
 
 
 def _empty_eligibility() -> Column:
@@ -196,11 +200,12 @@ def pipeline_missing_fields() -> Column:
 
 
 def effective_vetting() -> Column:
-    return F.coalesce(F.struct(F.col("vetting.status").alias("status"), F.col("vetting.vettedAt").alias("vettedAt")), F.struct(F.lit("unvetted"), F.lit(None).cast("string")))
+    """Status and time of the vetting, "unvetted" where there is none."""
+    return F.struct(F.coalesce("vetting.status", F.lit("unvetted")).alias("status"), F.col("vetting.vettedAt").alias("vettedAt"))
 
 
-def sitemap(df: DataFrame) -> DataFrame:
-    return df.select("id", F.col("sourceCheckedAt").alias("lastModified"))
+def sitemap_columns() -> list[Column]:
+    return [F.col("id"), F.col("sourceCheckedAt").alias("lastModified")]
 
 
 def prepare_candidates(df: DataFrame, inferred: Column | None = None, evidence: Column | None = None, method: str = "source_adapter") -> DataFrame:

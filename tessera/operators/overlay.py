@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import scalars as S
-from tessera.operators.normalize import STRINGS, normalize
+from tessera.operators.normalize import STRINGS, normalize, normalized_search_text
 from tessera.schema import REQUIREMENTS
 
 FILLED_ARRAYS = ("countries", "states", "grades", "degreeLevels", "fields", "citizenship")
@@ -31,7 +31,7 @@ def _allowed(tags: Column, known: Column) -> Column:
 
 
 def _merged(record: Column, e: Column, known: Column) -> Column:
-    """One enrichment applied to the changeable part of a record."""
+    """One enrichment applied to the changeable part of a record, which is normalised after it. A merged award has no minimum."""
     has = lambda field: F.coalesce(F.array_contains(e["verifiedFields"], field), F.lit(False))
     replace = F.coalesce(e["mode"] == "replace", F.lit(False))
     own, new = record["eligibility"], e["eligibility"]
@@ -42,7 +42,7 @@ def _merged(record: Column, e: Column, known: Column) -> Column:
         .otherwise(record["award"]["varies"])
     )
     award = F.struct(
-        record["award"]["minimum"].alias("minimum"),
+        F.lit(None).cast("double").alias("minimum"),
         filled(record["award"]["maximum"], e["award"]["maximum"], has("award.maximum"), replace).alias("maximum"),
         varies.alias("varies"),
     )
@@ -68,6 +68,8 @@ def _merged(record: Column, e: Column, known: Column) -> Column:
         award.alias("award"),
         needs.alias("requirements"),
         eligibility.alias("eligibility"),
+        F.when(record["tags"].isNotNull(), S.distinct_filled(F.transform(record["tags"], S.tag))).alias("tags"),
+        S.distinct_filled(F.transform(F.coalesce(record["institutionTypes"], F.array().cast(STRINGS)), S.institution_type)).alias("institutionTypes"),
         F.coalesce(F.nullif(e["enrichedFromUrl"], F.lit("")), record["enrichedFromUrl"]).alias("enrichedFromUrl"),
         F.coalesce(F.nullif(e["enrichedAt"], F.lit("")), record["enrichedAt"]).alias("enrichedAt"),
         _ordered_union(record["enrichedCanonicalTags"], gain("eligibility.tags", _allowed(new["tags"], known))).alias("enrichedCanonicalTags"),
@@ -75,7 +77,7 @@ def _merged(record: Column, e: Column, known: Column) -> Column:
 
 
 def enrich(records: DataFrame, enrichments: DataFrame, allowed: Iterable[str], seq: str = "seq") -> DataFrame:
-    """Records with their enrichments of pipeline version 2 or 3 applied in file order.
+    """Records with their enrichments of pipeline version 2 or 3 applied in file order; all other records stay as they are.
 
     Enrichments of one record are gathered and folded by ``aggregate``: one join, whatever their number.
     """
@@ -84,26 +86,30 @@ def enrich(records: DataFrame, enrichments: DataFrame, allowed: Iterable[str], s
     fields = [c for c in valid.columns if c not in ("id", seq)]
     listed = valid.groupBy("id").agg(F.array_sort(F.collect_list(F.struct(seq, F.struct(*fields).alias("e")))).alias("steps"))
     start = F.struct(
-        "description",
-        "award",
-        "requirements",
-        "eligibility",
+        *("description", "award", "requirements", "eligibility", "tags", "institutionTypes"),
         F.lit(None).cast("string").alias("enrichedFromUrl"),
         F.lit(None).cast("string").alias("enrichedAt"),
         F.array().cast(STRINGS).alias("enrichedCanonicalTags"),
     )
     folded = F.aggregate(F.coalesce("steps", F.array().cast(listed.schema["steps"].dataType)), start, lambda acc, step: _merged(acc, step["e"], known))
+    hit = F.col("steps").isNotNull()
     joined = records.join(listed, "id", "left").withColumn("folded", folded)
-    changed = ("description", "award", "requirements", "eligibility", "enrichedFromUrl", "enrichedAt", "enrichedCanonicalTags")
-    return normalize(joined.withColumns({c: F.col(f"folded.{c}") for c in changed}).drop("folded", "steps"))
+    added = ("enrichedFromUrl", "enrichedAt", "enrichedCanonicalTags")
+    merged = joined.withColumns({f.name: F.col(f"folded.{f.name}") if f.name in added else F.when(hit, F.col(f"folded.{f.name}")).otherwise(F.col(f.name)) for f in joined.schema["folded"].dataType.fields})
+    return merged.withColumn("searchText", F.when(hit, normalized_search_text()).otherwise(F.col("searchText"))).drop("folded", "steps")
 
 
 def overlay_tags(records: DataFrame, overlays: DataFrame, allowed: Iterable[str], taxonomy_version: int, seq: str = "seq") -> DataFrame:
-    """Records with the tags of their last valid overlay (mode replace, pipeline 6, this taxonomy) and verified ones."""
+    """Records with the tags of their last valid overlay (mode replace, pipeline 6, this taxonomy) and verified ones, and where these come from.
+
+    Only records that have an overlay are normalised again.
+    """
     known = F.array(*map(F.lit, allowed)).cast(STRINGS)
     valid = overlays.where((F.col("mode") == "replace") & (F.col("pipelineVersion") == 6) & (F.col("taxonomyVersion") == taxonomy_version) & F.col("tags").isNotNull())
-    last = valid.groupBy("id").agg(F.max_by(F.struct(F.col("tags").alias("overlay"), "taggedAt", F.col("model").alias("taggedByModel")), seq).alias("o"))
+    evidence = F.coalesce("evidence", F.array().cast(STRINGS))
+    last = valid.groupBy("id").agg(F.max_by(F.struct(F.col("tags").alias("overlay"), evidence.alias("tagEvidence"), "taggedAt", F.col("model").alias("taggedByModel")), seq).alias("o"))
     joined = records.join(last.select("id", "o.*"), "id", "left")
+    hit = F.col("overlay").isNotNull()
     tags = _ordered_union(_allowed(F.col("overlay"), known), F.col("enrichedCanonicalTags"))
-    eligibility = F.when(F.col("overlay").isNotNull(), F.col("eligibility").withField("tags", tags)).otherwise(F.col("eligibility"))
-    return normalize(joined.withColumn("eligibility", eligibility).drop("overlay"))
+    eligibility = F.when(hit, F.col("eligibility").withField("tags", tags)).otherwise(F.col("eligibility"))
+    return normalize(joined.withColumn("eligibility", eligibility), hit).drop("overlay")

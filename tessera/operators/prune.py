@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import scalars as S
-from tessera.operators.dedupe import cut
+from tessera.sources.shared import cut
 from tessera.schema import ELIGIBILITY_ARRAYS, REQUIREMENTS
 
 
@@ -53,8 +53,8 @@ def _completeness() -> Column:
     )
 
 
-def survivor_order(today: Column) -> list[Column]:
-    """Best record first: vetting, deadline, completeness, a direct application address, last checked, last updated, id."""
+def survivor_order(today: Column, ascending: bool = False) -> list[Column]:
+    """Best record first: vetting, deadline, completeness, a direct application address, last checked, last updated, id; or values that are least for the best."""
     scores = [
         S.vetting_score("vetting.status"),
         S.deadline_score("deadline", today),
@@ -63,7 +63,7 @@ def survivor_order(today: Column) -> list[Column]:
         F.coalesce(F.unix_date(F.col("source_checked_at").cast("date")), F.lit(0)),
         F.coalesce(F.unix_micros(F.col("updated_at").cast("timestamp")), F.lit(0)),
     ]
-    return [*(s.desc() for s in scores), F.collate("id", "UNICODE"), F.col("id")]
+    return [*(-s if ascending else s.desc() for s in scores), F.collate("id", "UNICODE"), F.col("id")]
 
 
 def plan(records: DataFrame, today: str, title: str | None = None, keep: str | None = None, seq: str = "seq") -> tuple[DataFrame, DataFrame]:
@@ -73,33 +73,29 @@ def plan(records: DataFrame, today: str, title: str | None = None, keep: str | N
     one duplicate key form a group; all must be compatible with its first record, and at most one vetted by a person.
     """
     keyed = records.withColumn("_pw", S.words("provider")).withColumn("_tw", S.words("title")).withColumn("key", S.duplicate_key(F.col("_pw"), F.col("_tw")))
-    keyed = keyed.where(F.col("key").isNotNull())
-    whole = Window.partitionBy("key")
     chosen = F.lit(True)
     if title:
         query = [w for w in _query_words(title)]
         chosen = (F.col("id") == title) | (F.size(F.array_except(F.array(*map(F.lit, query)).cast("array<string>"), F.col("_tw"))) == 0)
-    head = F.first(F.struct(S.url_key("application_url").alias("url"), F.col("_tw").alias("words"))).over(whole.orderBy(seq).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    ranked = keyed.withColumns(
-        {
-            "head": head,
-            "n": F.count("*").over(whole),
-            "chosen": F.max(chosen.cast("int")).over(whole) == 1,
-            "humans": F.count_if(F.coalesce(F.col("vetting.status") == "human", F.lit(False))).over(whole),
-            "rank": F.row_number().over(whole.orderBy(*([(F.col("id") == keep).desc()] if keep else []), *survivor_order(F.lit(today)))),
-            "kept": (F.max((F.col("id") == keep).cast("int")).over(whole) == 1) if keep else F.lit(True),
-        }
-    ).where("n >= 2 AND chosen")
-    fits = S.compatible_titles(F.col("head.url"), F.col("head.words"), S.url_key("application_url"), F.col("_tw"))
+    # Scores count downwards, so that the best record is the least.
+    *scores, name, own = survivor_order(F.lit(today), ascending=True)
+    first = [(F.col("id") != keep).cast("int").alias("other")] if keep else []
+    best = F.struct(*first, *(x.alias(f"s{k}") for k, x in enumerate(scores)), name.alias("name"), own.alias("id"))
+    title_of = F.struct(S.url_key("application_url").alias("url"), F.col("_tw").alias("words"))
     urls = F.concat(F.array("source_url"), F.coalesce("source_urls", F.array().cast("array<string>")))
-    groups = ranked.groupBy("key").agg(
-        F.bool_and(fits).alias("compatible"),
-        F.max("humans").alias("humans"),
-        F.first("kept").alias("kept"),
-        F.min_by("id", "rank").alias("survivor_id"),
-        F.array_sort(F.collect_list(F.struct(F.col(seq).alias("seq"), "id"))).alias("listed"),
-        F.array_sort(F.array_distinct(F.filter(F.flatten(F.collect_list(urls)), lambda u: u.isNotNull() & (u != "")))).alias("source_urls"),
+    member = F.struct(F.col(seq).alias("seq"), "id", title_of.alias("title"), urls.alias("urls"))
+    groups = keyed.where(F.col("key").isNotNull()).groupBy("key").agg(
+        F.max(chosen.cast("int")).alias("chosen"),
+        F.count_if(F.coalesce(F.col("vetting.status") == "human", F.lit(False))).alias("humans"),
+        (F.max((F.col("id") == keep).cast("int")) == 1 if keep else F.lit(True)).alias("kept"),
+        F.min(best)["id"].alias("survivor_id"),
+        F.collect_list(member).alias("listed"),
     )
+    groups = groups.where((F.size("listed") >= 2) & (F.col("chosen") == 1)).withColumn("listed", F.array_sort("listed"))
+    head = F.get("listed", F.lit(0))["title"]
+    fits = F.forall("listed", lambda m: S.compatible_titles(head["url"], head["words"], m["title"]["url"], m["title"]["words"]))
+    source_urls = S.sorted_distinct(F.flatten(F.transform("listed", lambda m: m["urls"])))
+    groups = groups.withColumns({"compatible": fits, "source_urls": source_urls})
     ids = F.transform("listed", lambda x: x["id"])
     reason = F.when(~F.col("compatible"), "titles are too different to delete any without review").when(F.col("humans") > 1, "more than one record was vetted by a person")
     groups = groups.withColumn("ids", ids).withColumn("reason", reason)
@@ -150,7 +146,7 @@ def apply(records: DataFrame, reports: DataFrame, contributions: DataFrame, plan
     empty = F.array().cast("array<string>")
     own = members.join(records.select("id", F.concat(F.array("source_url"), F.coalesce(F.col("source_urls"), empty)).alias("own")), "id")
     union = own.groupBy("survivor_id").agg(F.array_union(F.flatten(F.collect_list("own")), F.coalesce(F.first("source_urls"), empty)).alias("urls"))
-    merged = union.select(F.col("survivor_id").alias("id"), F.array_sort(F.array_distinct(F.filter("urls", lambda u: u.isNotNull() & (u != "")))).alias("merged"))
+    merged = union.select(F.col("survivor_id").alias("id"), S.sorted_distinct("urls").alias("merged"))
     left = records.join(mapping.select("id"), "id", "left_anti").join(merged, "id", "left")
     updated = left.withColumns({"source_urls": F.coalesce("merged", "source_urls"), "updated_at": F.when(F.col("merged").isNotNull(), now).otherwise(F.col("updated_at"))})
     point = mapping.select(F.col("id").alias("scholarship_id"), "survivor_id")

@@ -131,13 +131,27 @@ def expand_grades(value: str) -> list[str]:
     return []
 
 
+def has_terms(text: Column | str, q: str | None) -> Column:
+    """Whether a text in lower case holds every term of a search, anywhere."""
+    return _and(*(F.contains(S.text(text), F.lit(t)) for t in (q or "").lower().split()))
+
+
+def with_total(rows: DataFrame, total: DataFrame, name: str) -> DataFrame:
+    """``rows`` with the number of rows of ``total`` in each: one aggregate instead of a window over everything."""
+    return rows.crossJoin(F.broadcast(total.agg(F.count("*").alias(name))))
+
+
+def offset_page(rows: DataFrame, order: list[Column], page: int, limit: int) -> DataFrame:
+    return rows.orderBy(*order).offset((page - 1) * limit).limit(limit)
+
+
 def snapshot_filter(query: SearchQuery) -> Column:
     """Predicate on catalog records: every term a substring, grades by what they stand for, a null award counts as 0."""
     status = F.coalesce(F.col("vetting.status"), F.lit("unvetted"))
     specific = F.coalesce(F.col("institutionSpecific"), F.lit(False))
     return _and(
         ~S.closed("deadline", query.as_of) if query.include_closed is False else None,
-        *(F.contains(S.text("searchText"), F.lit(t)) for t in (query.q or "").lower().split()),
+        has_terms("searchText", query.q),
         F.coalesce(F.arrays_overlap("eligibility.grades", F.array(*map(F.lit, expand_grades(query.grade))).cast("array<string>")), F.lit(False)) if query.grade else None,
         _has("eligibility.tags", query.tag) if query.tag else None,
         _has("eligibility.states", query.state) if query.state else None,
@@ -153,13 +167,13 @@ def search_snapshot(catalog: DataFrame, query: SearchQuery, seq: str = "seq") ->
     grouped = group_similar(matches, query.as_of, None, seq)
     limit = min(SNAPSHOT_LIMIT, max(1, query.limit or 100))
     page = max(1, query.page)
-    rows = grouped.orderBy(*representative_order(query.as_of, None, seq)).offset((page - 1) * limit).limit(limit)
+    rows = offset_page(grouped, representative_order(query.as_of, None, seq), page, limit)
     totals = grouped.agg(F.count("*").alias("total"), F.coalesce(F.sum(F.coalesce("variantCount", F.lit(1))), F.lit(0)).alias("rawTotal"))
     return rows, totals.withColumns({"page": F.lit(page), "limit": F.lit(limit), "hasMore": F.col("total") > page * limit})
 
 
 def published_filter(query: SearchQuery, summaries: bool, document: Column | None = None) -> Column:
-    """Predicate on published rows: full-text match, exact members; summaries leave out null awards, full rows count them as 0.
+    """Predicate on published rows: full-text match, exact members; with a minimum, 0 too, summaries leave out null awards and full rows count them as 0.
 
     Null parameters add nothing, so what is left reaches the scan.
     """
@@ -172,7 +186,7 @@ def published_filter(query: SearchQuery, summaries: bool, document: Column | Non
         _has("eligibility.grades", query.grade) if query.grade else None,
         _has("eligibility.tags", query.tag) if query.tag else None,
         _has("eligibility.states", query.state) if query.state else None,
-        (maximum if summaries else F.coalesce(maximum, F.lit(0.0))) >= query.minimum_award if query.minimum_award else None,
+        (maximum if summaries else F.coalesce(maximum, F.lit(0.0))) >= query.minimum_award if query.minimum_award is not None else None,
         {"general": ~F.col("institution_specific"), "institution": F.col("institution_specific")}.get(query.scope),
     )
 

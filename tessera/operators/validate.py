@@ -94,6 +94,6 @@ def submission(reports: DataFrame, published: DataFrame) -> DataFrame:
 
 def contribution_submission(contributions: DataFrame, published: DataFrame) -> DataFrame:
     """Pending contributions that name no scholarship, or a published one."""
-    parents = published.where(F.col("publication_status") == "published").select(F.col("id").alias("scholarship_id"), F.lit(True).alias("parent_published"))
+    parents = published.where(F.col("publication_status") == "published").select(F.col("id").alias("scholarship_id"), F.lit(True).alias("parent_published")).distinct()
     valid = contributions.where((F.size(contribution_errors()) == 0) & (F.col("status") == "pending"))
     return valid.join(parents, "scholarship_id", "left").where(F.col("scholarship_id").isNull() | F.col("parent_published")).select(*contributions.columns)

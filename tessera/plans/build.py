@@ -8,7 +8,6 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions import scalars as S
 from tessera.operators import dedupe, facets, normalize, overlay, validate
 from tessera.sources import catalog, sinks
 
@@ -38,30 +37,29 @@ def build(spark: SparkSession, inputs: Inputs, output: str, as_of: str) -> dict:
     base = catalog.base_and_imports(catalog.json_array(spark, inputs.base), catalog.imported_lines(spark, inputs.imports))
     rows = indexed(base, catalog.enrichments(spark, inputs.enrichments), catalog.tag_overlays(spark, inputs.tagging), allowed, version)
     sinks.replace_table(rows, f"{output}/catalog")
-    written = spark.read.parquet(f"{output}/catalog")
+    written = sinks.read_table(spark, f"{output}/catalog")
     sinks.replace_table(dedupe.group_similar(written, as_of), f"{output}/directory")
-    grouped = spark.read.parquet(f"{output}/directory")
+    grouped = sinks.read_table(spark, f"{output}/directory")
     day = F.coalesce(F.nullif(F.col("deadline"), F.lit("")), F.lit("9999-12-31"))
     sinks.write_chunks(written, f"{output}/search", [day, F.col("seq")], facets.SHARD, "shard")
     sinks.write_chunks(grouped, f"{output}/pages", dedupe.representative_order(as_of), facets.PAGE, "page")
-    sinks.write_chunks(normalize.sitemap(written), f"{output}/sitemap", [F.col("id")], facets.SITEMAP, "file")
+    sinks.write_chunks(written, f"{output}/sitemap", [day, F.col("seq")], facets.SITEMAP, "file", *normalize.sitemap_columns())
     tags = facets.distinct_values(written, "eligibility.tags")
     sinks.replace_table(facets.top_per_tag(grouped, tags, as_of), f"{output}/related")
-    sinks.replace_table(facets.category_counts(grouped, as_of), f"{output}/category-counts")
+    counts = facets.category_counts(grouped, as_of).cache()
+    sinks.replace_table(counts, f"{output}/category-counts")
+    listed = [r["category"] for r in facets.emitted(counts).orderBy("category").collect()]
     found = catalog.line_count(spark, inputs.queue) if inputs.queue else 0
     figures = facets.totals(written, grouped, as_of, found).first().asDict()
     (first, one), (brief, two) = facets.first_pages(grouped, as_of, figures["count"], figures["activeDirectoryCount"], figures["directoryCount"])
     sinks.replace_table(first, f"{output}/directory-initial")
     sinks.replace_table(brief, f"{output}/directory-summary")
     grades = [r["value"] for r in facets.grade_facet(written).collect()]
-    return figures | {"facets": {"grades": grades, "tags": [r["value"] for r in tags.collect()], **facets.static_facets(allowed)}, "initial": one, "summary": two}
+    return figures | {"sitemapCategories": listed, "facets": {"grades": grades, "tags": [r["value"] for r in tags.collect()], **facets.static_facets(allowed)}, "initial": one, "summary": two}
 
 
 def publish(spark: SparkSession, output: str, table: str, now: str) -> None:
     """Merges the built catalog into the published table."""
-    rows = normalize.published(spark.read.parquet(f"{output}/catalog"), F.lit(now))
+    rows = normalize.published(sinks.read_table(spark, f"{output}/catalog"), F.lit(now))
     sinks.upsert_table(rows, table)
 
-
-def closed_flag(df: DataFrame, as_of: str) -> DataFrame:
-    return df.withColumn("closed", S.closed("deadline", as_of, "programStatus"))

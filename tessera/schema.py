@@ -9,7 +9,7 @@ _STRINGS = "array<string>"
 ELIGIBILITY = f"struct<{','.join(f'{a}:{_STRINGS}' for a in ELIGIBILITY_ARRAYS)},minimumGpa:double,minimumAge:double>"
 AWARD = "struct<minimum:double,maximum:double,varies:boolean>"
 REQUIRED = f"struct<{','.join(f'{r}:boolean' for r in REQUIREMENTS)}>"
-VETTING = "struct<status:string,vettedAt:string,confidence:double,missingFields:array<string>>"
+VETTING = "struct<status:string,vettedAt:string,vettedBy:string,confidence:double,method:string,checkedUrl:string,missingFields:array<string>>"
 
 def _ddl(text: str) -> str:
     return " ".join(text.split())
@@ -27,7 +27,8 @@ ENRICHMENT_DDL = _ddl(
     f"""id string, pipelineVersion int, mode string, verifiedFields {_STRINGS}, description string, award {AWARD},
     requirements {REQUIRED}, eligibility {ELIGIBILITY}, enrichedFromUrl string, enrichedAt string"""
 )
-OVERLAY_DDL = _ddl(f"id string, mode string, pipelineVersion int, taxonomyVersion int, tags {_STRINGS}, taggedAt string, model string")
+#: A tag overlay; a piece of evidence is kept as the JSON text it is written in.
+OVERLAY_DDL = _ddl(f"id string, mode string, pipelineVersion int, taxonomyVersion int, tags {_STRINGS}, evidence {_STRINGS}, taggedAt string, model string")
 #: A record as it is published.
 PUBLISHED_DDL = _ddl(
     f"""id string, title string, provider string, source_name string, source_url string, source_urls {_STRINGS}, source_checked_at date,

@@ -3,17 +3,17 @@
 from __future__ import annotations
 
 import json
+import random
 from datetime import date
 
 import pytest
-from hypothesis import given, settings
-from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tessera.operators import dedupe, edit, facets, normalize, overlay, projection, prune, search, validate
+from tessera.functions import fts
+from tessera.operators import dedupe, edit, facets, lookup, normalize, overlay, projection, prune, search, validate
 from tessera.plans import build as plan
 from tessera.schema import CONTRIBUTION_DDL, ENRICHMENT_DDL, OVERLAY_DDL, PUBLISHED_DDL, RAW_DDL
-from tessera.sources import sinks
+from tessera.sources import catalog, sinks
 from tessera.streaming import projection as stream
 
 TODAY = "2026-07-16"
@@ -58,17 +58,43 @@ def test_greedy_fold_replays_order(spark):
     assert kept == {"a": ["u0", "u1", "u3"], "c": ["u2"], "e": ["u4", "u5"]}
 
 
-@settings(max_examples=3, deadline=None)
-@given(keys=st.lists(st.tuples(st.sampled_from("abcde"), st.sampled_from("VWXYZ")), min_size=1, max_size=14))
-def test_greedy_fold_by_brute_force(spark, keys):
-    by_id, by_mark, want = {}, {}, {}
-    for i, (a, b) in enumerate(keys):
-        kept = by_id.get(a, by_mark.get(b))
-        if kept is None:
-            kept = by_id[a] = by_mark[b] = i
-        want.setdefault(kept, []).append(f"u{i}")
-    rows = spark.createDataFrame([(i, a, b, f"u{i}", None) for i, (a, b) in enumerate(keys)], "seq long, id string, mark string, sourceUrl string, sourceUrls array<string>")
-    assert {r["seq"]: r["sourceUrls"] for r in dedupe.greedy_dedupe(rows, fingerprint=F.col("mark")).collect()} == want
+def test_greedy_fold_by_brute_force(spark):
+    """A hundred folds at once: keys of each have its number before them, so they share none."""
+    rng, rows, want = random.Random(7), [], {}
+    for n in range(100):
+        by_id, by_mark = {}, {}
+        for _ in range(rng.randint(1, 25)):
+            i, a, b = len(rows), rng.choice(["", *"abcdefgh"]), rng.choice(["", *"VWXYZ"])
+            a, b = (a and f"{n}{a}"), (b and f"{n}{b}") or f"{n}-"
+            a = a or f"{n}."
+            kept = by_id.get(a, by_mark.get(b))
+            if kept is None:
+                kept = by_id[a] = by_mark[b] = i
+            want.setdefault(kept, []).append(f"u{i}")
+            rows.append((i, a, b, f"u{i}", None))
+    frame_ = spark.createDataFrame(rows, "seq long, id string, mark string, sourceUrl string, sourceUrls array<string>").repartition(5)
+    assert {r["seq"]: r["sourceUrls"] for r in dedupe.greedy_dedupe(frame_, fingerprint=F.col("mark")).collect()} == want
+
+
+def test_null_keys_are_one_key(spark):
+    rows = spark.createDataFrame([(0, None, "x", "u0", None), (1, None, "y", "u1", None), (2, "a", None, "u2", None), (3, "b", None, "u3", ["v"])], "seq long, id string, mark string, sourceUrl string, sourceUrls array<string>")
+    assert {r["seq"]: r["sourceUrls"] for r in dedupe.greedy_dedupe(rows, fingerprint=F.col("mark")).collect()} == {0: ["u0", "u1"], 2: ["u2", "u3"]}
+    assert dedupe.greedy_dedupe(rows.limit(0), fingerprint=F.col("mark")).count() == 0
+
+
+def test_only_records_with_an_overlay_are_normalised_again(spark):
+    base = normalize.normalize(frame(spark, [raw(i, eligibility={**raw(i)["eligibility"], "tags": ["Future Teacher"]}) for i in (1, 2)]))
+    assert [r["eligibility"]["tags"] for r in base.collect()] == [["future-teachers"]] * 2
+    none = frame(spark, [], ENRICHMENT_DDL)
+    once = overlay.enrich(base, none, ["stem"])
+    assert [r["eligibility"]["tags"] for r in once.collect()] == [["future-teachers"]] * 2
+    tags = frame(spark, [{"id": "s2", "mode": "replace", "pipelineVersion": 6, "taxonomyVersion": 4, "tags": ["stem"], "evidence": ["because"], "taggedAt": "t", "model": "m"}], OVERLAY_DDL)
+    done = {r["id"]: r for r in overlay.overlay_tags(once, tags, ["stem"], 4).collect()}
+    assert done["s1"]["eligibility"]["tags"] == ["future-teachers"] and done["s1"]["tagEvidence"] is None
+    assert done["s2"]["eligibility"]["tags"] == ["stem"] and done["s2"]["tagEvidence"] == ["because"] and done["s2"]["taggedByModel"] == "m"
+    step = {"id": "s1", "pipelineVersion": 2, "verifiedFields": ["eligibility.tags"], "eligibility": {"tags": ["education"]}}
+    # An enriched record hops once: the taxonomy has both, so "future-teachers" becomes "education".
+    assert {r["id"]: r["eligibility"]["tags"] for r in overlay.enrich(base, frame(spark, [step], ENRICHMENT_DDL), ["future-teachers", "education"]).collect()} == {"s1": ["education"], "s2": ["future-teachers"]}
 
 
 def test_enrichments_fold_in_order(spark):
@@ -182,6 +208,57 @@ def test_editing():
             edit.edited(record(1), [wrong])
 
 
+def test_vetting_and_addresses():
+    after, changed = edit.edited(record(1), ["source_url=https://new.example.org/"], vetter="Kim", now="2026-02-03T00:00:00")
+    assert after["source_urls"] == ["https://new.example.org/", "https://src.example.org/1"] and "source_urls" in changed
+    assert after["vetting"] == {**after["vetting"], "status": "human", "vettedBy": "Kim", "method": "manual-review", "checkedUrl": "https://new.example.org/", "confidence": 1.0, "missingFields": []}
+
+
+def test_one_record_is_changed(spark):
+    rows = frame(spark, [record(1), record(2, title="Two"), record(2, id="p3", title="two")], PUBLISHED_DDL)
+    assert lookup.find_one(rows, "p1")["id"] == "p1" and lookup.find_one(rows, "TITLE 1")["id"] == "p1"
+    for wrong in ("nothing like it", "TWO"):
+        with pytest.raises(ValueError):
+            lookup.find_one(rows, wrong)
+    stamp = edit.vet_stamp("Kim", F.lit("2026-02-03 01:02:03").cast("timestamp"))
+    (only,) = edit.update_one(rows, "p1", stamp).collect()
+    assert only["vetting"]["checkedUrl"] == "https://src.example.org/1" and only["vetting"]["vettedBy"] == "Kim" and str(only["source_checked_at"]) == "2026-02-03"
+    assert edit.update_one(rows, "p1", stamp, yes=True).count() == 3
+    with pytest.raises(ValueError):
+        edit.update_one(rows, "p9", stamp)
+
+
+def test_a_scan_is_remembered_unless_it_fails(spark):
+    calls = []
+
+    def load():
+        calls.append(1)
+        return spark.range(3) if len(calls) > 1 else spark.range(3).selectExpr("raise_error('x') AS id")
+
+    kept = catalog.Memoised(load)
+    with pytest.raises(Exception):
+        kept.get()
+    assert kept.get().count() == kept.get().count() == 3 and len(calls) == 2
+
+
+def test_a_database_table_in_ranges(spark):
+    url, driver = "jdbc:derby:memory:records;create=true", {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}
+    spark.range(100).selectExpr("id", "CAST(id AS STRING) AS title").write.jdbc(url, "records", "overwrite", driver)
+    rows = catalog.paged_jdbc(spark, url, "records", "id", 0, 100, 5, driver)
+    assert rows.rdd.getNumPartitions() == 5 and sorted(r[0] for r in rows.collect()) == list(range(100))
+
+
+def test_every_match_passes_the_cheap_test(spark):
+    words = sorted({w for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("lang = 'en'").collect() for w in r["text"].lower().split() if w.isalnum()})
+    for w in [*words, "skies", "dying", "relational", "happily", "hoping", "ponies", "nationalization", "early", "news", "ties", "agreed", "sky"]:
+        s = fts.stem(w)
+        assert s[: max(1, len(s) - 2)] in w
+    texts = spark.createDataFrame([("Happy licenses",), ("licensing happiness",), ("license",), ("none",)], "text string").withColumn("document", fts.analyse("text"))
+    for q in ("happy license", '"license happy"', "happy or none", "-happy", "the"):
+        found = texts.select(F.coalesce(fts.may_match(F.col("text"), q), F.lit(False)).alias("may"), fts.matches(F.col("document"), q).alias("is")).collect()
+        assert all(r["may"] for r in found if r["is"])
+
+
 def test_contributions(spark):
     good = {"id": "c", "scholarship_title": "T", "provider": "P", "relationship": "winner", "location": "L", "grade": "Grade 1", "citizenship": "DACA recipient", "source_name": "S", "source_url": "https://a.org/x", "status": "pending"}
     rows = frame(spark, [good, {**good, "grade": "Grade 99", "minimum_gpa": "6.00", "source_url": "x y"}, {**good, "source_url": None}, {**good, "scholarship_id": "p9"}, {**good, "scholarship_id": "p1"}], CONTRIBUTION_DDL)
@@ -216,7 +293,20 @@ def test_stream(spark, tmp_path):
         if extra:
             (folder / "b.json").write_text(json.dumps(extra))
         stream.start(spark, str(folder), f"op string, seq long, {PUBLISHED_DDL}", f"{tmp_path}/projection", f"{tmp_path}/state").awaitTermination()
-    assert sorted(r["id"] for r in spark.read.parquet(f"{tmp_path}/projection").collect()) == ["p2", "p3"]
+    assert sorted(r["id"] for r in stream.read(spark, f"{tmp_path}/projection").collect()) == ["p2", "p3"]
+
+
+def test_a_batch_leaves_other_parts_alone(spark, tmp_path):
+    path = f"{tmp_path}/projection"
+    assert stream.read(spark, path).count() == 0
+    batch = lambda rows: frame(spark, rows, f"op string, {PUBLISHED_DDL}")
+    stream.apply_batch(batch([{"op": "I", **record(i)} for i in range(40)]), path, parts=8)
+    before = sinks.parts_of(spark, path)
+    stream.apply_batch(batch([{"op": "D", "id": "p3"}, {"op": "U", **record(4, title="N")}]), path)
+    after = sinks.parts_of(spark, path)
+    assert before["parts"] == after["parts"] == "8" and 1 <= sum(before[k] != after[k] for k in before) <= 2
+    stream.apply_batch(batch([{"op": "D", "id": "p3"}, {"op": "U", **record(4, title="N")}]), path)
+    assert sorted(r["id"] for r in stream.read(spark, path).collect()) == sorted(f"p{i}" for i in range(40) if i != 3)
 
 
 def test_build(spark, tmp_path):
@@ -229,10 +319,38 @@ def test_build(spark, tmp_path):
     inputs = plan.Inputs(*(f"{tmp_path}/{n}" for n in ("base.json", "imports", "none.jsonl", "none.jsonl", "taxonomy.json")))
     figures = plan.build(spark, inputs, f"{tmp_path}/out", TODAY)
     assert (figures["count"], figures["directoryCount"], figures["activeDirectoryCount"]) == (3, 2, 2) and figures["facets"]["tags"] == ["veteran"]
-    written = {r["id"]: r for r in spark.read.parquet(f"{tmp_path}/out/catalog").collect()}
+    written = {r["id"]: r for r in sinks.read_table(spark, f"{tmp_path}/out/catalog").collect()}
     assert set(written) == {"s1", "s2", "s5"} and written["s2"]["sourceUrls"] == ["https://town.example.org/2", "https://other.example.org/2"]
     plan.publish(spark, f"{tmp_path}/out", f"{tmp_path}/table", "2026-07-16 00:00:00")
     plan.publish(spark, f"{tmp_path}/out", f"{tmp_path}/table", "2026-07-17 00:00:00")
-    assert spark.read.parquet(f"{tmp_path}/table").count() == 3
-    sinks.replace_table(spark.range(3), f"{tmp_path}/table")
-    assert spark.read.parquet(f"{tmp_path}/table").count() == 3
+    assert sinks.read_table(spark, f"{tmp_path}/table").count() == 3
+
+
+def test_tables_change_at_once(spark, tmp_path, monkeypatch):
+    path = f"{tmp_path}/table"
+    with pytest.raises(FileNotFoundError):
+        sinks.read_table(spark, path)
+    sinks.replace_table(spark.range(3), path)
+    old = sinks.read_table(spark, path)
+    sinks.replace_table(sinks.read_table(spark, path).where("id > 0"), path)
+    assert old.count() == 3 and sinks.read_table(spark, path).count() == 2
+    for n in range(4):
+        sinks.replace_table(spark.range(n), path)
+    assert sum(f.name.startswith("v-") for f in (tmp_path / "table").iterdir()) == 2
+    # A write that fails leaves the table as it is; a store that is busy is asked again.
+    with pytest.raises(Exception):
+        sinks.replace_table(spark.range(3).selectExpr("raise_error('x') AS v"), path)
+    assert sinks.read_table(spark, path).count() == 3
+    monkeypatch.setattr(sinks.time, "sleep", lambda s: waits.append(s))
+    waits = []
+    real, failures = sinks.json.dumps, iter([True, True, False])
+
+    class Busy(str):
+        def encode(self):
+            if next(failures):
+                raise OSError("busy")
+            return str(self).encode()
+
+    monkeypatch.setattr(sinks.json, "dumps", lambda x: Busy(real(x)))
+    sinks.replace_table(spark.range(7), path)
+    assert sinks.read_table(spark, path).count() == 7 and waits == [0.1, 0.2]
