@@ -70,7 +70,7 @@ def run_hashes(words: np.ndarray, size: int, base: int = BASE) -> np.ndarray:
 
 
 #: Bytes of text whose n-grams are made at once; a longer text is one such piece by itself.
-BYTES_AT_ONCE = 2_000_000
+BYTES_AT_ONCE = 1_000_000
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
 _LETTER = mixed(np.arange(1, 257, dtype=np.uint64))

@@ -412,7 +412,7 @@ def test_blocks_of_a_column_meet_once():
     entry, key, side = ngram_join.in_blocks(np.full(100, 5, np.uint64), sets, np.full(100, 4, np.int64))
     marks = np.full(len(entry), 40) + side
     order = np.lexsort((sets[entry], marks, key.view(np.int64)))
-    met = [(a, b) for found in ngram_join.multiply(key.view(np.int64)[order], marks[order], sets[entry][order], 0.6) for a, b, n in zip(*found[:3]) for _ in range(n)]
+    met = [(a, b) for found in ngram_join.multiply(key.view(np.int64)[order], marks[order], sets[entry][order], np.ones(len(entry)), 0.6) for a, b, n in zip(*found[:3]) for _ in range(n)]
     assert sorted(met) == sorted(combinations(sorted(sets.tolist()), 2)) and len(np.unique(key)) == 10
 
 
