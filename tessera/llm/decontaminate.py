@@ -18,6 +18,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator
 from functools import reduce
+from itertools import repeat
 
 import ahocorasick
 import pandas as pd
@@ -38,7 +39,9 @@ WORD = re.compile(r"[^\W_]+")
 
 def words_of(text: str) -> list[str]:
     """Lower-case words of ``text``."""
-    return [w.lower() for w in WORD.findall(text)]
+    lowered = text.lower()
+    # Letters that grow or follow their neighbours in lower case would change where words end: there words come first.
+    return WORD.findall(lowered) if len(lowered) == len(text) and "Σ" not in text else [w.lower() for w in WORD.findall(text)]
 
 
 def windows(text: str, window: int) -> list[tuple[str, ...]]:
@@ -66,8 +69,7 @@ class Patterns:
 
     def hits(self, text: str) -> tuple[int, Iterator[tuple[int, tuple[int, list]]]]:
         """(number of words, hits as (last word, (words, items))) of a text."""
-        number = self.numbers.get
-        places = tuple([number(w, 0) for w in words_of(text)])
+        places = tuple(map(self.numbers.get, words_of(text), repeat(0)))
         return len(places), self.automaton.iter(places) if len(self.automaton) and places else iter(())
 
     def found_in(self, text: str) -> bool:
