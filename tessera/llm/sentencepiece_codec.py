@@ -247,6 +247,8 @@ def read_model(path: str = MODEL_FILE) -> bytes:
 def encode(docs: DataFrame, model_file: str = MODEL_FILE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, n_tokens, ids, exact): the ids of each text, and whether decoding them gives the text back.
 
+    Of segmentations of equal score a unigram model's is the one whose last piece, then the one before it and so on, is longer.
+
     Defined cases: a null text has null ``ids``, ``n_tokens`` and ``exact``; an empty one has no ids; ``exact``
     is false where a text holds the mark itself, which decodes to a blank; repeated rows and null ids stay as they
     are; texts of any length are encoded whole; an empty table gives no rows; other columns are ignored.

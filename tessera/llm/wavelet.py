@@ -137,17 +137,17 @@ class WaveletFile:
         bits, sums = self._block(plane, k)
         return self.index[plane][k][0] + int(sums[rest // 512]) + int(bits[rest // 512 * 512 : rest].sum(dtype=np.int64))
 
-    def _select(self, plane: int, bit: int, k: int) -> int:
-        """Place of the k-th (from 0) bit of a kind in a plane."""
-        low, high = 0, self.length
-        while low < high:
-            middle = (low + high) // 2
-            ones = self._ones(plane, middle + 1)
-            if (ones if bit else middle + 1 - ones) > k:
-                high = middle
-            else:
-                low = middle + 1
-        return low
+    def _select(self, plane: int, bit: int, ks: np.ndarray) -> np.ndarray:
+        """Places of the k-th (from 0) bits of a kind in a plane, for ascending ``ks``: the counts kept with the blocks say which to open."""
+        before = np.array([ones for ones, _, _ in self.index[plane]], np.int64)
+        if not bit:
+            before = np.arange(len(before)) * self.block_bits - before
+        which = np.searchsorted(before, ks, side="right") - 1
+        out = np.empty(len(ks), np.int64)
+        for k in np.unique(which):
+            own = which == k
+            out[own] = k * self.block_bits + np.flatnonzero(self._block(plane, int(k))[0] == bit)[ks[own] - before[k]]
+        return out
 
     def access(self, i: int) -> int:
         """The token at place ``i``."""
@@ -187,17 +187,20 @@ class WaveletFile:
         """Place of the k-th (from 0) occurrence of a token; -1 if there are fewer."""
         if k < 0 or token < 0 or token >> self.planes:
             return -1
+        places = self._places(token, k, k + 1)
+        return int(places[0]) if len(places) else -1
+
+    def _places(self, token: int, first: int, last: int) -> np.ndarray:
+        """Places of the occurrences ``first`` to ``last`` (exclusive) of a token; they stay in order from plane to plane."""
         start, end = self._range(token, 0, self.length)
-        if k >= end - start:
-            return -1
-        at = start + k
+        at = np.arange(start + first, min(start + last, end))
         for p, bit in reversed(list(self._path(token))):
             at = self._select(p, bit, at - self.zeros[p] if bit else at)
         return at
 
     def occurrences(self, token: int) -> list[tuple[int, int]]:
         """(number of the document in the file, place in it) of every occurrence."""
-        places = [self.select(token, k) for k in range(self.count(token))]
+        places = self._places(token, 0, self.length).tolist() if 0 <= token < 1 << self.planes else []
         docs = np.searchsorted(np.array(self.ends), places, side="right")
         return [(int(d), p - (self.ends[d - 1] if d else 0)) for d, p in zip(docs, places)]
 
