@@ -285,7 +285,7 @@ def category_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
                greatest((SELECT count(*) FROM catalog), 123) AS "discoveredCount" FROM grouped""",
 )
 def catalog_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = catalog_records(spark, sf_dir)
+    rows = catalog_records(spark, sf_dir).withColumn("sourceName", F.when(F.col("seq") % 7 > 0, F.col("sourceName")))
     figures = facets.totals(rows, dedupe.group_similar(rows, AS_OF), AS_OF, 123)
     return figures.select("count", "sourceCount", "directoryCount", "activeDirectoryCount", "directoryPageCount", "searchShardCount", F.col("discoveredCount").cast("long").alias("discoveredCount"))
 
@@ -295,12 +295,12 @@ def catalog_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH {CATALOG}, matched AS (SELECT * FROM catalog), {_GROUPED}, tags AS (SELECT kind AS tag, * FROM grouped UNION SELECT word, * FROM grouped),
         ranked_tags AS (SELECT tag, id, row_number() OVER (PARTITION BY tag ORDER BY coalesce(deadline, DATE '9999-12-31'), title, seq) AS place FROM tags
                         WHERE deadline IS NULL OR deadline >= DATE '{AS_OF}')
-        SELECT tag, CAST(place AS INTEGER) AS place, id FROM ranked_tags WHERE place <= 4""",
+        SELECT tag, CAST(place AS INTEGER) AS place, coalesce(id, 'none') AS id FROM (SELECT kind AS tag FROM catalog UNION SELECT word FROM catalog UNION SELECT 'nowhere') LEFT JOIN (SELECT * FROM ranked_tags WHERE place <= 4) USING (tag)""",
 )
 def topk_per_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = catalog_records(spark, sf_dir)
-    top = facets.top_per_tag(dedupe.group_similar(rows, AS_OF), facets.distinct_values(rows, "eligibility.tags"), AS_OF)
-    return top.where("id IS NOT NULL")
+    top = facets.top_per_tag(dedupe.group_similar(rows, AS_OF), facets.distinct_values(rows, "eligibility.tags").unionAll(spark.sql("SELECT 'nowhere'")), AS_OF)
+    return top.select("tag", "place", F.coalesce("id", F.lit("none")).alias("id"))
 
 
 @register(
@@ -362,12 +362,12 @@ def ordered_array_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "compatibility_ratio",
-    """WITH w AS (SELECT p_partkey, p_brand, p_type, list_distinct(string_split(p_name, ' ')) AS ws FROM part WHERE p_partkey < 1000)
+    """WITH w AS (SELECT p_partkey, p_brand, p_type, list_distinct(string_split(p_name, ' ')) AS ws FROM part)
        SELECT a.p_partkey AS left_key, b.p_partkey AS right_key, len(list_intersect(a.ws, b.ws)) / least(len(a.ws), len(b.ws)) AS ratio
        FROM w a JOIN w b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_partkey < b.p_partkey WHERE len(list_intersect(a.ws, b.ws)) / least(len(a.ws), len(b.ws)) >= 0.5""",
 )
 def compatibility_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = table(spark, sf_dir, "part").where("p_partkey < 1000").select("p_partkey", "p_brand", "p_type", S.words("p_name", folded=False).alias("ws"))
+    words = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", S.words("p_name", folded=False).alias("ws"))
     a, b = words.alias("a"), words.alias("b")
     on = (F.col("a.p_brand") == F.col("b.p_brand")) & (F.col("a.p_type") == F.col("b.p_type")) & (F.col("a.p_partkey") < F.col("b.p_partkey"))
     ratio = S.overlap_ratio(F.col("a.ws"), F.col("b.ws"))
@@ -416,28 +416,47 @@ def grade_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(S.grades(value), ",").alias("grades"))
 
 
-_VALUES = ["Texas", "new york and Virginia", "co", "West Virginia", "District of Columbia", "Washington DC", "", "Kansas, Arkansas"]
-_FOUND = ["TX", "NY,VA", "CO", "WV,VA", "", "", "", "AR,KS"]
+_STATE_NAMES = [name.title() for name in vocab.STATES]
+_STATE_ROWS = ", ".join(f"('{code}', '{name}')" for name, code in vocab.STATES.items())
 
 
-@register("state_names", f"SELECT n_nationkey, ({_FOUND!r})[CAST(n_nationkey % 8 + 1 AS INTEGER)] AS states FROM nation")
+@register(
+    "state_names",
+    f"""WITH s(code, name) AS (VALUES {_STATE_ROWS}), n AS (SELECT {_STATE_NAMES!r} AS names),
+        v AS (SELECT c_custkey, CASE WHEN c_custkey % 9 = 0 THEN ' ' || (SELECT code FROM s WHERE name = lower(names[CAST(c_custkey % 50 + 1 AS INTEGER)])) ELSE names[CAST(c_custkey % 50 + 1 AS INTEGER)] || ' and ' || upper(names[CAST(c_custkey * 7 % 50 + 1 AS INTEGER)]) END AS value FROM customer, n)
+        SELECT c_custkey, coalesce(CASE WHEN c_custkey % 9 = 0 THEN trim(value) ELSE (SELECT string_agg(code, ',' ORDER BY length(name) DESC, name) FROM s WHERE regexp_matches(lower(value), '\\b' || name || '\\b')) END, '') AS states FROM v""",
+)
 def state_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    value = F.get(F.array(*map(F.lit, _VALUES)), F.col("n_nationkey") % 8)
-    return table(spark, sf_dir, "nation").select("n_nationkey", F.array_join(S.states(value), ",").alias("states"))
+    """Codes of the states that a text names, longest name first, or that it is the code of."""
+    key, names = F.col("c_custkey"), F.array(*map(F.lit, _STATE_NAMES))
+    codes = F.array(*(F.lit(c) for c in vocab.STATES.values()))
+    pick = lambda of, k: F.get(of, (k % 50).cast("int"))
+    value = F.when(key % 9 == 0, F.concat(F.lit(" "), pick(codes, key))).otherwise(F.concat(pick(names, key), F.lit(" and "), F.upper(pick(names, key * 7))))
+    return table(spark, sf_dir, "customer").select("c_custkey", F.array_join(S.states(value), ",").alias("states"))
+
+
+_TAG_ROWS = ", ".join(f"('{slug}', '{tag}')" for slug, tag in vocab.TAG_ALIASES.items())
+_COUNTRY_ROWS = ", ".join(f"('{name}', '{code}')" for name, code in vocab.COUNTRY_ALIASES.items())
+_SPELLINGS = [k.replace("-", " ").title() for k in vocab.TAG_ALIASES] + ["Future-Teachers", "R&D", "Plain Tag!", "--"]
+_COUNTRIES = [f" {k.title()} " for k in vocab.COUNTRY_ALIASES] + ["France", "us", ""]
 
 
 @register(
     "vocabulary_aliases",
-    """SELECT n_nationkey, (['financial-need', 'education', 'future-teachers', 'veteran'])[CAST(n_nationkey % 4 + 1 AS INTEGER)] AS tag, (['US', 'GB', 'FRANCE', 'MX'])[CAST(n_nationkey % 4 + 1 AS INTEGER)] AS country,
-              (['Two-year', 'Four-year', 'Vocational', 'Other school'])[CAST(n_nationkey % 4 + 1 AS INTEGER)] AS institution FROM nation""",
+    f"""WITH t(slug, tag) AS (VALUES {_TAG_ROWS}), c(name, code) AS (VALUES {_COUNTRY_ROWS}),
+        v AS (SELECT c_custkey, trim(regexp_replace(replace(lower(({_SPELLINGS!r})[CAST(c_custkey % {len(_SPELLINGS)} + 1 AS INTEGER)]), '&', ' and '), '[^a-z0-9]+', '-', 'g'), '-') AS slug,
+                     upper(trim(({_COUNTRIES!r})[CAST(c_custkey % {len(_COUNTRIES)} + 1 AS INTEGER)])) AS name, ['two year', 'Four-Year', 'VOCATIONAL', ' Other school '][CAST(c_custkey % 4 + 1 AS INTEGER)] AS school FROM customer)
+        SELECT c_custkey, coalesce(tag, slug) AS tag, coalesce(code, name) AS country, CASE WHEN school LIKE 'two%' THEN 'Two-year' WHEN school LIKE 'Four%' THEN 'Four-year' WHEN school = 'VOCATIONAL' THEN 'Vocational' ELSE trim(school) END AS institution
+        FROM v LEFT JOIN t USING (slug) LEFT JOIN c USING (name)""",
 )
 def vocabulary_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pick = lambda *values: F.get(F.array(*map(F.lit, values)), F.col("n_nationkey") % 4)
-    return table(spark, sf_dir, "nation").select(
-        "n_nationkey",
-        S.tag(pick("Low Income", "future-teachers", "Future Teacher", "Veteran")).alias("tag"),
-        S.country(pick("united states", " United Kingdom ", "France", "MEXICO")).alias("country"),
-        S.institution_type(pick("two year", "Four-Year", "VOCATIONAL", " Other school ")).alias("institution"),
+    """Tags, countries and institution types by any of their spellings."""
+    pick = lambda values: F.get(F.array(*map(F.lit, values)), (F.col("c_custkey") % len(values)).cast("int"))
+    return table(spark, sf_dir, "customer").select(
+        "c_custkey",
+        S.text(S.tag(pick(_SPELLINGS))).alias("tag"),
+        S.country(pick(_COUNTRIES)).alias("country"),
+        S.institution_type(pick(["two year", "Four-Year", "VOCATIONAL", " Other school "])).alias("institution"),
     )
 
 
@@ -457,12 +476,17 @@ def direct_application(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records(spark, sf_dir).select("id", S.direct_application("application_url", "source_url").alias("direct"))
 
 
-_HOSTS = ["http://localhost/a", "https://10.1.2.3/", "https://172.20.0.1/x", "https://172.32.0.1/x", "https://192.168.1.1", "https://example.org/p"]
-
-
-@register("private_hosts", "SELECT n_nationkey, ([true, true, true, false, true, false])[CAST(n_nationkey % 6 + 1 AS INTEGER)] AS private FROM nation")
+@register(
+    "private_hosts",
+    """WITH t AS (SELECT c_custkey, [10, 127, 172, 192, 8, 11][CAST(c_custkey % 6 + 1 AS INTEGER)] AS a, CASE WHEN c_custkey % 6 = 3 AND c_custkey % 4 = 3 THEN 168 ELSE c_custkey * 13 % 40 END AS b FROM customer)
+       SELECT c_custkey, c_custkey % 11 = 0 OR a IN (10, 127) OR a = 172 AND b BETWEEN 16 AND 31 OR a = 192 AND b = 168 AS private FROM t""",
+)
 def private_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "nation").select("n_nationkey", S.private_host(F.get(F.array(*map(F.lit, _HOSTS)), F.col("n_nationkey") % 6)).alias("private"))
+    key = F.col("c_custkey")
+    first = F.get(F.array(*map(F.lit, (10, 127, 172, 192, 8, 11))), (key % 6).cast("int"))
+    second = F.when((key % 6 == 3) & (key % 4 == 3), 168).otherwise(key * 13 % 40)
+    url = F.when(key % 11 == 0, "http://api.localhost:80/x").otherwise(F.concat(F.lit("https://"), first, F.lit("."), second, F.lit(".1.2/p")))
+    return table(spark, sf_dir, "customer").select("c_custkey", S.private_host(url).alias("private"))
 
 
 @register("format_date", "SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN 'No deadline published' WHEN o_orderkey % 10 = 1 THEN 'Date unavailable' ELSE strftime(o_orderdate, '%b %-d, %Y') END AS label FROM orders")
@@ -490,12 +514,13 @@ def confidence_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "deadline_flags",
-    f"""WITH {CATALOG} SELECT id, coalesce(deadline < DATE '{AS_OF}', FALSE) AS closed, CASE WHEN deadline IS NULL THEN 0 WHEN deadline >= DATE '{AS_OF}' THEN 2 ELSE 1 END AS score,
+    f"""WITH {CATALOG} SELECT id, coalesce(deadline < DATE '{AS_OF}', FALSE) OR seq % 5 = 0 AS inactive, coalesce(deadline < DATE '{AS_OF}', FALSE) AS closed, CASE WHEN deadline IS NULL THEN 0 WHEN deadline >= DATE '{AS_OF}' THEN 2 ELSE 1 END AS score,
         CASE vetting_status WHEN 'human' THEN 2 WHEN 'ai' THEN 1 ELSE 0 END AS vetting, CAST(coalesce(deadline, DATE '9999-12-31') AS VARCHAR) AS deadline_key FROM catalog""",
 )
 def deadline_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records(spark, sf_dir).select(
         "id",
+        S.closed("deadline", AS_OF, F.when(F.col("seq") % 5 == 0, "inactive").when(F.col("seq") % 5 == 1, "active")).alias("inactive"),
         S.closed("deadline", AS_OF).alias("closed"),
         S.deadline_score("deadline", F.lit(AS_OF)).alias("score"),
         S.vetting_score("vetting.status").alias("vetting"),
@@ -685,14 +710,22 @@ def candidate_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "publish_projection",
-    f"WITH {CATALOG} SELECT id, source_url AS urls, coalesce(CAST(deadline AS VARCHAR), '') AS deadline, institution_specific, 'published' AS publication_status FROM catalog",
+    f"""WITH {CATALOG} SELECT id, title, provider, source_url AS urls, coalesce(CAST(deadline AS VARCHAR), '') AS deadline, institution_specific, 'published' AS publication_status, 'Source ' || seq % 7 AS source_name, application_url,
+        '2025-01-01' AS checked, title || ' ' || provider || ' ' || upper(kind) AS description, lower(title || ' ' || provider || ' ' || kind) AS search_text, 'empty' AS missing, 0 AS types, '' AS opens, '' AS institution, '' AS published_at,
+        '2026-01-01' AS updated, coalesce(award_maximum, -1) AS award, seq % 2 = 0 AS essay, kind || ',' || word AS tags, coalesce(vetting_status, '') AS vetting FROM catalog""",
 )
 def publish_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = F.lit(None).cast("string")
     rows = catalog_records(spark, sf_dir).withColumns(
-        {"sourceCheckedAt": F.lit("2025-01-01"), "sourceMissingFields": F.lit(None).cast(STRINGS), "opens": none, "institutionName": none, "institutionTypes": F.lit(None).cast(STRINGS)}
+        {"sourceCheckedAt": F.lit("2025-01-01"), "sourceMissingFields": F.lit(None).cast(STRINGS), "opens": none, "institutionName": F.lit(""), "institutionTypes": F.lit(None).cast(STRINGS)}
     )
-    return normalize.published(rows, F.lit("2026-01-01 00:00:00")).select("id", F.array_join("source_urls", " ").alias("urls"), S.text("deadline").alias("deadline"), "institution_specific", "publication_status")
+    out = normalize.published(rows, F.lit("2026-01-01 00:00:00"))
+    day_of = lambda c: S.text(F.col(c).cast("date"))
+    return out.select(
+        "id", "title", "provider", F.array_join("source_urls", " ").alias("urls"), S.text("deadline").alias("deadline"), "institution_specific", "publication_status", "source_name", "application_url", day_of("source_checked_at").alias("checked"),
+        "description", "search_text", F.when(F.size("source_missing_fields") == 0, "empty").otherwise("some").alias("missing"), F.size("institution_types").alias("types"), day_of("opens").alias("opens"), S.text("institution_name").alias("institution"),
+        day_of("published_at").alias("published_at"), day_of("updated_at").alias("updated"), F.coalesce("award.maximum", F.lit(-1.0)).alias("award"), F.col("requirements.essay").alias("essay"), F.array_join("eligibility.tags", ",").alias("tags"), S.text("vetting.status").alias("vetting"),
+    )
 
 
 # Queries that share the registry above.

@@ -309,6 +309,24 @@ def snapshot_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog_records(spark, sf_dir).select("id", *(c.alias(n) for n, c in found.items()))
 
 
+@register("category_levels", f"WITH {CATALOG} SELECT id FROM catalog WHERE (kind = 'promo' OR word = 'promo') AND seq % 3 > 0")
+def category_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A category limited to degree levels that contain one of two words, in any case."""
+    levels = F.array(F.get(F.array(*map(F.lit, ("Doctoral Degree", "GRADUATE Degree", "Associate degree"))), (F.col("seq") % 3).cast("int")), F.lit("x"))
+    rows = records(spark, sf_dir).withColumn("eligibility", F.col("eligibility").withField("degreeLevels", levels))
+    return search.search_category(rows, "promo", degree_levels=("graduate", "associate")).select("id")
+
+
+@register(
+    "folded_words",
+    "SELECT doc_id, array_to_string(list_filter(string_split_regex(strip_accents(lower(left(text, 80))), '[^a-z0-9]+'), lambda w: w <> ''), ' ') AS words FROM documents WHERE lang IN ('fr', 'es') AND NOT regexp_matches(left(text, 80), '[0-9&]')",
+)
+def folded_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of the beginnings of French and Spanish texts, without their accents."""
+    docs = table(spark, sf_dir, "documents").where(F.col("lang").isin("fr", "es") & ~F.left("text", F.lit(80)).rlike("[0-9&]"))
+    return docs.select("doc_id", F.array_join(S.words(F.left("text", F.lit(80))), " ").alias("words"))
+
+
 @register("minimum_of_zero", f"WITH {CATALOG} SELECT count(*) FILTER (award_maximum IS NOT NULL) AS summaries, count(*) AS full_rows FROM catalog WHERE publication_status = 'published'")
 def minimum_of_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A minimum of 0 leaves out null awards in summaries, but not in full rows."""

@@ -241,8 +241,7 @@ def response(table: DataFrame, query: SearchQuery, summaries: bool = True) -> di
 
 def search_category(grouped: DataFrame, tag: str, secondary: tuple[str, ...] = (), degree_levels: tuple[str, ...] = ()) -> DataFrame:
     """Records with a tag, all secondary tags and, if any are given, a degree level that contains one of these."""
-    levels = [F.exists("eligibility.degreeLevels", lambda x, d=d: F.contains(F.lower(x), F.lit(d))) for d in degree_levels]
     level = None
-    for c in levels:
-        level = c if level is None else level | c
-    return grouped.where(_and(*(_has("eligibility.tags", t) for t in (tag, *secondary)), F.coalesce(level, F.lit(False)) if level is not None else None))
+    if degree_levels:
+        level = F.coalesce(F.exists("eligibility.degreeLevels", lambda x: F.lower(x).rlike("|".join(map(re.escape, degree_levels)))), F.lit(False))
+    return grouped.where(_and(*(_has("eligibility.tags", t) for t in (tag, *secondary)), level))
