@@ -153,6 +153,83 @@ def test_long_runs_are_read_in_linear_time():
     assert near == ["alpha", "beta", "y" * 250, "mail", "end"]
 
 
+def brute_counts_of_bytes(text):
+    """Slots and byte pairs of a text, byte by byte."""
+    data = f" {' '.join(text.lower().split())} ".encode()
+    slots = {}
+    for order in language_id.ORDERS:
+        for at in range(len(data) - order + 1):
+            mixed = 0x165667B1 * order & 0xFFFFFFFF
+            for k in range(order):
+                mixed = (mixed ^ data[at + k]) * int(language_id._MULTIPLIERS[k]) & 0xFFFFFFFF
+                mixed ^= mixed >> 13
+            slot = (mixed * 0x2C1B3C6D & 0xFFFFFFFF) >> (32 - language_id.BITS)
+            slots[slot] = slots.get(slot, 0) + 1
+    return slots, [data[k] << 8 | data[k + 1] for k in range(len(data) - 1)]
+
+
+def test_the_language_query_by_brute_force(spark):
+    docs = table(spark, DATA, "documents")
+    model = language_id.fit(docs)
+    out = {r["doc_id"]: r for r in queries.op3_language_id(spark, DATA).collect()}
+    family_of = {lang: f for f, d in model.languages.items() for lang in d.classes}
+    for doc_id, text in docs.select("doc_id", "text").collect():
+        got = out[doc_id]
+        if not any(c.isalpha() for c in text):
+            assert (got["lang"], got["accepted"]) == (None, False)
+            continue
+        slots, pairs = brute_counts_of_bytes(text)
+        length = math.sqrt(sum(n * n for n in slots.values()))
+        score = [sum(n * float(model.weights[s, c]) for s, n in slots.items()) / length for c in range(model.weights.shape[1])]
+
+        def winner(decider, score=score):
+            sides = [(a if score[decider.first + k] >= 0 else b, a, b, score[decider.first + k]) for k, (a, b) in enumerate(decider.pairs)]
+            votes = {c: (sum(w == c for w, *_ in sides), sum(s if c == a else -s if c == b else 0 for _, a, b, s in sides)) for c in range(len(decider.classes))}
+            return decider.classes[max(votes, key=lambda c: (votes[c], -c))]
+
+        family = winner(model.families)
+        language = winner(model.languages[family])
+        near = min(abs(x) for x in score) < 1e-4
+        assert near or (got["family"], got["lang"]) == (family, language) and family_of[language] == family
+        assert got["accepted"] == (sum(bool(model.seen[p]) for p in pairs) >= language_id.FAMILIAR * len(pairs))
+
+
+def test_the_machine_is_the_widest_margin(monkeypatch):
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(1, 1, (30, 5)), rng.normal(-1, 1, (30, 5))]).astype(np.float32)
+    y = np.repeat([1.0, -1.0], 30)
+    loss = lambda w: 0.5 * float(w @ w) + language_id.COST * float(np.maximum(0, 1 - y * (x @ w)).sum())
+    monkeypatch.setattr(language_id, "EPOCHS", 3000)
+    best = language_id._svm(x, y)
+    w, least = best.astype(np.float64), loss(best.astype(np.float64))
+    for step in range(20_000):
+        slope = w - language_id.COST * (y[:, None] * x)[y * (x @ w) < 1].sum(axis=0)
+        w = w - slope / (10 + step)
+        least = min(least, loss(w))
+    assert loss(best.astype(np.float64)) <= least * 1.001
+
+
+def test_ties():
+    decider = language_id.Decider(["a", "b", "c"], 0, [(0, 1), (0, 2), (1, 2)])
+    assert decider.decide(np.zeros(3)) == ("a", 0.0) and decider.decide(np.array([1.0, -1.0, 1.0]))[0] == "a"
+    assert url_filter.bayes([("w", "ads", 1), ("w", "spam", 1)], {"ads": 3, "spam": 3}).score(["w"])[0] == "ads"
+    model = url_filter.Segmenter({"ab": 10, "c": 10, "a": 10, "bc": 10}, 40)
+    assert model.segment("abc") == ["a", "bc"]
+    equal = sharding.difference([[5, 0], [5, 0], [5, 0], [5, 0]])
+    assert equal == sharding.difference([[5, 0]] * 4) and sorted(len([p for p in part if p % 2 == 0]) for part in equal) == [2, 2]
+
+
+def test_unigram_ties_go_to_longer_last_pieces():
+    model = bytearray(sentencepiece_codec.read_model())
+    model[model.rfind(b"tok_v0\x18\x02") + 7] = sentencepiece_codec.UNIGRAM
+    codec = sentencepiece_codec.Codec(bytes(model))
+    codec.scores = [-1.0] * len(codec.scores)
+    parts = {p for p in codec.ids if p.isalpha() and p.isascii() and len(p) <= 3}
+    word = next(a + b for a in sorted(parts) for b in sorted(parts) if len(a) == 1 and len(b) == 3 and a + b not in codec.ids and a + b[:1] in parts and b[1:] in parts)
+    ids, _ = codec.encode_sorted([word])
+    assert [codec.library.id_to_piece(int(i)) for i in ids] == [word[:1], word[1:]]
+
+
 def test_held_out_languages(spark):
     docs = table(spark, LARGER, "documents")
     model = language_id.fit(docs.where("doc_id % 2 = 0"), per_language=60)
@@ -186,6 +263,32 @@ def test_shards_are_even(spark):
         assert len(sharding_rows) == 600 and len(sums) == 16 and max(sums.values()) - min(sums.values()) < 60
 
 
+def brute_differencing(weights, parts):
+    """Karmarkar-Karp with the groups themselves in the partial partitions."""
+    partial = [(w, n, [(w, [n])] + [(0, [])] * (parts - 1)) for n, w in enumerate(weights)]
+    fresh = len(partial)
+    while len(partial) > 1:
+        partial.sort(key=lambda p: (-p[0], p[1]))
+        (_, _, one), (_, _, two), *partial = partial
+        merged = sorted(((a + b, x + y) for (a, x), (b, y) in zip(one, reversed(two))), key=lambda m: -m[0])
+        partial.append((merged[0][0] - merged[-1][0], fresh, merged))
+        fresh += 1
+    return sorted(s for s, _ in partial[0][2])
+
+
+def test_the_sharding_query_by_brute_force(spark):
+    texts = {}
+    for r in table(spark, LARGER, "documents").collect():
+        texts[r["text"]] = texts.get(r["text"], 0) + len(r["text"].encode())
+    out = queries.op4_sharding(spark, LARGER).collect()
+    sums, where = {}, {}
+    for r in out:
+        sums[r["shard"]] = sums.get(r["shard"], 0) + r["bytes"]
+        where.setdefault(r["group"], set()).add(r["shard"])
+    assert len(out) == 1000 and len(where) == len(texts) and all(len(s) == 1 for s in where.values())
+    assert sorted(sums.values()) == brute_differencing(sorted(texts.values(), reverse=True), sharding.MIN_SHARDS)
+
+
 def test_segmentation_is_the_most_probable():
     model = url_filter.Segmenter({"cheap": 50, "pills": 40, "heap": 5, "c": 9, "win": 7, "casino": 30, "in": 90, "cas": 1}, 400)
     for name in ("cheappills", "casinowin", "xq", "winincheap"):
@@ -383,10 +486,10 @@ def test_pairs_by_brute_force(spark, monkeypatch):
             own[random.randrange(len(own))] = random.choice(("A0", "b1", "néw", "x"))
         texts[i] = random.choice((" ", "\n", " ", "  ")).join(own)
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    for frequent, block, sets in ((64, 4096, 4000), (3, 4, 5)):
+    for frequent, block, grams in ((64, 4096, 1_500_000), (3, 4, 60)):
         monkeypatch.setattr(ngram_join, "FREQUENT", frequent)
         monkeypatch.setattr(ngram_join, "BLOCK", block)
-        monkeypatch.setattr(ngram_join, "SETS_AT_ONCE", sets)
+        monkeypatch.setattr(ngram_join, "GRAMS_AT_ONCE", grams)
         for threshold in (0.6, 0.8):
             assert as_pairs(ngram_join.similar_documents(docs, threshold=threshold)) == brute_pairs(texts, threshold)
 
