@@ -13,6 +13,12 @@ least t (a + b) / (1 + t), which bounds everything that follows:
 3. A pair whose overlap so far and the rest of either row together stay below its bound is discarded. The
    others are counted in full from their whole sets, and those that reach t stay.
 
+Large groups of near copies are all pairs by nature, so they go another way. The least of a set's n-grams by each of ``ROUNDS`` hashes
+names a cell; two sets of similarity s share the cell of a round with chance s. Cells of ``CELL_LEAST`` sets and more are cut into blocks, and
+one task counts the pairs of two blocks from their whole sets, as matrices; it returns the links of each set and what joins
+them, no pairs. The product above passes over pairs that share such a cell, and a later round over those of the rounds before, so each
+pair is counted once, wherever it is met. Smaller cells, and any beyond ``MAX_CELLS``, are left to the product.
+
 A set is known by 64 bits of a hash of 128; that these bits tell all sets apart is checked over all classes, and sets that
 share them go by the other 64. What is broadcast is bounded: at most ``MAX_FREQUENT`` hashes, the most
 frequent ones, and the rows of candidates only up to ``BROADCAST_ROWS``; beyond that the same join shuffles.
@@ -29,10 +35,10 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import checkpoint, fresh, shuffle_partitions, with_row_id
+from tessera.llm.common import checkpoint, drop_unused, fresh, shuffle_partitions, with_row_id
 from tessera.llm.grams import gram_sets, mixed
 
 N = 3
@@ -47,10 +53,23 @@ BROADCAST_ROWS = 500_000
 BLOCK = 4_096
 #: N-grams of the left sets that one task holds to count pairs in full.
 GRAMS_AT_ONCE = 1_500_000
+#: Hashes by which sets fall into cells, distinct sets that make a cell worth a product of its own, and such cells at most.
+ROUNDS = 3
+CELL_LEAST = 64
+MAX_CELLS = 60_000
+#: N-grams, and sets, in a block of a cell.
+CELL_GRAMS = 1_000_000
+CELL_SETS = 2_000
+#: Sets of a block that are multiplied at once, and columns of a dense slice.
+ROWS_AT_ONCE = 256
+SLICE = 2_048
+#: Bits of a round's cell in the cells of a set.
+CELL_BITS = 20
 KEYS_AT_ONCE = 1_000_000
 ENTRIES_AT_ONCE = 400_000
 PAIRS_AT_ONCE = 500_000
 PARTNERS_AT_ONCE = 256
+SETS_AT_ONCE = 500
 
 
 def gram_set(text: str, n: int = N) -> np.ndarray:
@@ -70,6 +89,32 @@ def _names(keys: np.ndarray, starts: np.ndarray, sizes: np.ndarray, shared: froz
     return np.array([y if x in shared else x for x, y in both], np.int64), np.array([y for _, y in both], np.int64)
 
 
+def _leasts(keys: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
+    """Of each round, the least hash of the n-grams of each set."""
+    seeds = mixed(np.arange(1, ROUNDS + 1, dtype=np.uint64))
+    return [np.minimum.reduceat(mixed(keys ^ seed), starts) if len(starts) else np.empty(0, np.uint64) for seed in seeds]
+
+
+def _cells(keys: np.ndarray, starts: np.ndarray, known: list[np.ndarray]) -> np.ndarray:
+    """The large cells of each set: ``CELL_BITS`` for each round, 0 where it is in none of them."""
+    out = np.zeros(len(starts), np.int64)
+    if any(map(len, known)):
+        for r, (own, least) in enumerate(zip(known, _leasts(keys, starts))):
+            if len(own):
+                at = np.minimum(np.searchsorted(own, least), len(own) - 1)
+                out |= np.where(own[at] == least, at + 1, 0) << CELL_BITS * r
+    return out
+
+
+def _apart(a: np.ndarray, b: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
+    """Whether sets of cells ``a`` and ``b`` share no large cell in the first rounds."""
+    out = np.ones(np.broadcast_shapes(a.shape, b.shape), bool)
+    for r in range(rounds):
+        own, other = (x >> CELL_BITS * r & (1 << CELL_BITS) - 1 for x in (a, b))
+        out &= (own != other) | (own == 0)
+    return out
+
+
 def _least(threshold: float, sizes: np.ndarray) -> np.ndarray:
     """Overlap that sets of these sizes need at least with any partner."""
     return np.ceil(threshold * sizes - 1e-9).astype(np.int64)
@@ -123,17 +168,18 @@ def in_blocks(keys: np.ndarray, sets: np.ndarray, groups: np.ndarray) -> tuple[n
 
 
 def _entries(threshold: float, n: int, frequent: Broadcast, shared: frozenset[int], parts: int):  # noqa: ANN202
-    """(part, hashes, mark, set) of the first n-grams of each set, frequent ones last, by the task that multiplies them.
+    """(part, hashes, mark, set, cells) of the first n-grams of each set, frequent ones last, by the task that multiplies them.
 
     A mark is 4 times the set's size and a side. The last bit of a hash says whether the n-gram is among the first ones of a smaller set.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often, blocks = frequent.value
+        often, blocks, large = frequent.value
         for batch in batches:
             for texts, keys in gram_sets(batch.column(0), n):
                 owners, starts, sizes, place = _rows_of(texts)
                 sets, _ = _names(keys, starts, sizes, shared)
+                cells = _cells(keys, starts, large)
                 groups = np.ones(len(keys), np.int64)
                 if len(often):
                     low = keys.astype(np.uint32)
@@ -155,8 +201,8 @@ def _entries(threshold: float, n: int, frequent: Broadcast, shared: frozenset[in
                 starts = np.flatnonzero(np.concatenate([[True], (part[1:] != part[:-1]) | (side[1:] != side[:-1]) | (which[1:] != which[:-1])])) if len(key) else np.empty(0, np.int64)
                 hashes = pa.ListArray.from_arrays(pa.array(np.append(starts, len(key)).astype(np.int32)), pa.array(key.view(np.int64)))
                 own = which[starts]
-                columns = [pa.array(part[starts]), hashes, pa.array(sizes[own] * 4 + side[starts]), pa.array(sets[own])]
-                yield pa.RecordBatch.from_arrays(columns, names=["part", "hashes", "mark", "set"])
+                columns = [pa.array(part[starts]), hashes, pa.array(sizes[own] * 4 + side[starts]), pa.array(sets[own]), pa.array(cells[own])]
+                yield pa.RecordBatch.from_arrays(columns, names=["part", "hashes", "mark", "set", "cells"])
 
     return run
 
@@ -170,13 +216,14 @@ def _sums(a: np.ndarray, b: np.ndarray, counts: np.ndarray, *more: np.ndarray) -
     return [a[starts], b[starts], added, *(m[order][starts] for m in more)]
 
 
-def multiply(hashes: np.ndarray, marks: np.ndarray, sets: np.ndarray, smaller: np.ndarray, threshold: float) -> Iterator[list[np.ndarray]]:
+def multiply(hashes: np.ndarray, marks: np.ndarray, sets: np.ndarray, smaller: np.ndarray, threshold: float, cells: np.ndarray | None = None) -> Iterator[list[np.ndarray]]:
     """Products of whole columns, entries sorted by (hash, mark, set): (a, b, overlap, size of a, size of b), copies once.
 
-    ``smaller`` says which entries count as the smaller set's.
+    ``smaller`` says which entries count as the smaller set's; pairs that share one of their ``cells`` are passed over.
     """
     keep = np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (marks[1:] != marks[:-1]) | (sets[1:] != sets[:-1])]) if len(hashes) else np.empty(0, bool)
     hashes, sets, sizes, sides, smaller = hashes[keep], sets[keep], marks[keep] >> 2, marks[keep] & 3, smaller[keep].astype(bool)
+    cells = cells[keep] if cells is not None and cells.any() else None
     held: list[np.ndarray] = []
     count, apart = 0, 1
 
@@ -194,6 +241,8 @@ def multiply(hashes: np.ndarray, marks: np.ndarray, sets: np.ndarray, smaller: n
         if not len(left):
             break
         meet = left[smaller[left] & ((sides[left] == 0) | (sides[left] != sides[left + apart]))]
+        if cells is not None:
+            meet = meet[_apart(cells[meet], cells[meet + apart])]
         held.append(np.stack([meet, meet + apart]))
         count += len(meet)
         if count >= PAIRS_AT_ONCE:
@@ -237,7 +286,7 @@ def _product(threshold: float, buckets: int):  # noqa: ANN202
     """(bucket, pairs): partial sums of a block of columns, by buckets of their left rows."""
 
     def out(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        for found in multiply(*columns, threshold):
+        for found in multiply(*columns[:4], threshold, columns[4]):
             bucket = (mixed(found[0].view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             starts = np.searchsorted(bucket[order], np.arange(buckets + 1))
@@ -246,10 +295,10 @@ def _product(threshold: float, buckets: int):  # noqa: ANN202
             yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(packed, pa.binary())], names=["bucket", "pairs"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = [[np.empty(0, np.int64)] * 4]
+        held: list[list[np.ndarray]] = [[np.empty(0, np.int64)] * 5]
         for batch in batches:
-            hashes, marks, sets = (c.to_numpy() for c in batch.columns)
-            held.append([hashes >> 1, marks, sets, hashes & 1])
+            hashes, marks, sets, cells = (c.to_numpy() for c in batch.columns)
+            held.append([hashes >> 1, marks, sets, hashes & 1, cells])
             if sum(len(h[0]) for h in held) < ENTRIES_AT_ONCE:
                 continue
             whole = [np.concatenate(c) for c in zip(*held)]
@@ -290,24 +339,118 @@ def _classes(n: int):  # noqa: ANN202
                 first, second = _names(keys, starts, sizes, frozenset())
                 at = pa.array(owners)
                 columns = [batch.column(1).take(at), batch.column(2).take(at), pa.array(first), pa.array(second), pa.array(sizes)]
-                yield pa.RecordBatch.from_arrays(columns, names=["row", "id", "set", "other", "size"])
+                columns += [pa.array(x.view(np.int64)) for x in _leasts(keys, starts)]
+                yield pa.RecordBatch.from_arrays(columns, names=["row", "id", "set", "other", "size", *(f"least{r}" for r in range(ROUNDS))])
 
     return run
 
 
-def _sets(n: int):  # noqa: ANN202
-    """(to_task, set, grams) of rows (text, set, tasks): the set's n-grams once for each task that needs them."""
+def _sets(n: int, *more: str):  # noqa: ANN202
+    """(to_task, set, more, grams) of rows (text, tasks, set, more): the set's n-grams once for each task that needs them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for texts, keys in gram_sets(batch.column(0), n):
                 owners, starts, sizes, _ = _rows_of(texts)
                 at = pa.array(owners)
-                tasks = batch.column(2).take(at)
-                count = tasks.value_lengths().to_numpy()
-                grams = pa.array([keys[a : a + m].tobytes() for a, m in zip(starts, sizes)], pa.binary())
-                again = pa.array(np.repeat(np.arange(len(owners)), count))
-                yield pa.RecordBatch.from_arrays([tasks.flatten(), batch.column(1).take(at).take(again), grams.take(again)], names=["to_task", "set", "grams"])
+                tasks = batch.column(1).take(at)
+                again = np.repeat(np.arange(len(owners)), tasks.value_lengths().to_numpy())
+                for k in range(0, max(1, len(again)), SETS_AT_ONCE):
+                    own = pa.array(again[k : k + SETS_AT_ONCE])
+                    grams = pa.array([keys[starts[i] : starts[i] + sizes[i]].tobytes() for i in own.to_numpy()], pa.binary())
+                    others = [batch.column(2 + c).take(at).take(own) for c in range(1 + len(more))]
+                    yield pa.RecordBatch.from_arrays([tasks.flatten().slice(k, len(own)), *others, grams], names=["to_task", "set", *more, "grams"])
+
+    return run
+
+
+def _held(rows: np.ndarray, columns: np.ndarray, height: int, first: int, last: int) -> np.ndarray:
+    """The columns from ``first`` to ``last`` of a sparse 0-1 matrix, written out."""
+    out = np.zeros((height, last - first), np.float32)
+    fits = (columns >= first) & (columns < last)
+    out[rows[fits], columns[fits] - first] = 1
+    return out
+
+
+def overlaps_of(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many n-grams each set on the left shares with each on the right."""
+    out = np.zeros((len(left), len(right)), np.int64)
+    rows, others = (np.repeat(np.arange(len(x)), [*map(len, x)]) for x in (left, right))
+    keys, columns = np.unique(np.concatenate([*left, *right]), return_inverse=True)
+    mine, theirs = columns[: len(rows)], columns[len(rows) :]
+    held, met = np.bincount(mine, minlength=len(keys)), np.bincount(theirs, minlength=len(keys))
+    # Columns that few sets share are multiplied entry by entry, the others as dense slices.
+    dense = held * met > len(left) * len(right) // 200 + 1
+    place = np.cumsum(dense) - 1
+    on, at = dense[mine], dense[theirs]
+    for k in range(0, int(dense.sum()), SLICE):
+        last = min(k + SLICE, int(dense.sum()))
+        out += (_held(rows[on], place[mine[on]], len(left), k, last) @ _held(others[at], place[theirs[at]], len(right), k, last).T).astype(np.int64)
+    order = np.argsort(theirs, kind="stable")
+    starts = np.concatenate([[0], np.cumsum(met)])
+    light = np.flatnonzero(~on & (met[mine] > 0))
+    count = met[mine[light]]
+    flat = out.reshape(-1)
+    ends = np.cumsum(count)
+    first = 0
+    while first < len(light):
+        done = ends[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, done + PAIRS_AT_ONCE, side="right")))
+        part, n = light[first:last], count[first:last]
+        with_ = order[np.repeat(starts[mine[part]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+        flat += np.bincount(np.repeat(rows[part], n) * len(right) + others[with_], minlength=len(flat)) if len(with_) * 4 > len(flat) else 0
+        if len(with_) * 4 <= len(flat):
+            np.add.at(flat, np.repeat(rows[part], n) * len(right) + others[with_], 1)
+        first = last
+    return out
+
+
+def _joined(linked: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """For each row and column of a matrix of links, the number of the group it is connected to (``same``: rows are the columns)."""
+    rows, columns = np.full(linked.shape[0], -1), np.full(linked.shape[1], -1)
+    for group, start in enumerate(np.flatnonzero(linked.any(axis=1))):
+        if rows[start] >= 0:
+            continue
+        new = np.array([start])
+        while len(new):
+            rows[new] = group
+            reached = np.flatnonzero(linked[new].any(axis=0) & (columns < 0))
+            columns[reached] = group
+            found = linked[:, reached].any(axis=1)
+            if same:
+                found[reached] = True
+            new = np.flatnonzero(found & (rows < 0))
+    return rows, columns
+
+
+def _cell_links(threshold: float):  # noqa: ANN202
+    """(set, links, near) from the sets of two blocks of a cell, or of one: the documents that each is linked with there, and a set that it is connected to."""
+
+    def run(key: tuple, sets: pd.DataFrame) -> pd.DataFrame:
+        sets = sets.sort_values("set", ignore_index=True)
+        rounds = int(sets["to_task"].iloc[0] >> 1) % 4
+        side = sets["to_task"].to_numpy() & 1
+        sides = [np.flatnonzero(side == k) for k in (0, 1)]
+        same = not len(sides[1])
+        if same:
+            sides[1] = sides[0]
+        names, held, cells = (sets[c].to_numpy() for c in ("set", "held", "cells"))
+        grams = [np.frombuffer(g, np.uint64) for g in sets["grams"]]
+        sizes = np.array([*map(len, grams)])
+        left, right = sides
+        linked = np.zeros((len(left), len(right)), bool)
+        for k in range(0, len(left), ROWS_AT_ONCE):
+            some = left[k : k + ROWS_AT_ONCE]
+            overlap = overlaps_of([grams[i] for i in some], [grams[i] for i in right])
+            fits = overlap >= threshold * (sizes[some][:, None] + sizes[right][None] - overlap) - 1e-9
+            linked[k : k + len(some)] = fits & _apart(cells[some][:, None], cells[right][None], rounds)
+        if same:
+            np.fill_diagonal(linked, False)
+        groups = _joined(linked, same)
+        ends = [(names[left], linked @ held[right], groups[0])] + ([] if same else [(names[right], held[left] @ linked, groups[1])])
+        out = pd.DataFrame({c: np.concatenate(x) for c, x in zip(("set", "links", "near"), zip(*ends))})
+        out = out[out["near"] >= 0]
+        return out.assign(near=out.groupby("near")["set"].transform("min"))
 
     return run
 
@@ -354,28 +497,79 @@ def _with(df: DataFrame, keys: DataFrame, on: str, count: int) -> DataFrame:
     return df.join(F.broadcast(keys) if count <= BROADCAST_ROWS else keys.hint("merge"), on)
 
 
-def similar_sets(rows: DataFrame, threshold: float = THRESHOLD, n: int = N) -> tuple[DataFrame, DataFrame, DataFrame, int]:
-    """Of rows (row, id, text): their classes (row, id, set, size), pairs (a, b, size_a, size_b, overlap) of sets, and (set) those that may have a pair, with their number."""
+def _large_cells(members: DataFrame) -> list[np.ndarray]:
+    """Of each round, the sorted hashes of the cells of ``CELL_LEAST`` sets or more, the largest where there are more than ``MAX_CELLS``."""
+    sights = members.select(F.posexplode(F.array(*(f"least{r}" for r in range(ROUNDS)))).alias("round", "least"))
+    large = sights.groupBy("round", "least").agg(F.count("*").alias("sets")).where(F.col("sets") >= CELL_LEAST).orderBy(F.desc("sets"), "round", "least").limit(MAX_CELLS).collect()
+    return [np.sort(np.array([x["least"] for x in large if x["round"] == r], np.int64).view(np.uint64)) for r in range(ROUNDS)]
+
+
+def _within_cells(rows: DataFrame, members: DataFrame, large: list[np.ndarray], threshold: float, n: int) -> DataFrame:
+    """(set, links, near) of the pairs that share one of the ``large`` cells; rows of a set are to be added up."""
+    spark = rows.sparkSession
+    held = members
+    for r, own in enumerate(large):
+        known = spark.createDataFrame([(int(x), k + 1) for k, x in enumerate(own.view(np.int64))], f"least{r} long, cell{r} long")
+        held = held.join(F.broadcast(known), f"least{r}", "left")
+    cell = [F.coalesce(F.col(f"cell{r}"), F.lit(0)) for r in range(ROUNDS)]
+    packed = sum((F.shiftleft(c, CELL_BITS * r) for r, c in enumerate(cell)), F.lit(0).cast("long"))
+    held = checkpoint(held.select("set", "row", "held", "size", packed.alias("cells")).where("cells > 0"))
+    at = lambda c, r: F.shiftright(c, CELL_BITS * r).bitwiseAND(F.lit((1 << CELL_BITS) - 1))
+    entries = held.withColumn("round", F.explode(F.array(*map(F.lit, range(ROUNDS)))))
+    # Sets of one earlier cell lie side by side, so that most blocks of them needn't meet again.
+    earlier = [F.when(F.col("round") > r, at(F.col("cells"), r)).otherwise(0).alias(f"before{r}") for r in range(ROUNDS - 1)]
+    entries = entries.select("*", F.expr(" ".join(["CASE round", *(f"WHEN {r} THEN shiftright(cells, {CELL_BITS * r}) & {(1 << CELL_BITS) - 1}" for r in range(ROUNDS)), "END"])).alias("cell"), *earlier).where("cell > 0")
+    own = Window.partitionBy("round", "cell").orderBy(*(f"before{r}" for r in range(ROUNDS - 1)), "size", "set").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    weight = F.col("size") + -(-CELL_GRAMS // CELL_SETS)
+    entries = checkpoint(entries.withColumn("block", F.floor(F.sum(weight).over(own) / CELL_GRAMS)))
+    ends = [f(c).alias(f"{name}_{c}") for c in ("size", *(f"before{r}" for r in range(ROUNDS - 1))) for name, f in (("low", F.min), ("high", F.max))]
+    blocks = checkpoint(entries.groupBy("round", "cell", "block").agg(F.count("*").alias("sets"), *ends))
+    x, y = blocks.alias("x"), blocks.alias("y")
+    apart = F.col("x.block") <= F.col("y.block")
+    for r in range(ROUNDS - 1):
+        c = f"before{r}"
+        alike = (F.col(f"x.low_{c}") == F.col(f"x.high_{c}")) & (F.col(f"y.low_{c}") == F.col(f"y.high_{c}")) & (F.col(f"x.low_{c}") == F.col(f"y.low_{c}")) & (F.col(f"x.low_{c}") > 0)
+        apart &= ~alike
+    fits = (F.col("x.high_size") >= threshold * F.col("y.low_size") - 1e-9) & (F.col("y.high_size") >= threshold * F.col("x.low_size") - 1e-9)
+    met = x.join(y, (F.col("x.round") == F.col("y.round")) & (F.col("x.cell") == F.col("y.cell")) & apart & fits)
+    met = met.where("x.block < y.block OR x.sets > 1").select("x.round", "x.cell", F.col("x.block").alias("i"), F.col("y.block").alias("j"))
+    met = checkpoint(met.withColumn("task", F.monotonically_increasing_id() * 8 + F.col("round") * 2))
+    needed = met.select("round", "cell", F.col("i").alias("block"), "task").unionAll(met.where("i < j").select("round", "cell", "j", F.col("task") + 1))
+    placed = entries.join(needed, ["round", "cell", "block"]).groupBy("set").agg(F.min("row").alias("row"), F.first("held").alias("held"), F.first("cells").alias("cells"), F.collect_list("task").alias("tasks"))
+    shipped = rows.select("text", "row").join(placed, "row").select("text", "tasks", "set", "held", "cells").mapInArrow(_sets(n, "held", "cells"), "to_task long, set long, held long, cells long, grams binary")
+    return checkpoint(shipped.groupBy(F.shiftright("to_task", 1).alias("task")).applyInPandas(_cell_links(threshold), "set long, links long, near long"))
+
+
+def similar_sets(rows: DataFrame, threshold: float = THRESHOLD, n: int = N) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Of rows (row, id, text): their classes (row, id, set), the sets (set, row, held, size), the links (set, links) with documents of other sets, and pairs (a, b) that connect what is linked."""
     spark = rows.sparkSession
     parts = shuffle_partitions(spark)
     rows = rows.where(F.col("text").isNotNull())
     texts = rows.select("text")
     kinds = [rows.schema[c].dataType.simpleString() for c in ("row", "id")]
-    signed = rows.select("text", "row", "id").mapInArrow(_classes(n), f"row {kinds[0]}, id {kinds[1]}, set long, other long, size long")
+    leasts = [f"least{r}" for r in range(ROUNDS)]
+    signed = rows.select("text", "row", "id").mapInArrow(_classes(n), f"row {kinds[0]}, id {kinds[1]}, set long, other long, size long, {', '.join(f'{c} long' for c in leasts)}")
     classes = checkpoint(signed)
     clash = classes.groupBy("set").agg(F.min("other").alias("low"), F.max("other").alias("high")).where("low <> high")
     shared = frozenset(r["set"] for r in clash.toLocalIterator())
     name = F.when(F.col("set").isin(*shared), F.col("other")).otherwise(F.col("set")) if shared else F.col("set")
-    classes = classes.select("row", "id", name.alias("set"), "size")
+    classes = classes.select("row", "id", name.alias("set"), "size", *leasts)
+    members = checkpoint(classes.groupBy("set").agg(F.min("row").alias("row"), F.count("*").alias("held"), F.min("size").alias("size"), *(F.min(c).alias(c) for c in leasts)))
+    large = _large_cells(members)
+    dense = _within_cells(rows, members, large, threshold, n) if any(map(len, large)) else None
 
     counts = texts.mapInArrow(_counted(threshold, n), "hash int, count int").groupBy("hash").agg(F.sum("count").alias("count")).where(F.col("count") > FREQUENT)
-    frequent = spark.sparkContext.broadcast(_frequent(checkpoint(counts), MAX_FREQUENT))
+    counts = checkpoint(counts)
+    drop_unused(spark)
+    frequent = spark.sparkContext.broadcast((*_frequent(counts, MAX_FREQUENT), large))
     # Fewer, larger blocks of columns than shuffle partitions: a pair meets in fewer of them and has fewer partial sums.
     columns = max(1, parts // 2)
-    entries = texts.mapInArrow(_entries(threshold, n, frequent, shared, columns), "part int, hashes array<long>, mark long, set long")
-    blocks = entries.repartitionById(columns, "part").select(F.explode("hashes").alias("hash"), "mark", "set").sortWithinPartitions(F.shiftright("hash", 1), "mark", "set")
+    entries = texts.mapInArrow(_entries(threshold, n, frequent, shared, columns), "part int, hashes array<long>, mark long, set long, cells long")
+    blocks = entries.repartitionById(columns, "part").select(F.explode("hashes").alias("hash"), "mark", "set", "cells").sortWithinPartitions(F.shiftright("hash", 1), "mark", "set")
     sums = blocks.mapInArrow(_product(threshold, parts), "bucket int, pairs binary").repartition(parts, "bucket")
     pairs = checkpoint(sums.mapInArrow(_candidates(threshold), "a long, b long, size_a long, size_b long"))
+    del entries, blocks, sums
+    drop_unused(spark)
 
     # Each pair goes where the least set lies that its left one is paired with; a clique of copies meets in one place.
     ends = pairs.select("a", "b", F.col("size_a").alias("size")).unionAll(pairs.select("b", "a", "size_b"))
@@ -387,11 +581,18 @@ def similar_sets(rows: DataFrame, threshold: float = THRESHOLD, n: int = N) -> t
     task = F.pmod(F.xxhash64("home", F.pmod(F.xxhash64("a"), F.col("parts"))), F.lit(tasks))
     placed = checkpoint(_with(pairs, homes.drop("size"), "a", count).select(task.alias("task"), "a", "b", "size_a", "size_b"))
     wanted = placed.select("task", F.col("a").alias("set")).unionAll(placed.select("task", "b")).groupBy("set").agg(F.collect_set("task").alias("tasks"))
-    chosen = classes.groupBy("set").agg(F.min("row").alias("row")).join(wanted, "set")
-    shipped = _with(rows.select("text", "row"), chosen, "row", count).select("text", "set", "tasks").mapInArrow(_sets(n), "to_task long, set long, grams binary")
+    chosen = members.select("set", "row").join(wanted, "set")
+    shipped = _with(rows.select("text", "row"), chosen, "row", count).select("text", "tasks", "set").mapInArrow(_sets(n), "to_task long, set long, grams binary")
     counted = placed.groupBy("task").cogroup(shipped.groupBy("to_task")).applyInPandas(_overlaps, "a long, b long, size_a long, size_b long, overlap long")
-    found = checkpoint(counted.where(F.col("overlap") >= threshold * (F.col("size_a") + F.col("size_b") - F.col("overlap")) - 1e-9))
-    return classes, found, homes.select(F.col("a").alias("set")), count
+    found = checkpoint(counted.where(F.col("overlap") >= threshold * (F.col("size_a") + F.col("size_b") - F.col("overlap")) - 1e-9).select("a", "b"))
+
+    sizes = _with(members.select("set", "held"), homes.select(F.col("a").alias("set")), "set", count)
+    edges = found.unionAll(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    links = _with(edges, sizes.select(F.col("set").alias("b"), "held"), "b", count).select(F.col("a").alias("set"), F.col("held").alias("links"))
+    if dense is not None:
+        links = links.unionAll(dense.select("set", "links"))
+        found = found.unionAll(dense.where("set <> near").select("set", "near"))
+    return classes.select("row", "id", "set"), members.select("set", "held"), links.groupBy("set").agg(F.sum("links").alias("links")), found
 
 
 def _first() -> Column:
@@ -399,48 +600,6 @@ def _first() -> Column:
     return F.min(F.struct(F.col("id").isNull().alias("last"), "id", "row"))
 
 
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, n: int = N) -> DataFrame:
-    """Rows (doc_id, other_doc_id, overlap, jaccard, same_set, n_docs, n_other_docs): all pairs of at least ``threshold``, without squares of copies.
-
-    Documents with equal sets of n-grams are alike to everything. The first of them by id stands for all: each other one has one
-    row with it (``same_set``, jaccard 1), and two such sets that are similar have one row of their first documents, with the
-    number of documents that either stands for. ``all_pairs`` writes the same join out in full, one row for each pair of documents.
-
-    Defined cases: null texts and texts without words are in no row; a text of fewer than n words is one n-gram;
-    repeated rows are documents of the same set, so an id may be paired with itself; null ids stay null and come last;
-    texts of any length count whole; an empty table gives no rows; other columns are ignored.
-    """
-    rows = with_row_id(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), "row")
-    classes, pairs, paired, count = similar_sets(rows, threshold, n)
-    members = classes.groupBy("set").agg(_first().alias("first"), F.count("*").alias("held"))
-    copies = classes.join(members.where("held > 1"), "set").where("row <> first.row")
-    one = F.lit(1).cast("long")
-    itself = copies.select(F.col("first.id").alias("doc_id"), F.col("id").alias("other_doc_id"), F.col("size").alias("overlap"), F.lit(1.0).alias("jaccard"), F.lit(True).alias("same_set"), one.alias("n_docs"), one.alias("n_other_docs"))
-    ends = _with(members, paired, "set", count)
-    both = _with(pairs, ends.select(F.col("set").alias("a"), F.col("first").alias("x"), F.col("held").alias("m")), "a", count)
-    both = _with(both, ends.select(F.col("set").alias("b"), F.col("first").alias("y"), F.col("held").alias("n")), "b", count)
-    swap = F.col("y") < F.col("x")
-    either = lambda p, q: F.when(swap, F.col(q)).otherwise(F.col(p))
-    jaccard = F.col("overlap") / (F.col("size_a") + F.col("size_b") - F.col("overlap"))
-    return both.select(
-        either("x.id", "y.id").alias("doc_id"), either("y.id", "x.id").alias("other_doc_id"), "overlap", jaccard.alias("jaccard"), F.lit(False).alias("same_set"), either("m", "n").alias("n_docs"), either("n", "m").alias("n_other_docs")
-    ).unionByName(itself)
-
-
-def all_pairs(found: DataFrame) -> DataFrame:
-    """(doc_id, other_doc_id, jaccard) of every pair of different documents, the lower id first, from rows of ``similar_documents``.
-
-    Ids must be unique and not null, as they tell the documents apart here.
-    """
-    copies = found.where("same_set").select(F.col("doc_id").alias("head"), F.col("other_doc_id").alias("member"))
-    heads = found.select(F.col("doc_id").alias("head")).unionAll(found.where("not same_set").select("other_doc_id")).distinct()
-    members = copies.unionAll(heads.select("head", "head"))
-    own, other = members.select(F.col("head").alias("doc_id"), F.col("member").alias("x")), members.select(F.col("head").alias("other_doc_id"), F.col("member").alias("y"))
-    across = found.where("not same_set").join(own, "doc_id").join(other, "other_doc_id").select("x", "y", "jaccard")
-    within = own.join(other, F.col("doc_id") == F.col("other_doc_id")).where("x < y").select("x", "y", F.lit(1.0).alias("jaccard"))
-    return across.unionAll(within).select(F.least("x", "y").alias("doc_id"), F.greatest("x", "y").alias("other_doc_id"), "jaccard")
-
-
 def _labels(pairs: DataFrame) -> DataFrame:
     """(set, label): the least set that each set in ``pairs`` is connected with, by hash-to-min rounds."""
     edges = checkpoint(pairs.select("a", "b").unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))))
@@ -456,6 +615,27 @@ def _labels(pairs: DataFrame) -> DataFrame:
             return labels.withColumnRenamed("a", "set")
 
 
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, n: int = N) -> DataFrame:
+    """Rows (doc_id, class_id, n_links), one for each document: how many other documents are alike to at least ``threshold``, and its class.
+
+    Every link counts, those between documents of equal sets of n-grams as well. A class is what links connect, and its id that
+    of its first document by id, then by row.
+
+    Defined cases: null texts and texts without words have no links and are classes by themselves; a text of fewer than n words
+    is one n-gram; repeated rows are documents that are linked; null ids stay null and come last; texts of any length
+    count whole; an empty table gives no rows; other columns are ignored.
+    """
+    rows = with_row_id(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), "row")
+    classes, members, links, pairs = similar_sets(rows, threshold, n)
+    firsts = classes.groupBy("set").agg(_first().alias("first"))
+    sets = members.join(firsts, "set").join(_labels(pairs), "set", "left").join(links, "set", "left").withColumn("label", F.coalesce("label", "set"))
+    heads = sets.groupBy("label").agg(F.min("first").alias("head"))
+    sets = sets.join(heads, "label").select("set", F.col("head.id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("held") - 1).alias("n_links"))
+    alike = classes.join(sets, "set").select(F.col("id").alias("doc_id"), "class_id", "n_links")
+    alone = rows.select("row", "id").join(classes.select("row"), "row", "left_anti").select(F.col("id").alias("doc_id"), F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    return alike.unionAll(alone)
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, n: int = N) -> DataFrame:
     """``docs`` with one document of each group: the first by id (nulls last), then by row; columns stay.
 
@@ -464,7 +644,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
     """
     row = fresh(docs, "row")
     numbered = with_row_id(docs, row)
-    classes, pairs, _, _ = similar_sets(numbered.select(F.col(row).alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), threshold, n)
+    classes, _, _, pairs = similar_sets(numbered.select(F.col(row).alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), threshold, n)
     grouped = classes.join(_labels(pairs), "set", "left").withColumn("label", F.coalesce("label", "set"))
     firsts = grouped.groupBy("label").agg(_first().alias("first"), F.count("*").alias("held")).where("held > 1")
     dropped = grouped.join(firsts, "label").where("row <> first.row").select(F.col("row").alias(row))

@@ -116,8 +116,7 @@ def test_substrings(docs, empty):
 
 def test_near(docs, empty):
     out = ngram_join.similar_documents(docs).collect()
-    assert sorted((r["doc_id"], r["other_doc_id"]) for r in out if r["same_set"]) == [(1, 2), (1, 2)]
-    assert sorted(((r["doc_id"], r["other_doc_id"]) for r in out if not r["same_set"]), key=str) == [(1, 6), (8, None)]
+    assert sorted(((r["doc_id"], r["class_id"], r["n_links"]) for r in out), key=str) == sorted([(1, 1, 3), (2, 1, 3), (2, 1, 3), (6, 1, 3), (8, 8, 1), (None, 8, 1), (None, None, 0), (4, 4, 0), (5, 5, 0), (7, 7, 0)], key=str)
     assert ngram_join.similar_documents(empty).count() == 0
     kept = ngram_join.keep_one(docs)
     assert kept.columns == docs.columns and kept.where("text IS NULL OR trim(text) = ''").count() == 2

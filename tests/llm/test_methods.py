@@ -470,10 +470,27 @@ def brute_pairs(texts, threshold):
     return {(i, j) for i, j in combinations(sorted(sets), 2) if len(sets[i] & sets[j]) >= threshold * len(sets[i] | sets[j]) - 1e-9}
 
 
-def as_pairs(found):
-    rows = [(r["doc_id"], r["other_doc_id"]) for r in ngram_join.all_pairs(found).collect()]
-    assert len(set(rows)) == len(rows)
-    return set(rows)
+def brute_links(ids, pairs):
+    """(class, links) of each id."""
+    label, links = {i: i for i in ids}, dict.fromkeys(ids, 0)
+
+    def find(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for i, j in pairs:
+        links[i] += 1
+        links[j] += 1
+        a, b = sorted((find(i), find(j)))
+        label[b] = a
+    return {i: (find(i), links[i]) for i in ids}
+
+
+def as_links(found):
+    rows = [(r["doc_id"], (r["class_id"], r["n_links"])) for r in found.collect()]
+    assert len(dict(rows)) == len(rows)
+    return dict(rows)
 
 
 def test_pairs_by_brute_force(spark, monkeypatch):
@@ -486,17 +503,48 @@ def test_pairs_by_brute_force(spark, monkeypatch):
             own[random.randrange(len(own))] = random.choice(("A0", "b1", "néw", "x"))
         texts[i] = random.choice((" ", "\n", " ", "  ")).join(own)
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    for frequent, block, grams in ((64, 4096, 1_500_000), (3, 4, 60)):
+    for frequent, block, grams, least, sets in ((64, 4096, 1_500_000, 1 << 40, 2000), (3, 4, 60, 1 << 40, 2000), (64, 4096, 1_500_000, 64, 2000), (3, 4, 60, 2, 3)):
         monkeypatch.setattr(ngram_join, "FREQUENT", frequent)
         monkeypatch.setattr(ngram_join, "BLOCK", block)
         monkeypatch.setattr(ngram_join, "GRAMS_AT_ONCE", grams)
+        monkeypatch.setattr(ngram_join, "CELL_LEAST", least)
+        monkeypatch.setattr(ngram_join, "CELL_SETS", sets)
         for threshold in (0.6, 0.8):
-            assert as_pairs(ngram_join.similar_documents(docs, threshold=threshold)) == brute_pairs(texts, threshold)
+            assert as_links(ngram_join.similar_documents(docs, threshold=threshold)) == brute_links(texts, brute_pairs(texts, threshold))
 
 
 def test_the_query_finds_all_pairs(spark):
     docs = {r["doc_id"]: r["text"] for r in table(spark, LARGER, "documents").collect()}
-    assert as_pairs(queries.op8_ngram_join(spark, LARGER)) == brute_pairs(docs, ngram_join.THRESHOLD)
+    assert as_links(queries.op8_ngram_join(spark, LARGER)) == brute_links(docs, brute_pairs(docs, ngram_join.THRESHOLD))
+
+
+def test_texts_of_one_set_are_all_linked(spark):
+    """Different texts with the same n-grams are linked with each other, not with the first alone."""
+    texts = {1: "a b c d e", 2: "A  b c d e", 3: "a B c\nd e", 4: "a b c d e", 5: "a b c d e f", 6: "x y z", 7: None, 8: " "}
+    found = ngram_join.similar_documents(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    assert as_links(found) == {**{i: (1, 4) for i in (1, 2, 3, 4, 5)}, **{i: (i, 0) for i in (6, 7, 8)}}
+
+
+def test_rows_of_near_copies_grow_with_the_documents(spark):
+    """Near copies that are all alike: a row for each of them, and no pairs of those that share a cell."""
+    base = [f"w{k}" for k in range(60)]
+    texts = {i: " ".join([*base[: i % 50 + 3], f"new{i}", *base[i % 50 + 3 :]]) for i in range(300)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert as_links(ngram_join.similar_documents(docs)) == {i: (0, 299) for i in texts}
+    numbered = with_row_id(docs.select(F.col("doc_id").alias("id"), "text"), "row")
+    assert ngram_join.similar_sets(numbered)[3].count() < 300 * 299 / 2 / 5
+
+
+def test_links_of_a_block():
+    random.seed(6)
+    for _ in range(30):
+        height, width = random.randint(1, 12), random.randint(1, 12)
+        linked = np.array([[random.random() < 0.12 for _ in range(width)] for _ in range(height)])
+        rows, columns = ngram_join._joined(linked, False)
+        assert ((rows >= 0) == linked.any(axis=1)).all() and ((columns >= 0) == linked.any(axis=0)).all()
+        want = brute_links(range(height + width), [(i, height + j) for i, j in np.argwhere(linked)])
+        both = [*rows, *columns]
+        assert all((both[i] == both[j]) == (want[i][0] == want[j][0]) for i, j in combinations([k for k in range(height + width) if both[k] >= 0], 2))
 
 
 def test_sets_that_share_a_hash_stay_apart(spark, monkeypatch):
@@ -507,7 +555,7 @@ def test_sets_that_share_a_hash_stay_apart(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "identity", lambda keys: (whole(keys)[0] % 3, whole(keys)[1]))
     names = [(whole(ngram_join.gram_set(t)), ngram_join._names(k := ngram_join.gram_set(t), np.array([0]), np.array([len(k)]), frozenset({0, 1, 2}))[0][0]) for _, t in texts]
     assert len(set(names)) == len({w for w, _ in names}) == len({n for _, n in names})
-    assert as_pairs(ngram_join.similar_documents(docs)) == want
+    assert as_links(ngram_join.similar_documents(docs)) == brute_links(dict(texts), want)
 
 
 def test_blocks_of_a_column_meet_once():
