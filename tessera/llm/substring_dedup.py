@@ -197,17 +197,25 @@ def parse(own: Chains, others: dict[int, Chains], min_words: int) -> list[tuple[
 
 
 def _parsed(min_words: int):  # noqa: ANN202
-    def columns(rows: list[dict]) -> Chains:
-        return tuple(np.array([r[c] for r in rows], np.int64) for c in ("start", "seeds", "ref", "ref_start"))
+    def columns(chains: pa.StructArray) -> Chains:
+        return tuple(chains.field(c).to_numpy() for c in ("start", "seeds", "ref", "ref_start"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows: list[tuple] = []
-            for doc, own, others in zip(*(c.to_pylist() for c in batch.columns)):
-                known = {o["ref"]: columns(o["chains"]) for o in others or () if o["chains"]}
-                rows += [(doc, *f) for f in parse(columns(own), known, min_words)]
-            out = np.array(rows, np.int64).reshape(-1, 5).T
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=["doc", "start", "end", "ref", "ref_start"])
+        for whole in batches:
+            # Chains stay in Arrow's memory and are read in place; as Python objects they would take ten times as much.
+            batch = pa.RecordBatch.from_arrays([pa.concat_arrays([c]) for c in whole.columns], names=whole.schema.names)
+            docs, mine, theirs = batch.columns
+            own, bounds = columns(mine.values), mine.offsets.to_numpy()
+            refs, chains = theirs.values.field("ref").to_numpy(), theirs.values.field("chains")
+            others, starts, inner = columns(chains.values), theirs.offsets.to_numpy(), chains.offsets.to_numpy()
+            out = []
+            for k, doc in enumerate(docs.to_numpy()):
+                known = {int(refs[i]): tuple(c[inner[i] : inner[i + 1]] for c in others) for i in range(starts[k], starts[k + 1]) if inner[i] < inner[i + 1]}
+                found = parse(tuple(c[bounds[k] : bounds[k + 1]] for c in own), known, min_words)
+                if found:
+                    out.append(np.column_stack([np.full(len(found), doc), np.array(found, np.int64)]))
+            columns_of = np.concatenate(out).T if out else np.empty((5, 0), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns_of], names=["doc", "start", "end", "ref", "ref_start"])
 
     return run
 

@@ -6,10 +6,12 @@ import math
 import random
 import re
 import time
+import tracemalloc
 from itertools import combinations, product
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import regex
 from pyspark.sql import functions as F
@@ -439,6 +441,22 @@ def brute_parse(words, least):
     return want
 
 
+def test_chains_are_parsed_where_they_lie():
+    """What a worker holds besides a batch of chains is a small part of it, however many sources its documents have."""
+    chain = pa.struct([(c, pa.int64()) for c in ("start", "seeds", "ref", "ref_start")])
+    kind = {"doc": pa.int64(), "chains": pa.list_(chain), "others": pa.list_(pa.struct([("ref", pa.int64()), ("chains", pa.list_(chain))]))}
+    source = [{"start": 60 * i, "seeds": 5, "ref": 10_000 + i, "ref_start": i} for i in range(2_000)]
+    rows = [{"doc": 100 + d, "chains": [{"start": 0, "seeds": 11, "ref": d, "ref_start": 7}], "others": [{"ref": j, "chains": source} for j in range(10)] if d % 7 else None} for d in range(20)]
+    batch = pa.RecordBatch.from_pylist(rows, schema=pa.schema(kind))
+    del rows
+    tracemalloc.start()
+    found = [r for b in substring_dedup._parsed(50)(iter([batch.slice(0, 5), batch.slice(5)])) for r in b.to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == [{"doc": 100 + d, "start": 0, "end": 60, "ref": d, "ref_start": 7} for d in range(20)]
+    assert peak < batch.nbytes / 4
+
+
 def test_the_longest_match_wins(spark):
     p = [f"w{i}" for i in range(200)]
     docs = spark.createDataFrame([(1, " ".join(p[:60])), (2, " ".join(p)), (3, " ".join(p)), (0, "x " + " ".join(p[100:140] + ["y"] + p))], "doc_id long, text string")
