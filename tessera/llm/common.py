@@ -48,6 +48,7 @@ def checkpoint(df: DataFrame) -> DataFrame:
 def drop_unused(spark: SparkSession) -> None:
     """Let go of the shuffle files of frames that nothing holds any more, which otherwise stay until the driver happens to collect its garbage."""
     gc.collect()
+    spark.range(1).count()  # the context still holds the last job
     spark.sparkContext._jvm.System.gc()
 
 

@@ -13,8 +13,8 @@ least t (a + b) / (1 + t), which bounds everything that follows:
 3. A pair whose overlap so far and the rest of either row together stay below its bound is discarded. The
    others are counted in full from their whole sets, and those that reach t stay.
 
-Large groups of near copies are all pairs by nature, so they go another way. The least of a set's n-grams by each of ``ROUNDS`` hashes
-names a cell; two sets of similarity s share the cell of a round with chance s. Cells of ``CELL_LEAST`` sets and more are cut into blocks, and
+Large groups of near copies are all pairs by nature, so they go another way. In each of ``ROUNDS`` rounds the least of a set's n-grams by
+two hashes name a cell; two sets of similarity s share it with chance s * s. Cells of ``CELL_LEAST`` sets and more are cut into blocks, and
 one task counts the pairs of two blocks from their whole sets, as matrices; it returns the links of each set and what joins
 them, no pairs. The product above passes over pairs that share such a cell, and a later round over those of the rounds before, so each
 pair is counted once, wherever it is met. Smaller cells, and any beyond ``MAX_CELLS``, are left to the product.
@@ -90,9 +90,10 @@ def _names(keys: np.ndarray, starts: np.ndarray, sizes: np.ndarray, shared: froz
 
 
 def _leasts(keys: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
-    """Of each round, the least hash of the n-grams of each set."""
-    seeds = mixed(np.arange(1, ROUNDS + 1, dtype=np.uint64))
-    return [np.minimum.reduceat(mixed(keys ^ seed), starts) if len(starts) else np.empty(0, np.uint64) for seed in seeds]
+    """Of each round, the least hashes of the n-grams of each set by two orders, as one."""
+    seeds = mixed(np.arange(1, 2 * ROUNDS + 1, dtype=np.uint64))
+    least = [np.minimum.reduceat(mixed(keys ^ seed), starts) if len(starts) else np.empty(0, np.uint64) for seed in seeds]
+    return [mixed(x + mixed(y)) for x, y in zip(least[::2], least[1::2])]
 
 
 def _cells(keys: np.ndarray, starts: np.ndarray, known: list[np.ndarray]) -> np.ndarray:
@@ -536,7 +537,7 @@ def _within_cells(rows: DataFrame, members: DataFrame, large: list[np.ndarray],
     met = checkpoint(met.withColumn("task", F.monotonically_increasing_id() * 8 + F.col("round") * 2))
     needed = met.select("round", "cell", F.col("i").alias("block"), "task").unionAll(met.where("i < j").select("round", "cell", "j", F.col("task") + 1))
     placed = entries.join(needed, ["round", "cell", "block"]).groupBy("set").agg(F.min("row").alias("row"), F.first("held").alias("held"), F.first("cells").alias("cells"), F.collect_list("task").alias("tasks"))
-    shipped = rows.select("text", "row").join(placed, "row").select("text", "tasks", "set", "held", "cells").mapInArrow(_sets(n, "held", "cells"), "to_task long, set long, held long, cells long, grams binary")
+    shipped = _with(rows.select("text", "row"), placed, "row", held.count()).select("text", "tasks", "set", "held", "cells").mapInArrow(_sets(n, "held", "cells"), "to_task long, set long, held long, cells long, grams binary")
     return checkpoint(shipped.groupBy(F.shiftright("to_task", 1).alias("task")).applyInPandas(_cell_links(threshold), "set long, links long, near long"))
 
 
@@ -560,8 +561,8 @@ def similar_sets(rows: DataFrame, threshold: float = THRESHOLD, n: int = N) -> t
 
     counts = texts.mapInArrow(_counted(threshold, n), "hash int, count int").groupBy("hash").agg(F.sum("count").alias("count")).where(F.col("count") > FREQUENT)
     counts = checkpoint(counts)
-    drop_unused(spark)
     frequent = spark.sparkContext.broadcast((*_frequent(counts, MAX_FREQUENT), large))
+    drop_unused(spark)
     # Fewer, larger blocks of columns than shuffle partitions: a pair meets in fewer of them and has fewer partial sums.
     columns = max(1, parts // 2)
     entries = texts.mapInArrow(_entries(threshold, n, frequent, shared, columns), "part int, hashes array<long>, mark long, set long, cells long")
