@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -45,9 +46,17 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Seconds that ``drop_unused`` waits at most for the JVM to hear of what Python has let go.
+TOLD_S = 10
+
+
 def drop_unused(spark: SparkSession) -> None:
     """Let go of the shuffle files of frames that nothing holds any more, which otherwise stay until the driver happens to collect its garbage."""
     gc.collect()
+    # A thread of Py4J tells the JVM one by one, and rests for a second where there was nothing to tell.
+    told, until = getattr(spark.sparkContext._gateway._gateway_client, "finalizer_deque", ()), time.monotonic() + TOLD_S
+    while told and time.monotonic() < until:
+        time.sleep(0.05)
     spark.range(1).count()  # the context still holds the last job
     spark.sparkContext._jvm.System.gc()
 

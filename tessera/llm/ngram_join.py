@@ -70,6 +70,9 @@ ENTRIES_AT_ONCE = 400_000
 PAIRS_AT_ONCE = 500_000
 PARTNERS_AT_ONCE = 256
 SETS_AT_ONCE = 500
+#: Bits of an n-gram's hash within its task, and sets in a row of entries.
+KEY_BITS = 30
+MOST_OWNERS = 1 << 15
 
 
 def gram_set(text: str, n: int = N) -> np.ndarray:
@@ -168,10 +171,22 @@ def in_blocks(keys: np.ndarray, sets: np.ndarray, groups: np.ndarray) -> tuple[n
     return entry, key, np.where(own == other, 0, np.where(own < other, 1, 2))
 
 
-def _entries(threshold: float, n: int, frequent: Broadcast, shared: frozenset[int], parts: int):  # noqa: ANN202
-    """(part, hashes, mark, set, cells) of the first n-grams of each set, frequent ones last, by the task that multiplies them.
+def _unlike(keys: np.ndarray, owners: np.ndarray) -> np.ndarray:
+    """Sorted ``keys`` of sorted owners, in which a key that its owner has already is moved up to the next one free.
 
-    A mark is 4 times the set's size and a side. The last bit of a hash says whether the n-gram is among the first ones of a smaller set.
+    Two owners then have as many keys in common as before at least: what they share takes the same places whatever else they have.
+    """
+    place = np.arange(len(keys))
+    apart = owners.astype(np.int64) << 32
+    return np.maximum.accumulate(apart + keys - place) + place - apart
+
+
+def _entries(threshold: float, n: int, frequent: Broadcast, shared: frozenset[int], parts: int, bits: int = KEY_BITS):  # noqa: ANN202
+    """(part, hashes, owners, marks, sets, cells) of the first n-grams of some sets, frequent ones last, by the task that multiplies them.
+
+    An owner is the place of its set in the other lists, so that a set is named once. A mark is 4 times the set's size and a side. The
+    last bit of a hash says whether the n-gram is among the first ones of a smaller set. Within a task a hash has few bits: n-grams that
+    share them only add candidates, which are counted in full later.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,17 +208,28 @@ def _entries(threshold: float, n: int, frequent: Broadcast, shared: frozenset[in
                 which = np.repeat(np.arange(len(owners)), sizes)[chosen]
                 smaller = (place < np.repeat(sizes - _least_of_smaller(threshold, sizes) + 1, sizes))[chosen]
                 entry, key, side = in_blocks(keys[chosen], sets[which], groups[chosen])
-                which = which[entry]
-                key = key >> np.uint64(1)
-                part = (mixed(key) % np.uint64(parts)).astype(np.int32)
-                key = key << np.uint64(1) | smaller[entry].astype(np.uint64)
-                order = np.lexsort((part, side, which))
-                key, which, side, part = key[order], which[order], side[order], part[order]
-                starts = np.flatnonzero(np.concatenate([[True], (part[1:] != part[:-1]) | (side[1:] != side[:-1]) | (which[1:] != which[:-1])])) if len(key) else np.empty(0, np.int64)
-                hashes = pa.ListArray.from_arrays(pa.array(np.append(starts, len(key)).astype(np.int32)), pa.array(key.view(np.int64)))
-                own = which[starts]
-                columns = [pa.array(part[starts]), hashes, pa.array(sizes[own] * 4 + side[starts]), pa.array(sets[own]), pa.array(cells[own])]
-                yield pa.RecordBatch.from_arrays(columns, names=["part", "hashes", "mark", "set", "cells"])
+                key = mixed(key)
+                part = (key % np.uint64(parts)).astype(np.int64)
+                key = (key >> np.uint64(64 - bits)).astype(np.int64)
+                lists = (part * len(owners) + which[entry]) * 3 + side
+                order = np.lexsort((key, lists))
+                key, lists, smaller = key[order], lists[order], smaller[entry][order]
+                starts = np.flatnonzero(np.concatenate([[True], lists[1:] != lists[:-1]])) if len(key) else np.empty(0, np.int64)
+                number = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(key))))
+                free = _unlike(key, number)
+                if len(moved := np.unique(number[free != key])):
+                    smaller |= np.isin(number, moved)
+                lists = lists[starts]
+                part, own, side = lists // (3 * len(owners)), lists // 3 % len(owners), lists % 3
+                place = _rows_of(part)[3]
+                firsts = np.flatnonzero(place % MOST_OWNERS == 0)
+                ends = np.append(firsts, len(lists))
+                hashes = (free << 1 | smaller).astype(np.uint32).view(np.int32)
+                held = (number - firsts[np.searchsorted(firsts, number, side="right") - 1]).astype(np.int16)
+                by_entry, by_list = (pa.array(x.astype(np.int32)) for x in (np.append(starts, len(key))[ends], ends))
+                columns = [pa.array(part[firsts].astype(np.int32)), *(pa.ListArray.from_arrays(by_entry, pa.array(x)) for x in (hashes, held))]
+                columns += [pa.ListArray.from_arrays(by_list, pa.array(x)) for x in ((sizes[own] * 4 + side).astype(np.int32), sets[own], cells[own])]
+                yield pa.RecordBatch.from_arrays(columns, names=["part", "hashes", "owners", "marks", "sets", "cells"])
 
     return run
 
@@ -565,11 +591,13 @@ def similar_sets(rows: DataFrame, threshold: float = THRESHOLD, n: int = N) -> t
     drop_unused(spark)
     # Fewer, larger blocks of columns than shuffle partitions: a pair meets in fewer of them and has fewer partial sums.
     columns = max(1, parts // 2)
-    entries = texts.mapInArrow(_entries(threshold, n, frequent, shared, columns), "part int, hashes array<long>, mark long, set long, cells long")
-    blocks = entries.repartitionById(columns, "part").select(F.explode("hashes").alias("hash"), "mark", "set", "cells").sortWithinPartitions(F.shiftright("hash", 1), "mark", "set")
+    entries = texts.mapInArrow(_entries(threshold, n, frequent, shared, columns), "part int, hashes array<int>, owners array<smallint>, marks array<int>, sets array<long>, cells array<long>")
+    entry = entries.repartitionById(columns, "part").select(F.posexplode("hashes").alias("place", "hash"), "owners", "marks", "sets", "cells")
+    own = F.get("owners", F.col("place")).cast("int")
+    blocks = entry.select("hash", F.get("marks", own).alias("mark"), F.get("sets", own).alias("set"), F.get("cells", own).alias("cells")).sortWithinPartitions(F.shiftright("hash", 1), "mark", "set")
     sums = blocks.mapInArrow(_product(threshold, parts), "bucket int, pairs binary").repartition(parts, "bucket")
     pairs = checkpoint(sums.mapInArrow(_candidates(threshold), "a long, b long, size_a long, size_b long"))
-    del entries, blocks, sums
+    del entries, entry, blocks, sums
     drop_unused(spark)
 
     # Each pair goes where the least set lies that its left one is paired with; a clique of copies meets in one place.
@@ -586,6 +614,8 @@ def similar_sets(rows: DataFrame, threshold: float = THRESHOLD, n: int = N) -> t
     shipped = _with(rows.select("text", "row"), chosen, "row", count).select("text", "tasks", "set").mapInArrow(_sets(n), "to_task long, set long, grams binary")
     counted = placed.groupBy("task").cogroup(shipped.groupBy("to_task")).applyInPandas(_overlaps, "a long, b long, size_a long, size_b long, overlap long")
     found = checkpoint(counted.where(F.col("overlap") >= threshold * (F.col("size_a") + F.col("size_b") - F.col("overlap")) - 1e-9).select("a", "b"))
+    del ends, home, crowd, wanted, chosen, shipped, counted
+    drop_unused(spark)
 
     sizes = _with(members.select("set", "held"), homes.select(F.col("a").alias("set")), "set", count)
     edges = found.unionAll(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -648,5 +678,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
     classes, _, _, pairs = similar_sets(numbered.select(F.col(row).alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), threshold, n)
     grouped = classes.join(_labels(pairs), "set", "left").withColumn("label", F.coalesce("label", "set"))
     firsts = grouped.groupBy("label").agg(_first().alias("first"), F.count("*").alias("held")).where("held > 1")
-    dropped = grouped.join(firsts, "label").where("row <> first.row").select(F.col("row").alias(row))
-    return numbered.join(dropped, row, "left_anti").drop(row)
+    dropped = checkpoint(grouped.join(firsts, "label").where("row <> first.row").select(F.col("row").alias(row)))
+    del classes, pairs, grouped, firsts, _
+    drop_unused(docs.sparkSession)
+    # Texts needn't cross the network to lose the rows that few others name.
+    return numbered.join(F.broadcast(dropped) if dropped.count() <= BROADCAST_ROWS else dropped, row, "left_anti").drop(row)

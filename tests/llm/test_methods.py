@@ -7,6 +7,7 @@ import random
 import re
 import time
 import tracemalloc
+from functools import partial
 from itertools import combinations, product
 
 import duckdb
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tessera.llm import decontaminate, exact_dedup, language_id, ngram_join, pii, queries, sentencepiece_codec, sharding, substring_dedup, url_filter, wavelet
-from tessera.llm.common import table, with_row_id
+from tessera.llm.common import checkpoint, drop_unused, table, with_row_id
 
 DATA = "/root/testdata/sf0.001"
 LARGER = "/root/testdata/sf0.01"
@@ -576,6 +577,82 @@ def test_sets_that_share_a_hash_stay_apart(spark, monkeypatch):
     assert as_links(ngram_join.similar_documents(docs)) == brute_links(dict(texts), want)
 
 
+def test_entries_name_a_set_once_for_each_task():
+    """What is shipped for an n-gram stays small where tasks are many, and no entry falls together with another of its set."""
+
+    class Frequent:
+        value = np.array([7], np.uint32), np.array([1]), [np.empty(0, np.uint64)] * ngram_join.ROUNDS
+
+    random.seed(8)
+    texts = [" ".join(f"w{random.randrange(10**6)}" for _ in range(300)) for _ in range(200)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    for bits in (ngram_join.KEY_BITS, 4):
+        rows = pa.Table.from_batches(ngram_join._entries(0.6, 3, Frequent, frozenset(), 300, bits)([batch]))
+        entries = [(r["part"], h >> 1, r["sets"][o], r["marks"][o]) for r in rows.to_pylist() for h, o in zip(r["hashes"], r["owners"])]
+        assert len(entries) == len(set(entries)) == 200 * (298 - math.ceil(0.6 * 298) + 1)
+        assert rows.num_rows <= 300 * 4 and rows.nbytes < 24 * len(entries)
+        assert all(len(set(zip(r["sets"], r["marks"]))) == len(r["sets"]) for r in rows.to_pylist())
+
+
+def test_hashes_of_few_bits_lose_no_shared_one():
+    random.seed(9)
+    for _ in range(300):
+        a, b = (sorted(random.choices(range(12), k=random.randint(0, 9))) for _ in range(2))
+        keys, owners = np.array([*a, *b], np.int64), np.repeat([0, 1], [len(a), len(b)])
+        apart = ngram_join._unlike(keys, owners).tolist()
+        x, y = set(apart[: len(a)]), set(apart[len(a) :])
+        assert len(x) == len(a) and len(y) == len(b) and len(x & y) >= sum(min(a.count(k), b.count(k)) for k in range(12))
+
+
+def test_pairs_are_found_where_hashes_clash(spark, monkeypatch):
+    random.seed(10)
+    base = [[f"{random.choice('abcdef')}{random.randint(0, 9)}" for _ in range(30)] for _ in range(5)]
+    texts = {}
+    for i in range(80):
+        own = list(random.choice(base))
+        for _ in range(random.randint(0, 4)):
+            own[random.randrange(len(own))] = f"x{random.randint(0, 5)}"
+        texts[i] = " ".join(own)
+    monkeypatch.setattr(ngram_join, "_entries", partial(ngram_join._entries, bits=3))
+    for block in (4096, 4):
+        monkeypatch.setattr(ngram_join, "FREQUENT", 3)
+        monkeypatch.setattr(ngram_join, "BLOCK", block)
+        monkeypatch.setattr(ngram_join, "CELL_LEAST", 1 << 40)
+        docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+        assert as_links(ngram_join.similar_documents(docs)) == brute_links(texts, brute_pairs(texts, 0.6))
+
+
+def test_dead_shuffles_are_let_go(spark):
+    """Files of a shuffle that only led to a checkpoint go at once, also where Python has much else to let go of first."""
+    held = lambda: spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses().size()
+    drop_unused(spark)
+    time.sleep(3)
+    before = held()
+    others = [spark._jvm.java.lang.Object() for _ in range(3000)]
+    dead = [spark.range(1000).repartition(4).selectExpr("id % 7 AS k").groupBy("k").count() for _ in range(4)]
+    kept = [checkpoint(d) for d in dead]
+    assert held() >= before + 4
+    del others, dead
+    drop_unused(spark)
+    until = time.monotonic() + 5
+    while held() > before + 2 and time.monotonic() < until:
+        time.sleep(0.1)
+    assert held() <= before + 2 and all(k.count() == 7 for k in kept)
+
+
+def test_texts_are_not_shuffled_to_drop_near_copies(spark, tmp_path):
+    """Few rows are named for removal, so they go to the texts, whatever Spark itself would broadcast."""
+    table(spark, DATA, "documents").write.parquet(f"{tmp_path}/documents.parquet")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        near = ngram_join.keep_one(spark.read.parquet(f"{tmp_path}/documents.parquet"))
+        plan = near._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
 def test_blocks_of_a_column_meet_once():
     sets = np.arange(-50, 50, dtype=np.int64) * 7919
     entry, key, side = ngram_join.in_blocks(np.full(100, 5, np.uint64), sets, np.full(100, 4, np.int64))
