@@ -103,3 +103,17 @@ def test_web_search(spark):
 
     assert found("engineer texas") == [0, 1, 3] and found('"engineering scholarship"') == [0] and found("scholarship -texas") == [2]
     assert found("nurse or grants") == [1, 2] and found("the") == [] and found('"scholarships of texas"') == [0]
+
+
+def test_states_in_one_pass(spark):
+    """Names within names, at one place twice, and in any order; one search of the text instead of one a state."""
+    from pyspark.sql import functions as F
+
+    from tessera.functions import vocab
+    from tessera.functions import scalars as S
+
+    texts = ["West Virginia, arkansas", "Kansas and kansas; NEW-YORK", "Arkansas Delaware", "", None, " tx", "virginian", "Washington D.C.", "New Mexico_Maine New Jersey west virginia Virginia"]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string").select(S.states("t").alias("s"))
+    assert [r["s"] for r in frame.collect()] == [["WV", "AR", "VA"], ["NY", "KS"], ["AR", "DE"], [], [], ["TX"], [], [], ["WV", "NJ", "NM", "VA", "ME"]]
+    assert not any(a.startswith(f"{b} ") for a in vocab.STATES for b in vocab.STATES)
+    assert frame._jdf.queryExecution().optimizedPlan().toString().upper().count("RLIKE") <= 2
