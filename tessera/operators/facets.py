@@ -84,10 +84,14 @@ def top_per_tag(grouped: DataFrame, tags: DataFrame, as_of: str, k: int = 4, seq
 
 def related(record_tags: DataFrame, top: DataFrame, k: int = 3) -> DataFrame:
     """(source_id, place, id): for rows (source_id, tags) the lists of their tags in order, themselves left out, each once, ``k`` at most."""
-    listed = record_tags.select("source_id", F.posexplode("tags").alias("tag_pos", "tag")).join(top.where("id IS NOT NULL"), "tag").where(F.col("id") != F.col("source_id"))
-    first = listed.groupBy("source_id", "id").agg(F.min(F.struct("tag_pos", "place")).alias("first"))
-    rank = F.row_number().over(Window.partitionBy("source_id").orderBy("first", "id"))
-    return first.withColumn("place", rank).where(F.col("place") <= k).select("source_id", "place", "id")
+    lists = top.where("id IS NOT NULL").groupBy("tag").agg(F.collect_list(F.struct("place", "id")).alias("listed"))
+    # Dealt out by record first: a list for each tag is all that is joined, and a record's tags are gathered where they are, in parts of bounded size.
+    tags = record_tags.repartition("source_id").select("source_id", F.posexplode("tags").alias("tag_pos", "tag"))
+    whole = tags.join(F.broadcast(lists), "tag").groupBy("source_id").agg(F.collect_list(F.struct("tag_pos", "listed")).alias("all"))
+    one = F.flatten(F.transform("all", lambda t: F.transform(t["listed"], lambda x: F.struct(t["tag_pos"], x["place"], x["id"]))))
+    first = F.array_distinct(F.transform(F.sort_array(one), lambda x: x["id"]))
+    others = F.slice(F.filter(first, lambda i: i != F.col("source_id")), 1, k)
+    return whole.select("source_id", F.posexplode(others).alias("place", "id")).select("source_id", (F.col("place") + 1).alias("place"), "id")
 
 
 def numbered(df: DataFrame, order: list[Column], name: str = "n") -> DataFrame:
