@@ -124,8 +124,11 @@ def _write_lines(df: DataFrame, path: str) -> None:
 
 def _write_array(df: DataFrame, path: str) -> None:
     spark = df.sparkSession
-    row = F.struct("seq", F.to_json(F.struct(*(c for c in df.columns if c != "seq"))).alias("json"))
-    whole = df.agg(F.array_sort(F.collect_list(row)).alias("rows")).select(F.concat(F.lit("["), F.array_join(F.transform("rows", lambda r: r["json"]), ","), F.lit("]")).alias("value"))
+    least = df.agg(F.min("seq").alias("least"))
+    json = F.to_json(F.struct(*(c for c in df.columns if c != "seq")))
+    rows = df.crossJoin(F.broadcast(least)).select(F.lit(1).alias("rank"), "seq", F.concat(F.when(F.col("seq") == F.col("least"), "").otherwise(","), json).alias("value"))
+    ends = spark.createDataFrame([(0, 0, "["), (2, 0, "]")], "rank int, seq long, value string")
+    whole = rows.unionAll(ends).orderBy("rank", "seq").select("value")
     whole.coalesce(1).write.text(f"{path}.folder")
     make = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     files = make(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())

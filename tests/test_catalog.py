@@ -354,3 +354,27 @@ def test_tables_change_at_once(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(sinks.json, "dumps", lambda x: Busy(real(x)))
     sinks.replace_table(spark.range(7), path)
     assert sinks.read_table(spark, path).count() == 7 and waits == [0.1, 0.2]
+
+
+def test_json_array_by_parts(spark, tmp_path):
+    """Records, texts and escapes across parts of the file, in order; a broken file fails."""
+    texts = ["}{", 'say "x" }', "back\\\\", "[,]", "é}" * 30, ""]
+    rows = [{"a": texts[i % 6] * (1 + i % 4), "b": {"c": i, "d": {"e": [{"f": "}"}]}}} for i in range(60)]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    ddl = "a string, b struct<c:int,d:struct<e:array<struct<f:string>>>>"
+    try:
+        for size in ("64b", "333b", "128m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            for indent in (None, 2):
+                (tmp_path / "x.json").write_text(json.dumps(rows, indent=indent, ensure_ascii=False))
+                found = catalog.json_array(spark, f"{tmp_path}/x.json", ddl).orderBy("seq").collect()
+                assert [(r["a"], r["b"]["c"], r["b"]["d"]["e"][0]["f"]) for r in found] == [(r["a"], r["b"]["c"], "}") for r in rows]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    for text, right in (("[]", True), (" [ ]\n", True), ('[{"a": "x"}', False), ('{"a": "x"}', False), ('[{"a": "x"} {"a": "y"}]', False), ('[{"a": "x"}] 1', False)):
+        (tmp_path / "y.json").write_text(text)
+        if right:
+            assert catalog.json_array(spark, f"{tmp_path}/y.json", ddl).count() == 0
+        else:
+            with pytest.raises(Exception):
+                catalog.json_array(spark, f"{tmp_path}/y.json", ddl).collect()
